@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gravis.plans import q_rates  # noqa: F401
+from gravis.plans import q_clean, q_rates  # noqa: F401
 from gravis.plans.registry import COVERS, ORACLE, QUERIES
 
 
