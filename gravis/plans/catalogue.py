@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gravis.plans import q_clean, q_rates, q_stats  # noqa: F401
+from gravis.plans import q_clean, q_models, q_rates, q_stats  # noqa: F401
 from gravis.plans.registry import COVERS, ORACLE, QUERIES
 
 
