@@ -183,12 +183,12 @@ def correlation_matrix(spark, sf_dir):
 @register("regression_lines", "A25",
           with_cases("\nUNION ALL\n".join(
               f"SELECT '{c}' AS variavel, round(regr_slope(gravidade_num, {c}), 9) AS slope, "
-              f"round(regr_intercept(gravidade_num, {c}), 9) AS intercept, "
+              f"round(regr_intercept(gravidade_num, {c}), 6) AS intercept, "
               f"round(regr_r2(gravidade_num, {c}), 9) AS r2, CAST(regr_count(gravidade_num, {c}) AS BIGINT) AS n FROM coded"
               for c in PREDICTIVE_FEATURES), extra_ctes=_CODED_SQL))
 def regression_lines(spark, sf_dir):
     r = S.regression_lines(coded_cases(spark, sf_dir), "gravidade_num", PREDICTIVE_FEATURES)
-    return r.select("variavel", _r9("slope").alias("slope"), _r9("intercept").alias("intercept"),
+    return r.select("variavel", _r9("slope").alias("slope"), F.round("intercept", 6).alias("intercept"),
                     _r9("r2").alias("r2"), F.col("n").cast("long").alias("n"))
 
 
