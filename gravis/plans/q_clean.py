@@ -234,13 +234,13 @@ def seeded_sample(spark, sf_dir):
     return S.seeded_sample(cases(spark, sf_dir), 1000, ["id_sinistro"], P.SEED)
 
 
-@register("value_counts_share", "A1,A2,A5",
+@register("value_counts_share", "A1,A2,A5,R1",
           _dirty("""SELECT ano_texto, count(*) AS n,
        100 * count(*) / (SELECT count(*) FROM cases_dirty) AS share_pct,
        (SELECT count(*) FROM cases_dirty) AS total
 FROM cases_dirty WHERE ano_texto IS NOT NULL GROUP BY ano_texto"""))
 def value_counts_share(spark, sf_dir):
-    return Q.value_counts_share(cases_dirty(spark, sf_dir), "ano_texto")
+    return Q.value_counts_share(cases_dirty(spark, sf_dir), "ano_texto").orderBy("ano_texto")
 
 
 _TOP_COLS = ["gravidade_lesao", "sexo", "municipio", "tipo_de_vitima"]

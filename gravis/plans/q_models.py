@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gravis import SEVERITY_CLASSES
 from gravis.operators import metrics as M
 from gravis.operators import models as ML
+from gravis.operators import neighbors as NB
 from gravis.operators import sampling as S
 from gravis.plans import params as P
 from gravis.plans.oracle import with_cases
@@ -232,7 +233,7 @@ def _train_test(ff):
     return train, test
 
 
-@register("rf_predictions", "M2,M3,M5")
+@register("rf_predictions", "M2,M3,M5,N5,N8")
 def rf_predictions(spark, sf_dir):
     ff = model_data(spark, sf_dir)
     train, test = _train_test(ff)
@@ -289,6 +290,21 @@ def rf_threshold_metrics(spark, sf_dir):
     return rep.filter(F.col("classe").isin("FATAL", "GRAVE"))
 
 
+def _smote(train):
+    return NB.smote(train, "label", "id_sinistro", "features", k=5, seed=P.SEED)
+
+
+@register("smote_resample", "M8,J6")
+def smote_resample(spark, sf_dir):
+    """The training split raised to equal class sizes with synthetic rows
+    interpolated towards exact same-class nearest neighbours."""
+    ff = model_data(spark, sf_dir)
+    train, _ = _train_test(ff)
+    res = _smote(train)
+    return res.select("id_sinistro", TARGET, "label", "synthetic", "origem", "vizinho",
+                      vector_to_array("features").alias("features"))
+
+
 @register("grid_search", "M9,M10,S8")
 def grid_search(spark, sf_dir):
     ff = model_data(spark, sf_dir)
@@ -306,11 +322,12 @@ def grid_search(spark, sf_dir):
                          & (F.col("min_instances") == best[2]))
 
 
-@register("model_comparison", "M2,M7,M9,M10,M14,M15,M16,M17")
+@register("model_comparison", "M2,M7,M8,M9,M10,M14,M15,M16,M17")
 def model_comparison(spark, sf_dir):
-    """Baseline, under-sampled, grid-searched (best params refitted on the
-    plain training set) and grid-searched with under-sampling inside the
-    folds; macro metrics per model and the best of the first group."""
+    """Baseline, SMOTE, under-sampled, grid-searched (best params from
+    folds that under-sample inside each training part, refitted on the plain
+    training set) and the searched params on both resampled sets; macro
+    metrics per model and the best of the first three (ties to Baseline)."""
     ff = model_data(spark, sf_dir)
     train, test = _train_test(ff)
     wtrain = ML.with_balanced_weights(train)
@@ -325,12 +342,16 @@ def model_comparison(spark, sf_dir):
 
     best_params, _, _ = ML.grid_search_resampled(
         train, make_rf, grid_values, lambda d: S.undersample(d, "label", ["id_sinistro"], P.SEED), seed=P.SEED)
+    smote_train = cut_lineage(_smote(train).drop("synthetic", "origem", "vizinho"))
+    sm = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(ML.with_balanced_weights(smote_train))
     gs = make_rf(**best_params).fit(wtrain)
     gs_rus = make_rf(**best_params).fit(ML.with_balanced_weights(rus_train))
+    gs_sm = make_rf(**best_params).fit(ML.with_balanced_weights(smote_train))
     preds = [(name, ML.predict_named(m, test, ff.labels)) for name, m in
-             [("Baseline", base), ("RandomUnderSampler", rus), ("GridSearch", gs), ("GridSearch+RUS", gs_rus)]]
+             [("Baseline", base), ("SMOTE", sm), ("RandomUnderSampler", rus), ("GridSearch", gs),
+              ("GridSearch+RUS", gs_rus), ("GridSearch+SMOTE", gs_sm)]]
     _, _, summ = _eval(preds)
-    best = M.best_model(summ, "modelo", ["Baseline", "RandomUnderSampler"]).select(
+    best = M.best_model(summ, "modelo", ["Baseline", "SMOTE", "RandomUnderSampler"]).select(
         F.col("modelo").alias("_best"))
     return summ.join(F.broadcast(best), F.col("modelo") == F.col("_best"), "left").select(
         "modelo", "f1_macro", "recall_macro", "precision_macro", "f1_weighted", "accuracy",

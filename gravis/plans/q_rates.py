@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravis.functions.scalar import ratio, rel_diff_pct, risk_tier
+from gravis.functions.scalar import month_abbr, ratio, rel_diff_pct, risk_tier
 from gravis.operators import rates as R
 from gravis.plans import params as P
 from gravis.plans.oracle import with_cases
@@ -75,7 +75,7 @@ def severity_by_week(spark, sf_dir):
     return R.severity_matrix(df, ["semana_mes"], scale=100)
 
 
-@register("severity_by_municipality", "A6,A7,A11",
+@register("severity_by_municipality", "A6,A7,A11,F8,J5",
           with_cases("SELECT * FROM rates", extra_ctes=sev_sql(["municipio"], scale=100)))
 def severity_by_municipality(spark, sf_dir):
     return _matrix(spark, sf_dir, ["municipio"], scale=100)
@@ -132,15 +132,17 @@ def top5_city_road(spark, sf_dir):
 _DAYS = list(range(1, 32))
 
 
-@register("month_day_pivot", "A10",
-          with_cases("SELECT mes_sinistro, " + ", ".join(
+@register("month_day_pivot", "A10,F5",
+          with_cases("SELECT mes_sinistro, lower(strftime(make_date(2000, mes_sinistro, 1), '%b')) AS mes_nome, "
+                     + ", ".join(
               f"count(idade) FILTER (WHERE dia_sinistro = {d}) AS d{d:02d}" for d in _DAYS)
               + " FROM cases WHERE mes_sinistro IS NOT NULL AND dia_sinistro IS NOT NULL"
               " GROUP BY mes_sinistro"))
 def month_day_pivot(spark, sf_dir):
     c = cases(spark, sf_dir).filter(F.col("mes_sinistro").isNotNull() & F.col("dia_sinistro").isNotNull())
     wide = c.groupBy("mes_sinistro").pivot("dia_sinistro", _DAYS).agg(F.count("idade"))
-    wide = wide.select("mes_sinistro", *[F.col(str(d)).alias(f"d{d:02d}") for d in _DAYS])
+    wide = wide.select("mes_sinistro", month_abbr("mes_sinistro").alias("mes_nome"),
+                       *[F.col(str(d)).alias(f"d{d:02d}") for d in _DAYS])
     return wide.na.fill(0)
 
 
@@ -324,7 +326,7 @@ _KPI_SQL = with_cases(f"""SELECT total_casos, fatal_pct, rate_a, rate_b,
                       + ",\nmuni AS (SELECT * FROM muni0 WHERE total >= 600)")
 
 
-@register("kpi_dashboard", "A29,P18,P19,R6,A21", _KPI_SQL)
+@register("kpi_dashboard", "A29,P18,P19,R6,A21,F10", _KPI_SQL)
 def kpi_dashboard(spark, sf_dir):
     """One row of headline numbers. A single fine aggregate on (month,
     municipality) feeds the three coarse ones; Spark reuses its shuffle."""

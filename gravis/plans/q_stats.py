@@ -53,11 +53,14 @@ def _r9(c):
 
 # --- grouped descriptive statistics ---------------------------------------
 
-@register("std_by_severity", "A12",
-          with_cases("SELECT gravidade_lesao, round(stddev_samp(idade), 9) AS std FROM cases GROUP BY gravidade_lesao"))
+@register("std_by_severity", "A12,F7",
+          with_cases("SELECT gravidade_lesao, round(stddev_samp(idade), 9) AS std, "
+                     "round_even(stddev_samp(idade), 2) AS std_2 FROM cases GROUP BY gravidade_lesao"))
 def std_by_severity(spark, sf_dir):
-    out = S.std_by_group(cases(spark, sf_dir), "idade", TARGET, places=None)
-    return out.select(TARGET, _r9("std").alias("std"))
+    c = cases(spark, sf_dir)
+    out = S.std_by_group(c, "idade", TARGET, places=None)
+    two = S.std_by_group(c, "idade", TARGET, places=2).withColumnRenamed("std", "std_2")
+    return out.select(TARGET, _r9("std").alias("std")).join(two, TARGET)
 
 
 @register("describe_by_severity", "A13,A15",
@@ -149,7 +152,7 @@ def _ranking(spark, sf_dir, features):
     return S.correlation_ranking(corrs.select("variavel", _r9("r").alias("r")))
 
 
-@register("correlation_ranking", "A16,A17,R3,R5,N7", _ranking_sql(ALL_FEATURES))
+@register("correlation_ranking", "A16,A17,R3,R5,N7,F6", _ranking_sql(ALL_FEATURES))
 def correlation_ranking(spark, sf_dir):
     return _ranking(spark, sf_dir, ALL_FEATURES)
 

@@ -36,6 +36,8 @@ def get_spark(app: str = "gravis", master: str | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULTS)
+    if master and master.startswith("local") and not _has_active():
+        conf["spark.driver.memory"] = "8g"  # local mode: the driver JVM runs every task
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference reads two static extracts and has no stream source, time
+window, watermark, late data or state, so there is no streaming operator to
+rebuild. The batch operators are DataFrame -> DataFrame and aggregate-based,
+so a severity matrix can be run on a ``readStream`` DataFrame in complete
+mode without change; nothing further is provided here.
+"""
