@@ -88,15 +88,23 @@ def recode_and_fill(df: DataFrame, columns: Sequence[str] | None = None,
     return df.na.replace(sentinel, fill, subset=cols).na.fill(fill, subset=cols)
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    """Exact medians (mean of the two middle values) in one aggregate."""
+def exact_medians(df: DataFrame, cols: Sequence[str], approx: bool = False,
+                  accuracy: int = 100_000) -> dict[str, float | None]:
+    """Medians of several columns in one aggregate. Exact (mean of the two
+    middle values) by default: the exact aggregate keeps a value -> count map
+    per column, right for bounded domains such as ages. ``approx=True`` uses
+    ``percentile_approx`` (bounded memory, rank error 1/accuracy) for
+    high-cardinality columns."""
     if not cols:
         return {}
-    row = df.agg(*[F.median(c).alias(c) for c in cols]).first()
+    if approx:
+        row = df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in cols]).first()
+    else:
+        row = df.agg(*[F.median(c).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols}
 
 
-def median_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def median_fill(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Fill missing numbers with the column's exact median.
 
     A first aggregate counts nulls per numeric column; medians are computed
@@ -109,24 +117,27 @@ def median_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         return df
     nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
     todo = [c for c in cols if nulls[c]]
-    meds = exact_medians(df, todo)
+    meds = exact_medians(df, todo, approx=approx)
     out = df
     for c in todo:
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(meds[c]).cast("double")))
     return out
 
 
-def iqr_fences(df: DataFrame, col: str, k: float = 1.5) -> tuple[float, float]:
-    """Inclusive Tukey fences from exact, linearly interpolated quartiles."""
-    q = df.agg(F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"]
+def iqr_fences(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -> tuple[float, float]:
+    """Inclusive Tukey fences from exact, linearly interpolated quartiles
+    (``approx=True``: ``percentile_approx`` for high-cardinality columns)."""
+    qs = F.array(F.lit(0.25), F.lit(0.75))
+    agg = F.percentile_approx(F.col(col), qs, 100_000) if approx else F.percentile(F.col(col), qs)
+    q = df.agg(agg.alias("q")).first()["q"]
     q1, q3 = q[0], q[1]
     iqr = q3 - q1
     return q1 - k * iqr, q3 + k * iqr
 
 
-def iqr_filter(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
+def iqr_filter(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -> DataFrame:
     """Keep rows with ``lower <= col <= upper``; a missing value fails the test."""
-    lo, hi = iqr_fences(df, col, k)
+    lo, hi = iqr_fences(df, col, k, approx)
     return df.filter((F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi)))
 
 

@@ -172,41 +172,45 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All pairwise Pearson correlations of ``cols`` (long form: var_a, var_b,
     r; null where a side is constant), pairwise-complete like pandas.
 
-    Two passes of plain sums: the column means, then sums of CENTRED
-    products (stable for columns with large means, e.g. years). When no
-    column has a missing value, the per-column sums are shared by all pairs
-    (k + k(k+1)/2 sums); otherwise each pair sums over its complete rows and
-    corrects for its own means.
+    Plain sums of SHIFTED values (x - K, with K one observed row, which lies
+    inside the data, so the sums stay numerically stable even for columns
+    with large means such as years). One pass gives per-column and per-pair
+    sums; only when some column has missing values does a second pass sum
+    the affected pairs over their complete rows.
     """
     cols = list(cols)
-    first = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                   *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[(F.min(c) == F.max(c)).alias(f"k{i}") for i, c in enumerate(cols)],
-                   F.count(F.lit(1)).alias("rows")).first()
-    constant = [bool(first[f"k{i}"]) for i in range(len(cols))]
-    complete = all(first[f"n{i}"] == first["rows"] for i in range(len(cols)))
-    d = [F.col(c).cast("double") - F.lit(first[f"m{i}"] or 0.0) for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    if complete:
-        sums = df.agg(*[F.sum(d[i] * d[j]).alias(f"s{i}_{j}") for i, j in pairs],
-                      *[F.sum(d[i]).alias(f"t{i}") for i in range(len(cols))],
-                      F.count(F.lit(1)).alias("n")).first()
-        n = sums["n"]
-
-        def cov(i, j):
-            return sums[f"s{i}_{j}"] - sums[f"t{i}"] * sums[f"t{j}"] / n if n else None
-        vals = {(i, j): (cov(i, j), cov(i, i), cov(j, j)) for i, j in pairs}
-    else:
+    k = len(cols)
+    anchor = df.select(*cols).na.drop().first()
+    shift = [float(anchor[c]) if anchor is not None else 0.0 for c in cols]
+    d = [F.col(c).cast("double") - F.lit(shift[i]) for i, c in enumerate(cols)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = df.agg(F.count(F.lit(1)).alias("rows"),
+                 *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.sum(d[i]).alias(f"t{i}") for i in range(k)],
+                 *[(F.min(c) == F.max(c)).alias(f"k{i}") for i, c in enumerate(cols)],
+                 *[F.sum(d[i] * d[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    rows_n = row["rows"]
+    constant = [bool(row[f"k{i}"]) for i in range(k)]
+    gappy = {i for i in range(k) if row[f"n{i}"] != rows_n}
+    vals = {}
+    for i, j in pairs:
+        if i in gappy or j in gappy:
+            continue
+        n = rows_n
+        ti, tj = row[f"t{i}"], row[f"t{j}"]
+        vals[(i, j)] = ((row[f"s{i}_{j}"] - ti * tj / n, row[f"s{i}_{i}"] - ti * ti / n,
+                         row[f"s{j}_{j}"] - tj * tj / n) if n else (None, None, None))
+    todo = [(i, j) for i, j in pairs if (i, j) not in vals]
+    if todo:
         aggs = []
-        for i, j in pairs:
+        for i, j in todo:
             both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
             di, dj = F.when(both, d[i]), F.when(both, d[j])
             aggs += [F.count(di).alias(f"n{i}_{j}"), F.sum(di).alias(f"a{i}_{j}"), F.sum(dj).alias(f"b{i}_{j}"),
                      F.sum(di * dj).alias(f"p{i}_{j}"), F.sum(di * di).alias(f"q{i}_{j}"),
                      F.sum(dj * dj).alias(f"r{i}_{j}")]
         sums = df.agg(*aggs).first()
-        vals = {}
-        for i, j in pairs:
+        for i, j in todo:
             n = sums[f"n{i}_{j}"]
             if not n:
                 vals[(i, j)] = (None, None, None)
@@ -214,15 +218,15 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             a, b = sums[f"a{i}_{j}"], sums[f"b{i}_{j}"]
             vals[(i, j)] = (sums[f"p{i}_{j}"] - a * b / n, sums[f"q{i}_{j}"] - a * a / n,
                             sums[f"r{i}_{j}"] - b * b / n)
-    rows = []
+    out = []
     for (i, j), (sxy, sxx, syy) in vals.items():
         r = None
         if sxy is not None and not constant[i] and not constant[j] and sxx and syy and sxx > 0 and syy > 0:
             r = sxy / math.sqrt(sxx * syy)
-        rows.append((cols[i], cols[j], r))
+        out.append((cols[i], cols[j], r))
         if i != j:
-            rows.append((cols[j], cols[i], r))
-    return df.sparkSession.createDataFrame(rows, "var_a string, var_b string, r double")
+            out.append((cols[j], cols[i], r))
+    return df.sparkSession.createDataFrame(out, "var_a string, var_b string, r double")
 
 
 def regression_lines(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:

@@ -242,15 +242,18 @@ def rf_predictions(spark, sf_dir):
     return pred.select("id_sinistro", TARGET, "predito", vector_to_array("probability").alias("probabilidades"))
 
 
-@register("rf_importance", "M4,R4,R5")
+@register("rf_importance", "M4,R4,R5,F11")
 def rf_importance(spark, sf_dir):
     ff = model_data(spark, sf_dir)
     train, _ = _train_test(ff)
     model = ML.random_forest(P.RF_TREES, P.RF_DEPTH, weight_col=None).fit(train)
     rows = ML.importances(model, ff)
     df = spark.createDataFrame(rows, "variavel string, origem string, importancia double")
+    from gravis.functions.scalar import risk_tier
     from gravis.operators.rates import ranked
-    return ranked(df, [F.col("importancia").desc(), F.col("variavel").asc()], k=P.TOP_FEATURES)
+    top = ranked(df, [F.col("importancia").desc(), F.col("variavel").asc()], k=P.TOP_FEATURES)
+    return top.withColumn("nivel", risk_tier(F.col("importancia") * 100, P.IMPORTANCE_TIER_CUTS,
+                                             P.IMPORTANCE_TIER_LABELS))
 
 
 @register("rf_importance_rollup", "M4,A28")

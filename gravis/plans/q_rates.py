@@ -157,11 +157,17 @@ def _supported(spark, sf_dir, scale=1):
     return R.min_support(_matrix(spark, sf_dir, ["municipio"], scale=scale), support_threshold(sf_dir))
 
 
-@register("municipal_risk_ranking", "P9,R2,R4,R5",
-          _muni_sql(f"SELECT * FROM (SELECT *, {_rank('fatal_rate DESC, municipio')} FROM rates) "
+@register("municipal_risk_ranking", "P9,R2,R4,R5,F11",
+          _muni_sql(f"SELECT *, fatal_rate > (SELECT avg(fatal_rate) FROM rates) AS acima_media FROM ("
+                    f"SELECT *, {_rank('fatal_rate DESC, municipio')} FROM rates) "
                     f"WHERE posicao <= {P.TOP_MUNICIPALITIES}"))
 def municipal_risk_ranking(spark, sf_dir):
-    return R.ranked(_supported(spark, sf_dir), _desc("fatal_rate", "municipio"), k=P.TOP_MUNICIPALITIES)
+    """Top municipalities by fatal share (minimum support), flagged when
+    above the mean share of all supported municipalities."""
+    m = _supported(spark, sf_dir)
+    mean = m.agg(F.avg("fatal_rate")).first()[0]
+    top = R.ranked(m, _desc("fatal_rate", "municipio"), k=P.TOP_MUNICIPALITIES)
+    return top.withColumn("acima_media", F.col("fatal_rate") > F.lit(mean))
 
 
 @register("safest_municipalities", "P9,R2,R4,R5",

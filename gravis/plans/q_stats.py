@@ -88,6 +88,23 @@ def box_summary(spark, sf_dir):
     return S.box_summary(cases_dirty(spark, sf_dir), "idade", TARGET)
 
 
+@register("box_severity_by_victim", "A22,N11",
+          with_cases("""SELECT c.tipo_de_vitima, count(*) AS n, q1, md AS median, q3,
+       CAST(min(g) FILTER (WHERE g >= q1 - 1.5 * (q3 - q1) AND g <= q3 + 1.5 * (q3 - q1)) AS DOUBLE) AS whisker_low,
+       CAST(max(g) FILTER (WHERE g >= q1 - 1.5 * (q3 - q1) AND g <= q3 + 1.5 * (q3 - q1)) AS DOUBLE) AS whisker_high,
+       count(*) FILTER (WHERE NOT (g >= q1 - 1.5 * (q3 - q1) AND g <= q3 + 1.5 * (q3 - q1))) AS outliers
+FROM sc c JOIN q ON c.tipo_de_vitima = q.v GROUP BY c.tipo_de_vitima, q1, md, q3""",
+                     extra_ctes="""sc AS (SELECT tipo_de_vitima,
+       CASE gravidade_lesao WHEN 'FATAL' THEN 3 WHEN 'GRAVE' THEN 2 ELSE 1 END AS g FROM cases),
+q AS (SELECT tipo_de_vitima AS v, quantile_cont(g, 0.25) AS q1, quantile_cont(g, 0.5) AS md,
+       quantile_cont(g, 0.75) AS q3 FROM sc GROUP BY tipo_de_vitima)"""))
+def box_severity_by_victim(spark, sf_dir):
+    """Box numbers of the 1-2-3 severity score per victim type."""
+    from gravis.functions.scalar import severity_score
+    c = cases(spark, sf_dir).select("tipo_de_vitima", severity_score(TARGET).alias("g"))
+    return S.box_summary(c, "g", "tipo_de_vitima")
+
+
 # --- distributions ----------------------------------------------------------
 
 def _hist_sql(src_cte, value, bins):

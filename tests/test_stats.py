@@ -82,3 +82,19 @@ def test_std_of_single_row_group_is_null(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 4.0)], "g string, x double")
     got = {r["g"]: r["std"] for r in S.std_by_group(df, "x", "g").collect()}
     assert got["a"] is None and got["b"] == round(math.sqrt(2), 2)
+
+
+def test_correlation_matrix_pairwise_matches_pandas(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    pdf = pd.DataFrame({"a": rng.normal(2000, 2, n), "b": rng.normal(0, 1, n), "c": np.full(n, 7.0)})
+    pdf["b"] = pdf["b"] + 0.3 * (pdf["a"] - 2000)
+    pdf["d"] = rng.integers(0, 5, n).astype(float)
+    pdf.loc[::9, "b"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None))
+    got = {(r["var_a"], r["var_b"]): r["r"] for r in S.correlation_matrix(df, ["a", "b", "c", "d"]).collect()}
+    ref = pdf.corr()
+    for a in ["a", "b", "d"]:
+        for b in ["a", "b", "d"]:
+            assert got[(a, b)] == pytest.approx(ref.loc[a, b], abs=1e-12)
+    assert got[("a", "c")] is None and got[("c", "c")] is None
