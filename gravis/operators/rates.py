@@ -70,6 +70,33 @@ def severity_matrix(df: DataFrame, keys: Sequence[str], target: str = TARGET,
     return with_rates(severity_counts(df, keys, target, classes, dropna), classes, scale)
 
 
+def severity_matrices(df: DataFrame, key_sets: Sequence[Sequence[str]], target: str = TARGET,
+                      classes: Sequence[str] = SEVERITY_CLASSES, scale: int = 1) -> list[DataFrame]:
+    """Several severity matrices from ONE scan: a grouping-sets aggregate
+    (Spark expands each row once per set before the partial aggregate), then
+    one slice per key set. Rows with a missing target are not counted; a row
+    with a missing key is left out of the sets that use that key (as
+    ``severity_matrix`` does). The aggregate is small (one row per key value
+    per set) and is checkpointed, so the slices do not re-read the input."""
+    from gravis.session import cut_lineage
+    sets = [list(ks) for ks in key_sets]
+    cols = sorted({c for ks in sets for c in ks})
+    src = df.filter(F.col(target).isNotNull())
+    aggs = [F.count(F.when(F.col(target) == c, F.lit(1))).alias(count_col(c)) for c in classes]
+    aggs += [F.count(F.lit(1)).alias("total"),
+             F.grouping_id(*[F.col(c) for c in cols]).alias("_gid")]
+    fine = cut_lineage(src.groupingSets([[F.col(c) for c in ks] for ks in sets], *cols).agg(*aggs))
+    out = []
+    for ks in sets:
+        gid = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in ks)
+        part = fine.filter(F.col("_gid") == gid)
+        for c in ks:
+            part = part.filter(F.col(c).isNotNull())
+        part = part.select(*ks, *[count_col(c) for c in classes], "total")
+        out.append(with_rates(part, classes, scale))
+    return out
+
+
 def with_week_of_month(df: DataFrame, day: str = "dia_sinistro",
                        out: str = "semana_mes") -> DataFrame:
     return df.withColumn(out, week_of_month(day))

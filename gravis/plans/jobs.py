@@ -77,32 +77,33 @@ def prepare_cases(df: DataFrame, scope: dict | None = SCOPE, zscore_suffix: str
 
 
 def analysis_tables(cases: DataFrame, support: int = 100) -> dict[str, DataFrame]:
-    """Stage 2 rate tables (fractions), on a prepared table."""
-    out = {
-        "mensal": R.ranked(R.severity_matrix(cases, ["mes_sinistro"]),
-                           [F.col("fatal_rate").desc(), F.col("mes_sinistro")]),
-        "diario": R.ranked(R.severity_matrix(cases, ["dia_sinistro"]),
-                           [F.col("fatal_rate").desc(), F.col("dia_sinistro")]),
+    """Stage 2 rate tables (fractions), on a prepared table; all matrices
+    come from one grouping-sets scan."""
+    mes, dia, muni, vv, vm = R.severity_matrices(
+        cases, [["mes_sinistro"], ["dia_sinistro"], ["municipio"], ["tipo_de_vitima", "tipo_via"],
+                ["tipo_de_vitima", "mes_sinistro"]])
+    muni = R.min_support(muni, support)
+    return {
+        "mensal": R.ranked(mes, [F.col("fatal_rate").desc(), F.col("mes_sinistro")]),
+        "diario": R.ranked(dia, [F.col("fatal_rate").desc(), F.col("dia_sinistro")]),
+        "municipios": R.ranked(muni, [F.col("fatal_rate").desc(), F.col("municipio")]),
+        "vitima_via": vv,
+        "pior_mes_vitima": R.argmax_per_group(vm, "tipo_de_vitima", "mes_sinistro", "fatal_rate",
+                                              out_key="pior_mes"),
     }
-    muni = R.min_support(R.severity_matrix(cases, ["municipio"]), support)
-    out["municipios"] = R.ranked(muni, [F.col("fatal_rate").desc(), F.col("municipio")])
-    out["vitima_via"] = R.severity_matrix(cases, ["tipo_de_vitima", "tipo_via"])
-    out["pior_mes_vitima"] = R.argmax_per_group(
-        R.severity_matrix(cases, ["tipo_de_vitima", "mes_sinistro"]), "tipo_de_vitima", "mes_sinistro",
-        "fatal_rate", out_key="pior_mes")
-    return out
 
 
 def dashboard_tables(cases: DataFrame, support: int = 100, month_a: int = 12, month_b: int = 4,
                      chosen_victim: str = "CONDUTOR", cluster=(24, 25, 26)) -> dict[str, DataFrame]:
-    """Stage 3 chart tables (percentages) and the comparisons behind the KPIs."""
-    mes = R.severity_matrix(cases, ["mes_sinistro"], scale=100)
-    dia = R.severity_matrix(cases, ["dia_sinistro"], scale=100)
-    vit = R.severity_matrix(cases, ["tipo_de_vitima"], scale=100)
-    muni = R.min_support(R.severity_matrix(cases, ["municipio"], scale=100), support)
+    """Stage 3 chart tables (percentages) and the comparisons behind the
+    KPIs. The five matrices come from one grouping-sets scan."""
+    mes, dia, vit, muni, sem = R.severity_matrices(
+        R.with_week_of_month(cases),
+        [["mes_sinistro"], ["dia_sinistro"], ["tipo_de_vitima"], ["municipio"], ["semana_mes"]], scale=100)
+    muni = R.min_support(muni, support)
     return {
         "mensal": mes, "diario": dia, "vitima": vit, "municipios": muni,
-        "semanal": R.severity_matrix(R.with_week_of_month(cases), ["semana_mes"], scale=100),
+        "semanal": sem,
         "sazonal": R.compare_two_keys(mes, "mes_sinistro", month_a, month_b, "fatal_rate"),
         "cluster_dias": R.cluster_vs_rest(dia, "dia_sinistro", cluster, "fatal_rate"),
         "vitima_vs_outros": R.one_vs_others(vit, "tipo_de_vitima", chosen_victim,
@@ -111,6 +112,19 @@ def dashboard_tables(cases: DataFrame, support: int = 100, month_a: int = 12, mo
     }
 
 
+def land_cases(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Write the joined case view once, as Parquet partitioned by year, and
+    return a reader of it: at scale, repeated analyses then read pruned
+    columns (and pruned year partitions) instead of re-running the
+    orders x customer shuffle join each time."""
+    from gravis.sources.tables import cases as case_view
+    # no shuffle by year (a year is a large share of all rows): every task
+    # writes its own rows of each year, sorted so one file is open at a time
+    (case_view(spark, sf_dir).sortWithinPartitions("ano_sinistro").write.mode("overwrite")
+     .partitionBy("ano_sinistro").parquet(path))
+    return spark.read.parquet(path)
+
+
 def sentinel_scope(df: DataFrame, scope: dict | None = SCOPE) -> DataFrame:
     """Stage 3 fallback scope on the raw table: scope equality and the raw
     sentinel excluded (missing values kept)."""

@@ -61,3 +61,24 @@ def test_cluster_vs_rest(spark):
                               "dia int, fatal_rate double")
     r = R.cluster_vs_rest(m, "dia", (24, 25, 26), "fatal_rate").first()
     assert (r["cluster_mean"], r["others_mean"], r["impact_pct"]) == (10.0, 5.0, 100.0)
+
+
+def test_matrices_from_grouping_sets_equal_single_matrices(spark):
+    from gravis.sources.tables import cases
+    from conftest import SF001
+    c = R.with_week_of_month(cases(spark, SF001))
+    sets = [["mes_sinistro"], ["municipio"], ["tipo_de_vitima", "tipo_via"], ["semana_mes"]]
+    many = R.severity_matrices(c, sets, scale=100)
+    for ks, m in zip(sets, many):
+        one = R.severity_matrix(c, ks, scale=100)
+        assert sorted(map(tuple, m.collect())) == sorted(map(tuple, one.select(*m.columns).collect()))
+
+
+def test_land_cases_partitions_by_year(spark, tmp_path):
+    from gravis.plans.jobs import land_cases
+    from gravis.sources.tables import cases
+    from conftest import SF001
+    df = land_cases(spark, SF001, str(tmp_path / "cases"))
+    assert df.count() == cases(spark, SF001).count()
+    plan = df.filter("ano_sinistro = 1997")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ano_sinistro" in plan

@@ -89,3 +89,14 @@ def test_metric_table_sink(spark, tmp_path):
     assert len(files) == 1
     with open(os.path.join(out, files[0])) as f:
         assert "0.4040" in f.read()
+
+
+def test_analysis_tables_from_prepared(spark, tmp_path):
+    a, b = str(tmp_path / "a.csv"), str(tmp_path / "b.csv")
+    _write(a, HEADER_A, ROWS_A)
+    _write(b, HEADER_B, ROWS_B)
+    merged, _, _ = J.consolidate_extracts(spark, a, b)
+    tabs = J.analysis_tables(J.prepare_cases(merged), support=1)
+    total = tabs["mensal"].agg(F.sum("total")).first()[0]
+    assert total == tabs["municipios"].agg(F.sum("total")).first()[0]
+    assert tabs["pior_mes_vitima"].count() >= 1
