@@ -3,6 +3,7 @@ same result, an independent SQL text for DuckDB to check it against."""
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -24,7 +25,13 @@ def register(name: str, covers: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from gravis.session import ship_package
+            ship_package(spark)  # workers of any session can import gravis
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         COVERS[name] = covers
         if sql is not None:
             ORACLE[name] = sql
