@@ -82,22 +82,29 @@ DIRTY_COLUMNS = ["id_sinistro", "municipio", "gravidade_lesao", "sexo", "idade",
 
 def cases_dirty(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR,
                 base: DataFrame | None = None) -> DataFrame:
-    """Cases with derived dirt plus two exact copies of every 50th case."""
+    """Cases with derived dirt plus two exact (clean) copies of every 50th
+    case. Built from ONE scan of the case view: each row explodes into 1 or
+    3 copies (copy 1 carries the dirt, copies 2-3 are clean), the same rows
+    as the union of three scans that the SQL text states."""
     c = base if base is not None else cases(spark, sf_dir)
     na = F.lit("NAO DISPONIVEL")
-    dirty = c.select(
+    copies = F.when(_every(50), F.lit(3)).otherwise(F.lit(1))
+    x = c.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    dirty = F.col("_copy") == 1
+
+    def dirt(clean_col, expr):
+        return F.when(dirty, expr).otherwise(clean_col)
+
+    return x.select(
         "id_sinistro",
-        F.when(_every(17), F.lit(None).cast("string")).when(_every(19), na)
-         .otherwise(F.col("municipio")).alias("municipio"),
-        F.when(_every(23), na).otherwise(F.col("gravidade_lesao")).alias("gravidade_lesao"),
-        F.when(_every(13), F.lit(None).cast("string")).otherwise(F.col("sexo")).alias("sexo"),
-        F.when(_every(11), F.lit(None).cast("int")).when(_every(101), F.lit(400))
-         .otherwise(F.col("idade")).alias("idade"),
-        F.when(_every(29), F.lit("junk"))
-         .otherwise(F.col("ano_sinistro").cast("string")).alias("ano_texto"),
+        dirt(F.col("municipio"), F.when(_every(17), F.lit(None).cast("string")).when(_every(19), na)
+             .otherwise(F.col("municipio"))).alias("municipio"),
+        dirt(F.col("gravidade_lesao"), F.when(_every(23), na).otherwise(F.col("gravidade_lesao")))
+        .alias("gravidade_lesao"),
+        dirt(F.col("sexo"), F.when(_every(13), F.lit(None).cast("string")).otherwise(F.col("sexo"))).alias("sexo"),
+        dirt(F.col("idade"), F.when(_every(11), F.lit(None).cast("int")).when(_every(101), F.lit(400))
+             .otherwise(F.col("idade"))).alias("idade"),
+        dirt(F.col("ano_sinistro").cast("string"), F.when(_every(29), F.lit("junk"))
+             .otherwise(F.col("ano_sinistro").cast("string"))).alias("ano_texto"),
         *DIRTY_PASSTHROUGH,
     )
-    copies = c.filter(_every(50)).select(
-        "id_sinistro", "municipio", "gravidade_lesao", "sexo", "idade",
-        F.col("ano_sinistro").cast("string").alias("ano_texto"), *DIRTY_PASSTHROUGH)
-    return dirty.unionByName(copies).unionByName(copies)
