@@ -28,16 +28,16 @@ cases_dirty AS (
          CASE WHEN id_sinistro % 17 = 0 THEN NULL WHEN id_sinistro % 19 = 0 THEN 'NAO DISPONIVEL' ELSE municipio END AS municipio,
          CASE WHEN id_sinistro % 23 = 0 THEN 'NAO DISPONIVEL' ELSE gravidade_lesao END AS gravidade_lesao,
          CASE WHEN id_sinistro % 13 = 0 THEN NULL ELSE sexo END AS sexo,
-         CASE WHEN id_sinistro % 11 = 0 THEN NULL WHEN id_sinistro % 101 = 0 THEN 400 ELSE idade END AS idade,
+         CAST(CASE WHEN id_sinistro % 11 = 0 THEN NULL WHEN id_sinistro % 101 = 0 THEN 400 ELSE idade END AS DOUBLE) AS idade,
          CASE WHEN id_sinistro % 29 = 0 THEN 'junk' ELSE CAST(ano_sinistro AS VARCHAR(10)) END AS ano_texto,
          regiao_administrativa, tipo_via, tipo_de_vitima, mes_sinistro, dia_sinistro, valor
   FROM cases
   UNION ALL
-  SELECT id_sinistro, municipio, gravidade_lesao, sexo, idade, CAST(ano_sinistro AS VARCHAR(10)),
+  SELECT id_sinistro, municipio, gravidade_lesao, sexo, CAST(idade AS DOUBLE), CAST(ano_sinistro AS VARCHAR(10)),
          regiao_administrativa, tipo_via, tipo_de_vitima, mes_sinistro, dia_sinistro, valor
   FROM cases WHERE id_sinistro % 50 = 0
   UNION ALL
-  SELECT id_sinistro, municipio, gravidade_lesao, sexo, idade, CAST(ano_sinistro AS VARCHAR(10)),
+  SELECT id_sinistro, municipio, gravidade_lesao, sexo, CAST(idade AS DOUBLE), CAST(ano_sinistro AS VARCHAR(10)),
          regiao_administrativa, tipo_via, tipo_de_vitima, mes_sinistro, dia_sinistro, valor
   FROM cases WHERE id_sinistro % 50 = 0
 )"""

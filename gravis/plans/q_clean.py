@@ -97,14 +97,14 @@ def _band_sql(col):
                    for lo, hi, t in zip(edges[:-1], edges[1:], labels))
     pos = " ".join(f"WHEN {col} > {lo} AND {col} <= {hi} THEN {i}"
                    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])))
-    return f"CASE {lab} END AS faixa, CASE {pos} END AS faixa_ordem"
+    return f"CASE {lab} END AS faixa, CAST(CASE {pos} END AS DOUBLE) AS faixa_ordem"
 
 
 @register("age_bands", "N12", _dirty(f"SELECT id_sinistro, idade, {_band_sql('idade')} FROM cases_dirty"))
 def age_bands(spark, sf_dir):
     d = cases_dirty(spark, sf_dir)
     return d.select("id_sinistro", "idade", age_band("idade").alias("faixa"),
-                    age_band_order("idade").alias("faixa_ordem"))
+                    age_band_order("idade").cast("double").alias("faixa_ordem"))
 
 
 @register("iqr_filter", "N4,P7,A15",
@@ -163,10 +163,10 @@ def severity_map(spark, sf_dir):
 
 @register("sex_map", "N10",
           _dirty("""SELECT id_sinistro, sexo,
-       CASE sexo WHEN 'FEMININO' THEN 0 WHEN 'MASCULINO' THEN 1 END AS sexo_bin FROM cases_dirty"""))
+       CAST(CASE sexo WHEN 'FEMININO' THEN 0 WHEN 'MASCULINO' THEN 1 END AS DOUBLE) AS sexo_bin FROM cases_dirty"""))
 def sex_map(spark, sf_dir):
     d = cases_dirty(spark, sf_dir)
-    return d.select("id_sinistro", "sexo", sex_code("sexo").alias("sexo_bin"))
+    return d.select("id_sinistro", "sexo", sex_code("sexo").cast("double").alias("sexo_bin"))
 
 
 _SCOPE = {"regiao_administrativa": "AMERICA", "tipo_via": "AUTOMOBILE"}

@@ -103,7 +103,7 @@ def cases_dirty(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR,
         .alias("gravidade_lesao"),
         dirt(F.col("sexo"), F.when(_every(13), F.lit(None).cast("string")).otherwise(F.col("sexo"))).alias("sexo"),
         dirt(F.col("idade"), F.when(_every(11), F.lit(None).cast("int")).when(_every(101), F.lit(400))
-             .otherwise(F.col("idade"))).alias("idade"),
+             .otherwise(F.col("idade"))).cast("double").alias("idade"),  # the source types age as double
         dirt(F.col("ano_sinistro").cast("string"), F.when(_every(29), F.lit("junk"))
              .otherwise(F.col("ano_sinistro").cast("string"))).alias("ano_texto"),
         *DIRTY_PASSTHROUGH,
