@@ -130,3 +130,28 @@ def sentinel_scope(df: DataFrame, scope: dict | None = SCOPE) -> DataFrame:
     sentinel excluded (missing values kept)."""
     d = C.equals_all(df, {k: v for k, v in (scope or {}).items() if k in df.columns}) if scope else df
     return C.exclude_value(d, [c for c in SCOPE_SENTINEL_COLUMNS if c in d.columns], NOT_AVAILABLE)
+
+
+# Headers of the result files the reference writes.
+METRIC_HEADERS = {"modelo": "Modelo", "f1_macro": "F1-macro", "recall_macro": "Recall-macro",
+                  "precision_macro": "Precision-macro"}
+CLASS_HEADERS = {"classe": "Classe", "precision": "Precision", "recall": "Recall", "f1": "F1"}
+
+
+def write_results(out_dir: str, summary: DataFrame, report: DataFrame, confusion: DataFrame,
+                  search: list[tuple[str, str]] | None = None) -> None:
+    """Write the result set: per-model macro metrics, the F1 comparison, the
+    FATAL / GRAVE metrics, one confusion matrix per model and the search
+    report. Every input is small (one row per model or class)."""
+    import os
+
+    metrics = summary.select(*[F.col(k).alias(v) for k, v in METRIC_HEADERS.items()])
+    X.write_metric_table(metrics, os.path.join(out_dir, "metricas_modelos"))
+    X.write_metric_table(metrics.select("Modelo", "F1-macro"), os.path.join(out_dir, "comparacao_modelos"))
+    fg = report.filter(F.col("classe").isin("FATAL", "GRAVE"))
+    cols = ["modelo"] if "modelo" in fg.columns else []
+    X.write_metric_table(fg.select(*cols, *[F.col(k).alias(v) for k, v in CLASS_HEADERS.items()]),
+                         os.path.join(out_dir, "metricas_fatal_grave"))
+    X.write_per_model(confusion, os.path.join(out_dir, "matriz_confusao"))
+    if search:
+        X.write_report(summary.sparkSession, search, os.path.join(out_dir, "gridsearch_resultados"))

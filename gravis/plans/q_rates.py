@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravis.functions.scalar import month_abbr, ratio, rel_diff_pct, risk_tier
+from gravis.functions.scalar import month_abbr, ratio, risk_tier
 from gravis.operators import rates as R
 from gravis.plans import params as P
 from gravis.plans.oracle import with_cases
