@@ -29,12 +29,20 @@ def _c(c):
 
 # --- grouped descriptive statistics ---------------------------------------
 
-def describe_by_group(df: DataFrame, value: str, group: str | Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles and max of ``value`` per
+def _quartiles(x: Column, approx: bool) -> Column:
+    """Quartiles: exact (a value -> count map per group, right for bounded
+    domains such as ages) or ``percentile_approx`` (bounded memory) for
+    high-cardinality values."""
+    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    return F.percentile_approx(x, qs, 100_000) if approx else F.percentile(x, qs)
+
+
+def describe_by_group(df: DataFrame, value: str, group: str | Sequence[str], approx: bool = False) -> DataFrame:
+    """count, mean, sample std, min, quartiles and max of ``value`` per
     group (pandas ``groupby().describe()``); missing values are skipped."""
     groups = [group] if isinstance(group, str) else list(group)
     x = F.col(value)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = _quartiles(x, approx)
     out = df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).cast("double").alias("min"), q.alias("_q"), F.max(x).cast("double").alias("max"))
@@ -51,7 +59,7 @@ def std_by_group(df: DataFrame, value: str, group: str, places: int | None = 2)
 
 
 def box_summary(df: DataFrame, value: str, group: str, k: float = 1.5,
-                max_groups: int = 10_000) -> DataFrame:
+                max_groups: int = 10_000, approx: bool = False) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers at the farthest point
     inside the 1.5 IQR fences, and the outlier count.
 
@@ -62,7 +70,7 @@ def box_summary(df: DataFrame, value: str, group: str, k: float = 1.5,
     """
     src = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     q = src.groupBy(group).agg(
-        F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+        _quartiles(F.col(value), approx).alias("q"),
         F.count(F.lit(1)).alias("n")).limit(max_groups + 1).collect()
     if len(q) > max_groups:
         raise ValueError(f"box_summary: more than {max_groups} groups")

@@ -376,7 +376,26 @@ def logistic_curve(spark, sf_dir):
         "coeficiente", F.lit(float(model.coefficients[0])))
 
 
-@register("run_summary", "M17,P19")
+def _run_summary_sql():
+    from gravis.plans.q_stats import PREDICTIVE_FEATURES, _CODED_SQL, _corr_sql_expr
+    rows = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS variavel, round({_corr_sql_expr(c, 'gravidade_num')}, 9) AS r FROM coded"
+        for c in PREDICTIVE_FEATURES)
+    band = ("CASE WHEN idade > 0 AND idade <= 18 THEN '0-18' WHEN idade > 18 AND idade <= 25 THEN '19-25' "
+            "WHEN idade > 25 AND idade <= 35 THEN '26-35' WHEN idade > 35 AND idade <= 45 THEN '36-45' "
+            "WHEN idade > 45 AND idade <= 60 THEN '46-60' WHEN idade > 60 AND idade <= 100 THEN '60+' "
+            "ELSE 'DESCONHECIDO' END")
+    legal = "CASE WHEN idade < 18 THEN 'MENOR' WHEN idade >= 18 THEN 'MAIOR' ELSE 'DESCONHECIDO' END"
+    return with_cases(f"""SELECT (SELECT count(*) FROM cases) AS registros,
+       (SELECT count(*) FROM cases) AS registros_modelo,
+       CAST((SELECT count(DISTINCT municipio) + count(DISTINCT tipo_via) + count(DISTINCT tipo_de_vitima)
+               + count(DISTINCT {legal}) + count(DISTINCT {band}) + 6 FROM cases) AS INTEGER) AS features,
+       (SELECT string_agg(variavel, ', ' ORDER BY posicao) FROM (
+          SELECT variavel, row_number() OVER (ORDER BY abs(r) DESC, variavel) AS posicao
+          FROM ({rows}) WHERE r IS NOT NULL) WHERE posicao <= 3) AS top3""", extra_ctes=_CODED_SQL)
+
+
+@register("run_summary", "M17,P19", _run_summary_sql())
 def run_summary(spark, sf_dir):
     """Rows analysed, rows modelled, feature count and the three strongest
     leak-free variables by |r| with the target."""
@@ -387,5 +406,6 @@ def run_summary(spark, sf_dir):
     top = leakfree_correlation_ranking(spark, sf_dir).filter(F.col("posicao") <= 3)
     top3 = top.agg(F.array_join(F.sort_array(F.collect_list(F.struct("posicao", "variavel"))).getField("variavel"),
                                 ", ").alias("top3"))
-    return top3.select(F.lit(n_rows).alias("registros"), F.lit(n_model).alias("registros_modelo"),
+    return top3.select(F.lit(n_rows).cast("long").alias("registros"),
+                       F.lit(n_model).cast("long").alias("registros_modelo"),
                        F.lit(len(ff.slot_names)).alias("features"), "top3")
