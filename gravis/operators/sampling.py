@@ -26,6 +26,18 @@ def row_hash(id_cols: Sequence[str], seed: int) -> F.Column:
     return F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
 
 
+def bucket_count(total_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets grow with the data, so a bucket holds ~rows_per_bucket rows."""
+    return int(min(1 << 20, max(16, total_rows // rows_per_bucket)))
+
+
+def hash_bucket(h: F.Column, nb: int) -> F.Column:
+    """Order-preserving bucket of a 64-bit hash: equal-width hash ranges,
+    so buckets are equally full and bucket order is hash order."""
+    return F.least(F.lit(nb - 1),
+                   ((h.cast("double") / F.lit(_TWO63) + F.lit(1.0)) / F.lit(2.0) * F.lit(nb)).cast("long"))
+
+
 def stratum_counts(df: DataFrame, strata: Sequence[str]) -> dict[tuple, int]:
     """Rows per stratum, on the driver (strata are class labels: a few rows)."""
     rows = df.groupBy(*strata).count().collect() if strata else [((), df.count())]
@@ -42,11 +54,9 @@ def hash_rank(df: DataFrame, strata: Sequence[str], id_cols: Sequence[str], seed
     strata = list(strata)
     if total_rows is None:
         total_rows = df.count()
-    nb = int(min(1 << 20, max(16, total_rows // ROWS_PER_BUCKET)))
+    nb = bucket_count(total_rows)
     h = row_hash(id_cols, seed)
-    b = F.least(F.lit(nb - 1),
-                ((h.cast("double") / F.lit(_TWO63) + F.lit(1.0)) / F.lit(2.0) * F.lit(nb)).cast("long"))
-    x = df.withColumn("_h", h).withColumn("_b", b)
+    x = df.withColumn("_h", h).withColumn("_b", hash_bucket(F.col("_h"), nb))
     per_bucket = x.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     ws = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
     offsets = per_bucket.select(
