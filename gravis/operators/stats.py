@@ -167,6 +167,66 @@ def correlations_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFr
     return wide.selectExpr(f"stack({len(cols)}, {stack}) AS (variavel, r)")
 
 
+def target_correlations(df: DataFrame, target: str, text_cols: Sequence[str],
+                        numeric_cols: Sequence[str], missing: str = "MISSING",
+                        max_cells: int = 1_000_000) -> DataFrame:
+    """(variavel, r) of every column against the target's sorted-order code,
+    with text columns also taken as their sorted-order codes (missing text
+    counts as ``missing``), from ONE scan.
+
+    A grouping-sets aggregate returns, per text column, the row count of each
+    (value, class) pair, and per class the count, mean and population
+    variance of each numeric column (missing values skipped). The codes are
+    ranks of the distinct values in that small table, and r follows from the
+    law of total variance (x's between-class and within-class parts; the
+    class code is constant within a class), which is numerically stable.
+    The small table comes to the driver; its size is checked (``max_cells``).
+    """
+    text_cols, numeric_cols = list(text_cols), list(numeric_cols)
+    y = F.coalesce(F.col(target).cast("string"), F.lit(missing)).alias("_y")
+    xs = [F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(f"_t{i}") for i, c in enumerate(text_cols)]
+    src = df.select(y, *xs, *[F.col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(numeric_cols)])
+    sets = [["_y"]] + [[f"_t{i}", "_y"] for i in range(len(text_cols))]
+    cols = ["_y"] + [f"_t{i}" for i in range(len(text_cols))]
+    aggs = [F.count(F.lit(1)).alias("_cnt"), F.grouping_id(*[F.col(c) for c in cols]).alias("_gid")]
+    for i in range(len(numeric_cols)):
+        aggs += [F.count(f"_n{i}").alias(f"c{i}"), F.avg(f"_n{i}").alias(f"m{i}"), F.var_pop(f"_n{i}").alias(f"v{i}")]
+    grouped = src.groupingSets([[F.col(c) for c in st] for st in sets], *cols).agg(*aggs)
+    rows = grouped.limit(max_cells + 1).collect()  # categorical columns: small, and checked
+    if len(rows) > max_cells:
+        raise ValueError("target_correlations: text columns have too many distinct values")
+    ncols = len(cols)
+
+    def gid_of(keep):
+        return sum(1 << (ncols - 1 - i) for i, c in enumerate(cols) if c not in keep)
+
+    by_class = [r for r in rows if r["_gid"] == gid_of({"_y"})]
+    ycode = {v: i for i, v in enumerate(sorted(r["_y"] for r in by_class))}
+    out = []
+
+    def pearson(pairs):
+        """pairs: (n, x_mean, x_var_within, y) per cell; r of x with y."""
+        n = sum(p[0] for p in pairs)
+        if not n:
+            return None
+        mx = sum(p[0] * p[1] for p in pairs) / n
+        my = sum(p[0] * p[3] for p in pairs) / n
+        cov = sum(p[0] * (p[1] - mx) * (p[3] - my) for p in pairs) / n
+        vx = sum(p[0] * (p[2] + (p[1] - mx) ** 2) for p in pairs) / n
+        vy = sum(p[0] * (p[3] - my) ** 2 for p in pairs) / n
+        return cov / math.sqrt(vx * vy) if vx > 0 and vy > 0 else None
+
+    for i, c in enumerate(text_cols):
+        cells = [r for r in rows if r["_gid"] == gid_of({f"_t{i}", "_y"})]
+        xcode = {v: j for j, v in enumerate(sorted({r[f"_t{i}"] for r in cells}))}
+        out.append((c, pearson([(r["_cnt"], float(xcode[r[f"_t{i}"]]), 0.0, float(ycode[r["_y"]]))
+                                for r in cells])))
+    for i, c in enumerate(numeric_cols):
+        out.append((c, pearson([(r[f"c{i}"], r[f"m{i}"] or 0.0, r[f"v{i}"] or 0.0, float(ycode[r["_y"]]))
+                                for r in by_class if r[f"c{i}"]])))
+    return df.sparkSession.createDataFrame(out, "variavel string, r double")
+
+
 def correlation_ranking(corrs: DataFrame) -> DataFrame:
     """Drop undefined correlations, order by |r| descending (name breaks
     ties) and number the rows; the input is one row per variable."""

@@ -164,8 +164,16 @@ def _ranking_sql(features):
 FROM ({rows}) WHERE r IS NOT NULL""", extra_ctes=_CODED_SQL)
 
 
+def _target_corrs(spark, sf_dir, features):
+    """r of each feature (text as sorted-order code) with the target code,
+    from one scan of the case view."""
+    text = [c for c in features if c in STRING_FEATURES]
+    num = [c for c in features if c in NUMERIC_FEATURES]
+    return S.target_correlations(cases(spark, sf_dir), TARGET, text, num)
+
+
 def _ranking(spark, sf_dir, features):
-    corrs = S.correlations_with(coded_cases(spark, sf_dir), "gravidade_num", features)
+    corrs = _target_corrs(spark, sf_dir, features)
     return S.correlation_ranking(corrs.select("variavel", _r9("r").alias("r")))
 
 
@@ -276,7 +284,7 @@ def importance_rollup(spark, sf_dir):
     """Roll-up of per-variable weights into families; here the weights are
     |r| with the target, so the roll-up is checkable against SQL (the model
     importances go through the same function in ``rf_importance_rollup``)."""
-    corrs = S.correlations_with(coded_cases(spark, sf_dir), "gravidade_num", PREDICTIVE_FEATURES)
+    corrs = _target_corrs(spark, sf_dir, PREDICTIVE_FEATURES)
     w = corrs.select("variavel", _r9(F.abs("r")).alias("peso"))
     out = rollup_importance(w)
     return out.select("familia", _r9("soma").alias("soma"), "variaveis",

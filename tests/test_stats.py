@@ -98,3 +98,19 @@ def test_correlation_matrix_pairwise_matches_pandas(spark):
         for b in ["a", "b", "d"]:
             assert got[(a, b)] == pytest.approx(ref.loc[a, b], abs=1e-12)
     assert got[("a", "c")] is None and got[("c", "c")] is None
+
+
+def test_target_correlations_match_pandas_codes(spark):
+    rng = np.random.default_rng(9)
+    n = 600
+    pdf = pd.DataFrame({"g": rng.choice(["FATAL", "GRAVE", "LEVE"], n),
+                        "t": rng.choice(["b", "a", "c", None], n),
+                        "x": rng.normal(1998, 2, n)})
+    pdf.loc[::7, "x"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, t string, x double")
+    got = {r["variavel"]: r["r"] for r in S.target_correlations(df, "g", ["t"], ["x"]).collect()}
+    y = pdf["g"].map({"FATAL": 0, "GRAVE": 1, "LEVE": 2}).astype(float)
+    t = pdf["t"].fillna("MISSING")
+    tcode = t.map({v: i for i, v in enumerate(sorted(t.unique()))}).astype(float)
+    assert got["t"] == pytest.approx(tcode.corr(y), abs=1e-12)
+    assert got["x"] == pytest.approx(pdf["x"].corr(y), abs=1e-12)
