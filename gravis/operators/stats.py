@@ -167,20 +167,19 @@ def correlations_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFr
     return wide.selectExpr(f"stack({len(cols)}, {stack}) AS (variavel, r)")
 
 
-def target_correlations(df: DataFrame, target: str, text_cols: Sequence[str],
-                        numeric_cols: Sequence[str], missing: str = "MISSING",
-                        max_cells: int = 1_000_000) -> DataFrame:
-    """(variavel, r) of every column against the target's sorted-order code,
-    with text columns also taken as their sorted-order codes (missing text
-    counts as ``missing``), from ONE scan.
+def target_class_stats(df: DataFrame, target: str, text_cols: Sequence[str],
+                       numeric_cols: Sequence[str], missing: str = "MISSING",
+                       max_cells: int = 1_000_000) -> dict:
+    """Per feature and per target class: (n, mean, population variance) of
+    the feature, plus the class code, from ONE scan. Text features count as
+    their sorted-order codes (missing text is ``missing``); the class code is
+    the target's sorted-order code.
 
     A grouping-sets aggregate returns, per text column, the row count of each
     (value, class) pair, and per class the count, mean and population
-    variance of each numeric column (missing values skipped). The codes are
-    ranks of the distinct values in that small table, and r follows from the
-    law of total variance (x's between-class and within-class parts; the
-    class code is constant within a class), which is numerically stable.
-    The small table comes to the driver; its size is checked (``max_cells``).
+    variance of each numeric column (missing values skipped). That table is
+    small (categorical values x classes), comes to the driver, and its size
+    is checked (``max_cells``). Returns {feature: [(n, mean, var, y), ...]}.
     """
     text_cols, numeric_cols = list(text_cols), list(numeric_cols)
     y = F.coalesce(F.col(target).cast("string"), F.lit(missing)).alias("_y")
@@ -194,39 +193,96 @@ def target_correlations(df: DataFrame, target: str, text_cols: Sequence[str],
     grouped = src.groupingSets([[F.col(c) for c in st] for st in sets], *cols).agg(*aggs)
     rows = grouped.limit(max_cells + 1).collect()  # categorical columns: small, and checked
     if len(rows) > max_cells:
-        raise ValueError("target_correlations: text columns have too many distinct values")
+        raise ValueError("target_class_stats: text columns have too many distinct values")
     ncols = len(cols)
 
     def gid_of(keep):
         return sum(1 << (ncols - 1 - i) for i, c in enumerate(cols) if c not in keep)
 
     by_class = [r for r in rows if r["_gid"] == gid_of({"_y"})]
-    ycode = {v: i for i, v in enumerate(sorted(r["_y"] for r in by_class))}
-    out = []
-
-    def pearson(pairs):
-        """pairs: (n, x_mean, x_var_within, y) per cell; r of x with y."""
-        n = sum(p[0] for p in pairs)
-        if not n:
-            return None
-        mx = sum(p[0] * p[1] for p in pairs) / n
-        my = sum(p[0] * p[3] for p in pairs) / n
-        cov = sum(p[0] * (p[1] - mx) * (p[3] - my) for p in pairs) / n
-        vx = sum(p[0] * (p[2] + (p[1] - mx) ** 2) for p in pairs) / n
-        vy = sum(p[0] * (p[3] - my) ** 2 for p in pairs) / n
-        return cov / math.sqrt(vx * vy) if vx > 0 and vy > 0 else None
-
+    ycode = {v: float(i) for i, v in enumerate(sorted(r["_y"] for r in by_class))}
+    out = {}
     for i, c in enumerate(text_cols):
         cells = [r for r in rows if r["_gid"] == gid_of({f"_t{i}", "_y"})]
-        xcode = {v: j for j, v in enumerate(sorted({r[f"_t{i}"] for r in cells}))}
-        out.append((c, pearson([(r["_cnt"], float(xcode[r[f"_t{i}"]]), 0.0, float(ycode[r["_y"]]))
-                                for r in cells])))
+        xcode = {v: float(j) for j, v in enumerate(sorted({r[f"_t{i}"] for r in cells}))}
+        per = []
+        for cls in sorted(ycode):
+            part = [(r["_cnt"], xcode[r[f"_t{i}"]]) for r in cells if r["_y"] == cls]
+            n = sum(p[0] for p in part)
+            if n:
+                m = sum(p[0] * p[1] for p in part) / n
+                v = sum(p[0] * (p[1] - m) ** 2 for p in part) / n
+                per.append((n, m, v, ycode[cls]))
+        out[c] = per
     for i, c in enumerate(numeric_cols):
-        out.append((c, pearson([(r[f"c{i}"], r[f"m{i}"] or 0.0, r[f"v{i}"] or 0.0, float(ycode[r["_y"]]))
-                                for r in by_class if r[f"c{i}"]])))
+        out[c] = [(r[f"c{i}"], r[f"m{i}"], r[f"v{i}"] or 0.0, ycode[r["_y"]]) for r in by_class if r[f"c{i}"]]
+    return out
+
+
+def _moments(per):
+    """n, mean x, mean y, cov, var x, var y (population) from per-class
+    (n, mean, var, y): the class code is constant within a class, so the
+    law of total variance gives them exactly."""
+    n = sum(p[0] for p in per)
+    if not n:
+        return 0, None, None, None, None, None
+    mx = sum(p[0] * p[1] for p in per) / n
+    my = sum(p[0] * p[3] for p in per) / n
+    cov = sum(p[0] * (p[1] - mx) * (p[3] - my) for p in per) / n
+    vx = sum(p[0] * (p[2] + (p[1] - mx) ** 2) for p in per) / n
+    vy = sum(p[0] * (p[3] - my) ** 2 for p in per) / n
+    return n, mx, my, cov, vx, vy
+
+
+def target_correlations(df: DataFrame, target: str, text_cols: Sequence[str],
+                        numeric_cols: Sequence[str], missing: str = "MISSING") -> DataFrame:
+    """(variavel, r) of every column against the target code, from one scan
+    (see ``target_class_stats``)."""
+    stats = target_class_stats(df, target, text_cols, numeric_cols, missing)
+    out = []
+    for c in list(text_cols) + list(numeric_cols):
+        n, _, _, cov, vx, vy = _moments(stats[c])
+        out.append((c, cov / math.sqrt(vx * vy) if n and vx > 0 and vy > 0 else None))
     return df.sparkSession.createDataFrame(out, "variavel string, r double")
 
 
+def target_regressions(df: DataFrame, target: str, text_cols: Sequence[str],
+                       numeric_cols: Sequence[str], missing: str = "MISSING") -> DataFrame:
+    """Least-squares line of the target code on each column (slope,
+    intercept, r^2, n), from one scan (see ``target_class_stats``)."""
+    stats = target_class_stats(df, target, text_cols, numeric_cols, missing)
+    out = []
+    for c in list(text_cols) + list(numeric_cols):
+        n, mx, my, cov, vx, vy = _moments(stats[c])
+        if not n or not vx or vx <= 0:
+            out.append((c, None, None, None, int(n)))
+            continue
+        slope = cov / vx
+        r2 = 1.0 if not vy or vy <= 0 else cov * cov / (vx * vy)
+        out.append((c, slope, my - slope * mx, r2, int(n)))
+    return df.sparkSession.createDataFrame(out, "variavel string, slope double, intercept double, r2 double, n long")
+
+
+def target_anova(df: DataFrame, target: str, text_cols: Sequence[str],
+                 numeric_cols: Sequence[str], missing: str = "MISSING") -> DataFrame:
+    """One-way ANOVA F of each column across the target classes, from one
+    scan (see ``target_class_stats``); same columns as ``anova_f``."""
+    stats = target_class_stats(df, target, text_cols, numeric_cols, missing)
+    out = []
+    for c in list(text_cols) + list(numeric_cols):
+        per = stats[c]
+        k, n = len(per), sum(p[0] for p in per)
+        if k < 2:
+            continue
+        grand = sum(p[0] * p[1] for p in per) / n
+        ssb = sum(p[0] * (p[1] - grand) ** 2 for p in per)
+        ssw = sum(p[0] * p[2] for p in per)
+        f = (ssb / (k - 1)) / (ssw / (n - k)) if ssw > 0 and n > k else None
+        out.append((c, k, n, k - 1, n - k, f, "T-test" if k == 2 else "ANOVA"))
+    return df.sparkSession.createDataFrame(
+        out, "variavel string, grupos long, n long, df1 long, df2 long, f double, teste string")
+
+
 def correlation_ranking(corrs: DataFrame) -> DataFrame:
     """Drop undefined correlations, order by |r| descending (name breaks
     ties) and number the rows; the input is one row per variable."""

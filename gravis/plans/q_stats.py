@@ -215,7 +215,9 @@ def correlation_matrix(spark, sf_dir):
               f"round(regr_r2(gravidade_num, {c}), 9) AS r2, CAST(regr_count(gravidade_num, {c}) AS BIGINT) AS n FROM coded"
               for c in PREDICTIVE_FEATURES), extra_ctes=_CODED_SQL))
 def regression_lines(spark, sf_dir):
-    r = S.regression_lines(coded_cases(spark, sf_dir), "gravidade_num", PREDICTIVE_FEATURES)
+    text = [c for c in PREDICTIVE_FEATURES if c in STRING_FEATURES]
+    num = [c for c in PREDICTIVE_FEATURES if c in NUMERIC_FEATURES]
+    r = S.target_regressions(cases(spark, sf_dir), TARGET, text, num)
     return r.select("variavel", _r9("slope").alias("slope"), F.round("intercept", 6).alias("intercept"),
                     _r9("r2").alias("r2"), F.col("n").cast("long").alias("n"))
 
@@ -238,7 +240,9 @@ GROUP BY p.variavel, k, tn, grand HAVING k >= 2""",
 
 @register("group_f_test", "A27", _f_sql())
 def group_f_test(spark, sf_dir):
-    f = S.anova_f(coded_cases(spark, sf_dir), TARGET, PREDICTIVE_FEATURES)
+    text = [c for c in PREDICTIVE_FEATURES if c in STRING_FEATURES]
+    num = [c for c in PREDICTIVE_FEATURES if c in NUMERIC_FEATURES]
+    f = S.target_anova(cases(spark, sf_dir), TARGET, text, num)
     return f.withColumn("f", _r9("f"))
 
 
@@ -246,7 +250,9 @@ def group_f_test(spark, sf_dir):
 def group_significance(spark, sf_dir):
     """F test with p-value and stars (the p-value needs the F distribution,
     which the SQL oracle lacks, so this one is checked by tests instead)."""
-    return S.with_p_value(S.anova_f(coded_cases(spark, sf_dir), TARGET, PREDICTIVE_FEATURES))
+    text = [c for c in PREDICTIVE_FEATURES if c in STRING_FEATURES]
+    num = [c for c in PREDICTIVE_FEATURES if c in NUMERIC_FEATURES]
+    return S.with_p_value(S.target_anova(cases(spark, sf_dir), TARGET, text, num))
 
 
 # --- importance roll-up -------------------------------------------------------

@@ -114,3 +114,17 @@ def test_target_correlations_match_pandas_codes(spark):
     tcode = t.map({v: i for i, v in enumerate(sorted(t.unique()))}).astype(float)
     assert got["t"] == pytest.approx(tcode.corr(y), abs=1e-12)
     assert got["x"] == pytest.approx(pdf["x"].corr(y), abs=1e-12)
+
+
+def test_target_regression_and_anova_match_brute_force(spark, sample):
+    pdf, df = sample
+    codes = {"A": 0.0, "B": 1.0, "C": 2.0}
+    y = pdf["g"].map(codes)
+    reg = S.target_regressions(df, "g", [], ["x"]).first()
+    slope, intercept = np.polyfit(pdf["x"], y, 1)
+    assert reg["slope"] == pytest.approx(slope, rel=1e-9)
+    assert reg["intercept"] == pytest.approx(intercept, rel=1e-9)
+    assert reg["r2"] == pytest.approx(np.corrcoef(pdf["x"], y)[0, 1] ** 2, rel=1e-9)
+    a = S.target_anova(df, "g", [], ["x"]).first()
+    b = S.anova_f(df, "g", ["x"]).first()
+    assert a["f"] == pytest.approx(b["f"], rel=1e-9) and (a["df1"], a["df2"]) == (b["df1"], b["df2"])
