@@ -334,25 +334,26 @@ _KPI_SQL = with_cases(f"""SELECT total_casos, fatal_pct, rate_a, rate_b,
 
 @register("kpi_dashboard", "A29,P18,P19,R6,A21,F10", _KPI_SQL)
 def kpi_dashboard(spark, sf_dir):
-    """One row of headline numbers. A single fine aggregate on (month,
-    municipality) feeds the three coarse ones; Spark reuses its shuffle."""
+    """One row of headline numbers from ONE scan of the case view: a
+    grouping-sets aggregate over (month), (municipality) and the grand total,
+    checkpointed (a few dozen rows), then read by each part."""
+    from gravis.session import cut_lineage
     c = cases(spark, sf_dir)
     g = F.col("gravidade_lesao")
-    fine = c.groupBy("mes_sinistro", "municipio").agg(
+    sets = c.groupingSets([[F.col("mes_sinistro")], [F.col("municipio")], []], "mes_sinistro", "municipio").agg(
         F.count(F.lit(1)).alias("rows"), F.count(g).alias("total"),
-        F.count(F.when(g == "FATAL", 1)).alias("n_fatal"))
-    overall = fine.agg(F.sum("rows").alias("total_casos"),
-                       (F.lit(100) * F.sum("n_fatal") / F.sum("rows")).alias("fatal_pct"))
-    mes = (fine.filter(F.col("mes_sinistro").isNotNull())
-           .groupBy("mes_sinistro").agg(F.sum("n_fatal").alias("n"), F.sum("total").alias("t"))
-           .filter(F.col("t") > 0)
-           .select("mes_sinistro", (F.lit(100) * F.col("n") / F.col("t")).alias("fatal_rate")))
+        F.count(F.when(g == "FATAL", 1)).alias("n_fatal"),
+        F.grouping_id(F.col("mes_sinistro"), F.col("municipio")).alias("_gid"))
+    sets = cut_lineage(sets)
+    overall = sets.filter(F.col("_gid") == 3).select(
+        F.col("rows").alias("total_casos"), (F.lit(100) * F.col("n_fatal") / F.col("rows")).alias("fatal_pct"))
+    mes = (sets.filter((F.col("_gid") == 1) & F.col("mes_sinistro").isNotNull() & (F.col("total") > 0))
+           .select("mes_sinistro", (F.lit(100) * F.col("n_fatal") / F.col("total")).alias("fatal_rate")))
     seasonal = R.compare_two_keys(mes, "mes_sinistro", P.MONTH_A, P.MONTH_B, "fatal_rate")
     seasonal = seasonal.withColumnRenamed("diff_pct", "diff_sazonal_pct")
-    muni = (fine.filter(F.col("municipio").isNotNull())
-            .groupBy("municipio").agg(F.sum("n_fatal").alias("n"), F.sum("total").alias("t"))
-            .filter((F.col("t") > 0) & (F.col("t") >= support_threshold(sf_dir)))
-            .select("municipio", (F.lit(100) * F.col("n") / F.col("t")).alias("fatal_rate")))
+    muni = (sets.filter((F.col("_gid") == 2) & F.col("municipio").isNotNull() & (F.col("total") > 0)
+                        & (F.col("total") >= support_threshold(sf_dir)))
+            .select("municipio", (F.lit(100) * F.col("n_fatal") / F.col("total")).alias("fatal_rate")))
     extremes = muni.agg(
         F.min_by("municipio", F.struct(-F.col("fatal_rate"), F.col("municipio"))).alias("pior_municipio"),
         F.max("fatal_rate").alias("pior_rate"),
