@@ -123,10 +123,13 @@ sel AS (SELECT * FROM cases WHERE municipio IN (SELECT municipio FROM top5)),
 
 @register("top5_city_road", "A9,P8,J1,R4", _top5_sql(600))
 def top5_city_road(spark, sf_dir):
-    c = cases(spark, sf_dir)
-    muni = R.min_support(R.severity_matrix(c, ["municipio"]), support_threshold(sf_dir))
+    """(municipality, road) rates for the top-5 municipalities. Both matrices
+    come from one grouping-sets scan; restricting the (municipality, road)
+    matrix to the top-5 keys equals the matrix of their rows."""
+    muni, pair = R.severity_matrices(cases(spark, sf_dir), [["municipio"], ["municipio", "tipo_via"]])
+    muni = R.min_support(muni, support_threshold(sf_dir))
     top = R.top_k_keys(muni, "municipio", _desc("fatal_rate", "municipio"), P.TOP_INTERACTION)
-    return R.severity_matrix(R.semi_join_keys(c, top, "municipio"), ["municipio", "tipo_via"])
+    return R.semi_join_keys(pair, top, "municipio")
 
 
 _DAYS = list(range(1, 32))
@@ -288,9 +291,9 @@ def risk_tiers(spark, sf_dir):
         ("municipio", "municipio", P.MUNICIPAL_TIER_CUTS, P.MUNICIPAL_TIER_LABELS),
         ("vitima", "tipo_de_vitima", P.VICTIM_TIER_CUTS, P.VICTIM_TIER_LABELS),
     ]
+    mats = R.severity_matrices(c, [[key] for _, key, _, _ in parts], scale=100)  # one scan
     out = []
-    for name, key, cuts, labels in parts:
-        m = R.severity_matrix(c, [key], scale=100)
+    for (name, key, cuts, labels), m in zip(parts, mats):
         out.append(m.select(F.lit(name).alias("tabela"), F.col(key).cast("string").alias("chave"),
                             "fatal_rate", risk_tier("fatal_rate", cuts, labels).alias("nivel")))
     return reduce(DataFrame.unionByName, out)
