@@ -42,6 +42,7 @@ CUTOFF = 50.0  # squared robust distance; chi-square with 5 degrees exceeds it a
 # Transformed statistics and the least standard deviation of each.
 FEATURES = {"f_words": 0.5, "f_length": 0.35, "f_symbols": 0.08, "f_lines": 0.12, "f_repeat": 0.12}
 _STEP_ACCURACY = 1000
+SALTS = 32
 
 
 def base_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
@@ -101,6 +102,13 @@ def _distance(names: list[str]) -> Column:
     return functools.reduce(lambda a, b: a + b, [x * x for x in z])
 
 
+def _with(rows: DataFrame, per_group: DataFrame) -> DataFrame:
+    """``rows`` (g, salt, ...) with the columns of their group's one row, listed
+    once per salt, so that a group of a third of all rows is spread over tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return rows.join(per_group.select("*", salts), ["g", "salt"])
+
+
 def _factor(groups: DataFrame, names: list[str], floors: dict[str, float]) -> DataFrame:
     """Centres and Cholesky factors from per-group sums ``n, s_f, p_f_g`` of the
     shifted statistics (shift c_f, so that sums keep their digits)."""
@@ -125,12 +133,12 @@ def _factor(groups: DataFrame, names: list[str], floors: dict[str, float]) -> Da
 
 
 def mcd(rows: DataFrame, floors: dict[str, float] = FEATURES, h: float = H_SHARE, steps: int = C_STEPS) -> DataFrame:
-    """Minimum covariance determinant per group ``g`` of ``rows`` (g, features):
+    """Minimum covariance determinant per group ``g`` of ``rows`` (g, salt, features):
     g, centres m_*, Cholesky factors l_* and ``scale`` of the squared distance."""
     names = list(floors)
     centre = cut_lineage(rows.groupBy("g").agg(
         *[F.percentile_approx(f, 0.5, _STEP_ACCURACY).alias(f"c_{f}") for f in names]))
-    spread = rows.join(centre, "g").groupBy("g").agg(
+    spread = _with(rows, centre).groupBy("g").agg(
         *[F.first(f"c_{f}").alias(f"c_{f}") for f in names],
         *[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"c_{f}")), 0.5, _STEP_ACCURACY),
                      F.lit(floors[f])).alias(f"l_{f}_{f}") for f in names])
@@ -138,16 +146,16 @@ def mcd(rows: DataFrame, floors: dict[str, float] = FEATURES, h: float = H_SHARE
         f"l_{f}_{g}": F.lit(0.0) for i, f in enumerate(names) for g in names[:i]})
     params = cut_lineage(params)
     for _ in range(steps):
-        far = rows.join(params, "g").withColumn("d2", _distance(names))
-        near = rows.join(params, "g").withColumn("d2", _distance(names)).join(
-            far.groupBy("g").agg(F.percentile_approx("d2", h, _STEP_ACCURACY).alias("cut")), "g").where("d2 <= cut")
+        far = _with(rows, params).withColumn("d2", _distance(names))
+        cut = cut_lineage(far.groupBy("g").agg(F.percentile_approx("d2", h, _STEP_ACCURACY).alias("cut")))
+        near = _with(rows, params.join(cut, "g")).withColumn("d2", _distance(names)).where("d2 <= cut")
         x = {f: F.col(f) - F.col(f"c_{f}") for f in names}
         sums = near.groupBy("g").agg(
             F.count("*").alias("n"), *[F.first(f"c_{f}").alias(f"c_{f}") for f in names],
             *[F.sum(x[f]).alias(f"s_{f}") for f in names],
             *[F.sum(x[f] * x[g]).alias(f"p_{f}_{g}") for i, f in enumerate(names) for g in names[: i + 1]])
         params = cut_lineage(_factor(sums, names, floors))
-    scale = rows.join(params, "g").withColumn("d2", _distance(names)).groupBy("g").agg(
+    scale = _with(rows, params).withColumn("d2", _distance(names)).groupBy("g").agg(
         F.greatest(F.percentile_approx("d2", 0.5, _STEP_ACCURACY) / CHI2_5_MEDIAN, F.lit(1.0)).alias("scale"))
     return params.join(scale, "g")
 
@@ -170,10 +178,12 @@ def quality_table(df: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GR
     own = keyed.select(F.col("sk").alias("g"), *names)
     wide = keyed.select(F.explode(F.array(F.col("lk"), F.lit("all"))).alias("g"), *names).join(
         small.withColumnRenamed("use", "g"), "g", "left_semi")
+    salt = F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int").alias("salt")
     params = mcd(land(own.join(use.where("use = sk").select(F.col("sk").alias("g")), "g", "left_semi")
-                      .unionByName(wide)))
-    judged = stats.withColumn("sk", key).join(use, "sk", "left").join(params.withColumnRenamed("g", "use"),
-                                                                       "use", "left")
+                      .unionByName(wide).select("*", salt)))
+    params = params.withColumnRenamed("g", "use").join(use, "use")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    judged = stats.select("*", key.alias("sk"), salt).join(params.select("*", salts), ["sk", "salt"], "left")
     d2 = _distance(names) / F.col("scale")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cutoff)).alias("kept"),
