@@ -58,11 +58,12 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 def _grams(c: Column, tag: str) -> Column:
     """Tagged character n-grams of ``^text$``; short texts give fewer."""
     s = F.concat(F.lit("^"), c, F.lit("$"))
-    per_size = [F.when(F.length(s) >= n, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))),
-        lambda i, n=n: F.concat(F.lit(tag), F.substr(s, i, F.lit(n)))))
-        .otherwise(F.array().cast("array<string>")) for n in NGRAM_SIZES]
-    return F.concat(*per_size)
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))
+        grams = F.transform(starts, lambda i: F.concat(F.lit(tag), F.substr(s, i, F.lit(n))))
+        return F.when(F.length(s) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[of_size(n) for n in NGRAM_SIZES])
 
 
 def with_ngrams(df: DataFrame) -> DataFrame:
