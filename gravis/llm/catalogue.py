@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from gravis.llm import quality, urlfilter  # noqa: F401  (importing registers the queries)
+from gravis.llm import (  # noqa: F401  (importing registers the queries)
+    bpe, credentials, licences, packing, quality, siteextract, urlfilter,
+)
 from gravis.llm.registry import ORACLE, QUERIES
 
 
