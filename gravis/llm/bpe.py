@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import ahocorasick
 import numpy as np
@@ -139,7 +140,8 @@ class BytePairEncoder:
                 # the popped token is tried again: its end is dead now, so a prefix follows
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(self.encode_piece(p), "<u4").tobytes() for p in pieces]
+        found = map(self.encode_piece, pieces)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable
 
 import regex
@@ -19,7 +20,7 @@ _NUMBERS = "0-9²³¹¼½¾"
 _SPACES = "\\t-\\r \\x85\\xa0"
 _LATIN = re.compile("[^\\x00-\\xff]")
 CHUNK = 256  # texts handled together
-CACHE_PIECES = 300_000  # pieces a worker remembers, at most (and those of one chunk)
+CACHE_PIECES = 500_000  # pieces a worker remembers, at most (and those of one chunk)
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
@@ -63,23 +64,35 @@ class PieceEncoder:
 _WORKER: dict[int, PieceEncoder] = {}
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters a byte-level vocabulary spells bytes with: printable
+    Latin-1 bytes as themselves, the others from U+0100 on."""
+    plain = {b: chr(b) for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173}
+    others = [b for b in range(256) if b not in plain]
+    return plain | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def library_encoder(tokenizer_json: str, pattern: str) -> PieceEncoder:
     """Encoder of a byte-level ``tokenizers`` file, kept for a worker's life.
-    Strings of special tokens in a text are ordinary text. Each piece goes to
-    the library once: its pre-tokenizer splits a lone piece into itself, so ids
-    by piece equal ids by text."""
+    Strings of special tokens in a text are ordinary text. The text is split by
+    the tokenizer's own pattern, and each piece goes to the library's model
+    once, spelled in byte characters as its pre-tokenizer would."""
     key = hash(tokenizer_json)
     if key not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker a core
-        import numpy as np
         from tokenizers import Tokenizer
         tok = Tokenizer.from_str(tokenizer_json)
-        tok.encode_special_tokens = True
         if tok.normalizer is not None or "ByteLevel(add_prefix_space=False" not in repr(tok.pre_tokenizer):
             raise ValueError("a byte-level tokenizer without normalizer or prefix space is needed")
 
+        model, spell = tok.model, byte_characters()
+
         def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+            out = []
+            for piece in pieces:
+                found = model.tokenize(piece.encode().decode("latin-1").translate(spell))
+                out.append(struct.pack(f"<{len(found)}I", *[t.id for t in found]))
+            return out
         _WORKER[key] = PieceEncoder(splitter(pattern), encode)
     return _WORKER[key]
 
