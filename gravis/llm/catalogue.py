@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from gravis.llm import (  # noqa: F401  (importing registers the queries)
-    bpe, credentials, licences, packing, quality, siteextract, urlfilter,
+    bpe, credentials, idfile, jaccard, licences, mtree, packing, quality, siteextract, urlfilter,
 )
-from gravis.llm.registry import ORACLE, QUERIES
+from gravis.llm.registry import ORACLE, QUERIES, register
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
 def queries() -> dict:

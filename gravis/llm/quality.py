@@ -49,6 +49,8 @@ def base_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, ``keep`` columns and the base statistics of each whole text."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     d = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
+    keep = (*keep, "text_hash")
+    d = d.withColumn("text_hash", F.xxhash64(text))
     bare = F.translate(text, WORD_SPACE, "")
     lines = F.filter(F.split(text, "\n"), lambda s: F.translate(s, WORD_SPACE, "") != "")
     d = d.select("_id", *keep, F.length(bare).cast("long").alias("word_chars"),
@@ -161,7 +163,7 @@ def mcd(rows: DataFrame, floors: dict[str, float] = FEATURES, h: float = H_SHARE
 
 
 def quality_table(df: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """doc_id, n_words, base statistics, base_failed, kept, distance."""
+    """doc_id, n_words, base statistics, base_failed, kept, distance, text_hash."""
     stats = land(transformed(base_statistics(df, keep=("lang", "source"))).withColumn("base_failed", base_failed()))
     names = list(FEATURES)
     sound = stats.where(~F.col("base_failed"))
@@ -187,14 +189,17 @@ def quality_table(df: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GR
     d2 = _distance(names) / F.col("scale")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cutoff)).alias("kept"),
-                         d2.alias("distance"))
+                         d2.alias("distance"), "text_hash")
 
 
 def keep_good(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` (with doc_id) whose text is kept; a document id that
-    repeats is kept if any of its rows is."""
-    good = quality_table(df).where("kept").select("doc_id")
-    return df.join(good, "doc_id", "left_semi").select(*df.columns)
+    """The rows of ``df`` whose text is kept, with all columns. Rows of equal id
+    and text go together, and stay if any of them is kept."""
+    verdicts = quality_table(df).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"))
+    gone = land(verdicts.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")))
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return df.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (text_hash == F.col("_gone_hash")), "left_anti").select(
+        *df.columns)
 
 
 @register("op4_quality_rules")
