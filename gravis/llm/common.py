@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +30,11 @@ def land(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by quoted name."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -38,12 +42,3 @@ def ascii_lower(c: Column) -> Column:
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
-
-
-def per_batch(fn: Callable) -> Callable[[Iterator], Iterator]:
-    """Lift a function of one pandas frame to ``mapInPandas``."""
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield fn(pdf)
-    return run

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gravis.llm.common import land, table
+from gravis.llm.common import all_columns, land, table
 from gravis.llm.registry import register
 
 SCOPE = 200  # characters between complementary parts, at most
@@ -145,17 +145,18 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     prev = F.lag("end", 1, 0).over(W.partitionBy("_id", "_h").orderBy("start"))
     merged = merged.withColumn("prev", prev).groupBy("_id", "_h").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "prev"))).alias("s"))
-    merged = merged.select(F.col("_id").alias("s_id"), F.col("_h").alias("s_h"), F.col("s").alias("_s"))
-    keyed = df.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(merged, F.col(id_col).eqNullSafe(F.col("s_id")) & (F.col("_h") == F.col("s_h")), "left")
-    t, s = F.col(text_col), F.col("_s")
+    merged = merged.select(F.col("_id").alias("__g_id"), F.col("_h").alias("__g_h"), F.col("s").alias("__g_s"))
+    text_hash = F.xxhash64(F.coalesce(df[text_col], F.lit("")))
+    joined = df.join(merged, df[id_col].eqNullSafe(merged["__g_id"]) & (text_hash == merged["__g_h"]), "left")
+    t, s = df[text_col], F.col("__g_s")
     cut = lambda a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
     clean = F.concat(F.array_join(F.transform(s, lambda x: F.concat(cut(x["prev"], x["start"]), F.lit(mask))), ""),
                      F.substr(t, (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(t)))
     out = joined.withColumn(text_col, F.when(s.isNull(), t).otherwise(clean))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(s.isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
-    return out.select(*df.columns)
+        out = out.withColumn("n_chars", F.when(s.isNull(), F.col("n_chars")).otherwise(
+            F.length(F.col(text_col)).cast(df.schema["n_chars"].dataType)))
+    return out.select(*all_columns(df))
 
 
 @register("op6_secret_scan")

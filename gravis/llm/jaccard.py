@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravis.llm.common import land, table
+from gravis.llm.common import all_columns, land, table
 from gravis.llm.components import components
 from gravis.llm.registry import register
 
@@ -285,10 +285,10 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     twice = land(found.where(f"n_shingles > 0 and `{id_col}` is not null").groupBy(id_col).count().where("count > 1").select(
         F.col(id_col).alias("_twice")))
     if not twice.limit(1).count():
-        return kept.select(*df.columns)
-    once = kept.join(twice, kept[id_col] == twice["_twice"], "left_anti")
-    repeated = kept.join(twice, kept[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col])
-    return once.select(*df.columns).unionByName(repeated.select(*df.columns))
+        return kept.select(*all_columns(df))
+    once = kept.join(twice, df[id_col] == twice["_twice"], "left_anti")
+    repeated = kept.join(twice, df[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col])
+    return once.select(*all_columns(df)).unionByName(repeated.select(*all_columns(df)))
 
 
 @register("op8_jaccard_join")
