@@ -88,15 +88,16 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
-def risk_tier(c: Column | str, cuts: Sequence[float], labels: Sequence[str]) -> Column:
-    """First label whose cut the value reaches (cuts in descending order);
-    ``labels`` has one more entry than ``cuts`` for the rest."""
+def risk_tier(c: Column | str, cuts: Sequence[float], labels: Sequence[str], strict: bool = False) -> Column:
+    """First label whose cut the value reaches (exceeds, if ``strict``), cuts in
+    descending order; ``labels`` has one more entry than ``cuts`` for the rest."""
     if len(labels) != len(cuts) + 1:
         raise ValueError("labels must have len(cuts) + 1 entries")
     x = _c(c)
     expr = None
     for cut, label in zip(cuts, labels):
-        expr = F.when(x >= cut, F.lit(label)) if expr is None else expr.when(x >= cut, F.lit(label))
+        hit = x > cut if strict else x >= cut
+        expr = F.when(hit, F.lit(label)) if expr is None else expr.when(hit, F.lit(label))
     return expr.otherwise(F.lit(labels[-1]))
 
 

@@ -1,43 +1,35 @@
 """Text normalisation as native Column expressions (no Python UDF).
 
-``fold_accents`` reproduces "NFKD, then keep ASCII" with three JVM-side steps:
-a handful of one-to-many replacements, one ``translate`` (one-to-one and
-delete), and a final removal of whatever is still outside ASCII. The tables
-are generated once, at import, from ``unicodedata`` over the Latin blocks, so
-no character list is written by hand.
+``fold_accents`` reproduces "NFKD, then keep ASCII" on the JVM: one
+``translate`` (one-to-one), then, for texts that are not ASCII yet, a map of the
+one-to-many forms and removal of the rest. The tables are made from
+``unicodedata`` over all code points, so no character list is written by hand.
 """
 
 from __future__ import annotations
 
+import functools
 import sys
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin-1 Supplement, Latin Extended-A/B and Latin Extended Additional.
-_LATIN_RANGES = ((0x80, 0x250), (0x1E00, 0x1F00))
 
+@functools.cache
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Characters with a one-character ASCII form, those forms, and the
+    characters with a longer one, over all code points."""
+    one, longer = {}, {}
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        form = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
+        if len(form) == 1:
+            one[ch] = form
+        elif form:
+            longer[ch] = form
+    return "".join(one), "".join(one.values()), longer
 
-def _build_tables():
-    one_src, one_dst, drop, multi = [], [], [], []
-    for lo, hi in _LATIN_RANGES:
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            ascii_form = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-            if ascii_form == ch:
-                continue
-            if len(ascii_form) == 1:
-                one_src.append(ch)
-                one_dst.append(ascii_form)
-            elif not ascii_form:
-                drop.append(ch)
-            else:
-                multi.append((ch, ascii_form))
-    return "".join(one_src) + "".join(drop), "".join(one_dst), multi
-
-
-_MATCHING, _REPLACE, _MULTI = _build_tables()
 
 # Every character Python's str.strip() removes (it strips all Unicode
 # whitespace, Spark's trim only the space), derived from str.isspace.
@@ -50,14 +42,16 @@ def strip_whitespace(c: Column | str) -> Column:
 
 def fold_accents(c: Column | str) -> Column:
     """ASCII form of the text: decomposed accents removed, compatibility
-    characters expanded (e.g. one-half becomes '12'), anything else dropped."""
+    characters expanded (e.g. one-half becomes '12'), anything else dropped.
+    Only texts that still hold other characters after the one-to-one step are
+    looked at character by character."""
     col = F.col(c) if isinstance(c, str) else c
-    # byte-level replaces of the few one-to-many characters are cheaper than
-    # guarding them with a regex test (measured)
-    for src, dst in _MULTI:
-        col = F.replace(col, F.lit(src), F.lit(dst))
-    col = F.translate(col, _MATCHING, _REPLACE)
-    return F.regexp_replace(col, r"[^\x00-\x7F]", "")
+    one, forms, longer = _tables()
+    col = F.translate(col, one, forms)
+    expand = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    spelled = F.array_join(F.transform(F.regexp_extract_all(col, F.lit(r"(?s)."), F.lit(0)),
+                                       lambda ch: F.coalesce(F.try_element_at(expand, ch), ch)), "")
+    return F.when(col.rlike(r"[^\x00-\x7F]"), F.regexp_replace(spelled, r"[^\x00-\x7F]", "")).otherwise(col)
 
 
 def normalize_name(c: Column | str) -> Column:

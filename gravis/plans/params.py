@@ -32,10 +32,14 @@ MUNICIPAL_TIER_CUTS, MUNICIPAL_TIER_LABELS = (35.0, 33.0), ("ALTO", "MEDIO", "BA
 VICTIM_TIER_CUTS, VICTIM_TIER_LABELS = (33.5, 32.5), ("EXTREMO", "ALTO", "MODERADO")
 IMPORTANCE_TIER_CUTS, IMPORTANCE_TIER_LABELS = (20.0, 10.0, 5.0), ("CRITICA", "ALTA", "MEDIA", "BAIXA")
 
-# Municipal outliers: fatal percent above the cut, or volume above
-# OUTLIER_TOTAL_PER_SF * sf cases (3000 on the reference's volume).
+# Minimum cases of a municipality for a reliable rate (100 in the reference; a
+# nation holds 401-752 cases at sf0.01, where 600 leaves some out).
+MIN_SUPPORT = 600
+
+# Municipal outliers: fatal percent above the cut, or more cases than
+# OUTLIER_TOTAL (3000 on the reference's volume).
 OUTLIER_RATE_PCT = 36.0
-OUTLIER_TOTAL_PER_SF = 70000
+OUTLIER_TOTAL = 700
 
 # Equal-width histogram bins (age, municipal rate).
 AGE_BINS, RATE_BINS = 30, 15

@@ -253,7 +253,7 @@ def rf_importance(spark, sf_dir):
     from gravis.operators.rates import ranked
     top = ranked(df, [F.col("importancia").desc(), F.col("variavel").asc()], k=P.TOP_FEATURES)
     return top.withColumn("nivel", risk_tier(F.col("importancia") * 100, P.IMPORTANCE_TIER_CUTS,
-                                             P.IMPORTANCE_TIER_LABELS))
+                                             P.IMPORTANCE_TIER_LABELS, strict=True))
 
 
 @register("rf_importance_rollup", "M4,A28")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gravis.functions.scalar import month_abbr, ratio, risk_tier
 from gravis.operators import rates as R
 from gravis.plans import params as P
 from gravis.plans.oracle import with_cases
-from gravis.plans.registry import register, scale_factor, support_threshold
+from gravis.plans.registry import register
 from gravis.sources.tables import cases
 
 
@@ -121,13 +121,13 @@ sel AS (SELECT * FROM cases WHERE municipio IN (SELECT municipio FROM top5)),
 """ + sev_sql(["municipio", "tipo_via"], src="sel"))
 
 
-@register("top5_city_road", "A9,P8,J1,R4", _top5_sql(600))
+@register("top5_city_road", "A9,P8,J1,R4", _top5_sql(P.MIN_SUPPORT))
 def top5_city_road(spark, sf_dir):
     """(municipality, road) rates for the top-5 municipalities. Both matrices
     come from one grouping-sets scan; restricting the (municipality, road)
     matrix to the top-5 keys equals the matrix of their rows."""
     muni, pair = R.severity_matrices(cases(spark, sf_dir), [["municipio"], ["municipio", "tipo_via"]])
-    muni = R.min_support(muni, support_threshold(sf_dir))
+    muni = R.min_support(muni, P.MIN_SUPPORT)
     top = R.top_k_keys(muni, "municipio", _desc("fatal_rate", "municipio"), P.TOP_INTERACTION)
     return R.semi_join_keys(pair, top, "municipio")
 
@@ -151,13 +151,13 @@ def month_day_pivot(spark, sf_dir):
 
 # --- municipal ranking -----------------------------------------------------
 
-def _muni_sql(body, support=600, scale=1):
+def _muni_sql(body, support=P.MIN_SUPPORT, scale=1):
     return with_cases(body, extra_ctes=sev_sql(["municipio"], scale=scale, name="m0")
                       + f",\nrates AS (SELECT * FROM m0 WHERE total >= {support})")
 
 
 def _supported(spark, sf_dir, scale=1):
-    return R.min_support(_matrix(spark, sf_dir, ["municipio"], scale=scale), support_threshold(sf_dir))
+    return R.min_support(_matrix(spark, sf_dir, ["municipio"], scale=scale), P.MIN_SUPPORT)
 
 
 @register("municipal_risk_ranking", "P9,R2,R4,R5,F11",
@@ -168,9 +168,9 @@ def municipal_risk_ranking(spark, sf_dir):
     """Top municipalities by fatal share (minimum support), flagged when
     above the mean share of all supported municipalities."""
     m = _supported(spark, sf_dir)
-    mean = m.agg(F.avg("fatal_rate")).first()[0]
-    top = R.ranked(m, _desc("fatal_rate", "municipio"), k=P.TOP_MUNICIPALITIES)
-    return top.withColumn("acima_media", F.col("fatal_rate") > F.lit(mean))
+    # the mean of the aggregated table, in the same plan
+    m = m.withColumn("acima_media", F.col("fatal_rate") > F.avg("fatal_rate").over(Window.partitionBy()))
+    return R.ranked(m, _desc("fatal_rate", "municipio"), k=P.TOP_MUNICIPALITIES)
 
 
 @register("safest_municipalities", "P9,R2,R4,R5",
@@ -204,11 +204,10 @@ def municipal_rate_stats(spark, sf_dir):
 
 @register("municipal_outliers", "A14,P10",
           _muni_sql(f"SELECT * FROM rates WHERE fatal_rate > {P.OUTLIER_RATE_PCT} "
-                    f"OR total > {round(P.OUTLIER_TOTAL_PER_SF * 0.01)}", scale=100))
+                    f"OR total > {P.OUTLIER_TOTAL}", scale=100))
 def municipal_outliers(spark, sf_dir):
     m = _supported(spark, sf_dir, scale=100)
-    big = round(P.OUTLIER_TOTAL_PER_SF * scale_factor(sf_dir))
-    return m.filter((F.col("fatal_rate") > P.OUTLIER_RATE_PCT) | (F.col("total") > big))
+    return m.filter((F.col("fatal_rate") > P.OUTLIER_RATE_PCT) | (F.col("total") > P.OUTLIER_TOTAL))
 
 
 # --- group comparisons -----------------------------------------------------
@@ -267,8 +266,8 @@ def one_vs_others(spark, sf_dir):
 
 # --- tiers and highlights --------------------------------------------------
 
-def _tier_sql(col, cuts, labels):
-    parts = " ".join(f"WHEN {col} >= {c} THEN '{lab}'" for c, lab in zip(cuts, labels))
+def _tier_sql(col, cuts, labels, reach=">="):
+    parts = " ".join(f"WHEN {col} {reach} {c} THEN '{lab}'" for c, lab in zip(cuts, labels))
     return f"CASE {parts} ELSE '{labels[-1]}' END"
 
 
@@ -277,7 +276,7 @@ def _tier_sql(col, cuts, labels):
        {_tier_sql('fatal_rate', P.MONTH_TIER_CUTS, P.MONTH_TIER_LABELS)} AS nivel FROM mes
 UNION ALL
 SELECT 'municipio', municipio, fatal_rate,
-       {_tier_sql('fatal_rate', P.MUNICIPAL_TIER_CUTS, P.MUNICIPAL_TIER_LABELS)} FROM muni
+       {_tier_sql('fatal_rate', P.MUNICIPAL_TIER_CUTS, P.MUNICIPAL_TIER_LABELS, '>')} FROM muni
 UNION ALL
 SELECT 'vitima', tipo_de_vitima, fatal_rate,
        {_tier_sql('fatal_rate', P.VICTIM_TIER_CUTS, P.VICTIM_TIER_LABELS)} FROM vit""",
@@ -287,15 +286,15 @@ SELECT 'vitima', tipo_de_vitima, fatal_rate,
 def risk_tiers(spark, sf_dir):
     c = cases(spark, sf_dir)
     parts = [
-        ("mes", "mes_sinistro", P.MONTH_TIER_CUTS, P.MONTH_TIER_LABELS),
-        ("municipio", "municipio", P.MUNICIPAL_TIER_CUTS, P.MUNICIPAL_TIER_LABELS),
-        ("vitima", "tipo_de_vitima", P.VICTIM_TIER_CUTS, P.VICTIM_TIER_LABELS),
+        ("mes", "mes_sinistro", P.MONTH_TIER_CUTS, P.MONTH_TIER_LABELS, False),
+        ("municipio", "municipio", P.MUNICIPAL_TIER_CUTS, P.MUNICIPAL_TIER_LABELS, True),
+        ("vitima", "tipo_de_vitima", P.VICTIM_TIER_CUTS, P.VICTIM_TIER_LABELS, False),
     ]
-    mats = R.severity_matrices(c, [[key] for _, key, _, _ in parts], scale=100)  # one scan
+    mats = R.severity_matrices(c, [[p[1]] for p in parts], scale=100)  # one scan
     out = []
-    for (name, key, cuts, labels), m in zip(parts, mats):
+    for (name, key, cuts, labels, strict), m in zip(parts, mats):
         out.append(m.select(F.lit(name).alias("tabela"), F.col(key).cast("string").alias("chave"),
-                            "fatal_rate", risk_tier("fatal_rate", cuts, labels).alias("nivel")))
+                            "fatal_rate", risk_tier("fatal_rate", cuts, labels, strict).alias("nivel")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -332,7 +331,7 @@ _KPI_SQL = with_cases(f"""SELECT total_casos, fatal_pct, rate_a, rate_b,
   (SELECT min(fatal_rate) FROM muni) AS melhor_rate)""",
                       extra_ctes=sev_sql(["mes_sinistro"], scale=100, name="mes") + ",\n"
                       + sev_sql(["municipio"], scale=100, name="muni0")
-                      + ",\nmuni AS (SELECT * FROM muni0 WHERE total >= 600)")
+                      + f",\nmuni AS (SELECT * FROM muni0 WHERE total >= {P.MIN_SUPPORT})")
 
 
 @register("kpi_dashboard", "A29,P18,P19,R6,A21,F10", _KPI_SQL)
@@ -355,7 +354,7 @@ def kpi_dashboard(spark, sf_dir):
     seasonal = R.compare_two_keys(mes, "mes_sinistro", P.MONTH_A, P.MONTH_B, "fatal_rate")
     seasonal = seasonal.withColumnRenamed("diff_pct", "diff_sazonal_pct")
     muni = (sets.filter((F.col("_gid") == 2) & F.col("municipio").isNotNull() & (F.col("total") > 0)
-                        & (F.col("total") >= support_threshold(sf_dir)))
+                        & (F.col("total") >= P.MIN_SUPPORT))
             .select("municipio", (F.lit(100) * F.col("n_fatal") / F.col("total")).alias("fatal_rate")))
     extremes = muni.agg(
         F.min_by("municipio", F.struct(-F.col("fatal_rate"), F.col("municipio"))).alias("pior_municipio"),

@@ -9,7 +9,7 @@ from gravis.operators import rates as R
 from gravis.operators import stats as S
 from gravis.plans import params as P
 from gravis.plans.oracle import with_cases
-from gravis.plans.registry import register, support_threshold
+from gravis.plans.registry import register
 from gravis.sources.tables import cases, cases_dirty
 
 TARGET = "gravidade_lesao"
@@ -130,7 +130,7 @@ def _muni_rate_cte():
 
 @register("rate_histogram", "A23,P9", _hist_sql(_muni_rate_cte(), "fatal_rate", P.RATE_BINS))
 def rate_histogram(spark, sf_dir):
-    m = R.min_support(R.severity_matrix(cases(spark, sf_dir), ["municipio"], scale=100), support_threshold(sf_dir))
+    m = R.min_support(R.severity_matrix(cases(spark, sf_dir), ["municipio"], scale=100), P.MIN_SUPPORT)
     return S.histogram(m, "fatal_rate", P.RATE_BINS)
 
 

@@ -4,7 +4,6 @@ same result, an independent SQL text for DuckDB to check it against."""
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,18 +36,3 @@ def register(name: str, covers: str, sql: str | None = None):
             ORACLE[name] = sql
         return fn
     return deco
-
-
-_SF = re.compile(r"sf([0-9]+(?:\.[0-9]+)?)")
-
-
-def scale_factor(sf_dir: str, default: float = 0.01) -> float:
-    m = _SF.search(sf_dir.rstrip("/").split("/")[-1]) or _SF.search(sf_dir)
-    return float(m.group(1)) if m else default
-
-
-def support_threshold(sf_dir: str) -> int:
-    """Minimum cases per municipality for a reliable rate. The reference uses
-    100 on its data; on the driver tables a nation holds 401-752 cases at
-    sf0.01, so the threshold is 600 there and scales with the data."""
-    return max(1, round(60000 * scale_factor(sf_dir)))

@@ -32,6 +32,8 @@ def test_week_month_tiers_stars(spark):
     assert _one(spark, month_abbr("m"), [(1,), (12,), (13,)], "m int") == ["jan", "dec", "13"]
     assert _one(spark, risk_tier("x", (3.2, 3.0), ("A", "M", "B")), [(3.3,), (3.2,), (3.1,), (1.0,)],
                 "x double") == ["A", "A", "M", "B"]
+    assert _one(spark, risk_tier("x", (3.2, 3.0), ("A", "M", "B"), strict=True), [(3.3,), (3.2,), (3.0,)],
+                "x double") == ["A", "M", "B"]
     assert _one(spark, significance_stars("p"), [(0.0005,), (0.005,), (0.03,), (0.5,)],
                 "p double") == ["***", "**", "*", "ns"]
 
@@ -48,6 +50,14 @@ def test_fold_accents_equals_python_chain_on_latin(spark):
     assert got == [_python_fold(w[0]) for w in words]
 
 
+def test_fold_accents_on_all_code_points(spark):
+    chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000
+             and unicodedata.normalize("NFKD", chr(c)) != chr(c) or c % 997 == 0 and not 0xD800 <= c < 0xE000]
+    words = [("".join(chars[i:i + 200]),) for i in range(0, len(chars), 200)] + [("a\u2026b \u2122 \u2160 \uff21\uff22",)]
+    got = _one(spark, fold_accents("w"), words, "w string")
+    assert got == [unicodedata.normalize("NFKD", w[0]).encode("ASCII", "ignore").decode("ASCII") for w in words]
+
+
 def test_fold_accents_without_upper(spark):
     chars = "".join(chr(c) for c in range(0xA0, 0x180))
     got = _one(spark, fold_accents("w"), [(chars,)], "w string")[0]
