@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gravis import NOT_AVAILABLE, UNKNOWN
+from gravis.operators.stats import exact_quantiles
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -90,46 +91,44 @@ def recode_and_fill(df: DataFrame, columns: Sequence[str] | None = None,
 
 def exact_medians(df: DataFrame, cols: Sequence[str], approx: bool = False,
                   accuracy: int = 100_000) -> dict[str, float | None]:
-    """Medians of several columns in one aggregate. Exact (mean of the two
-    middle values) by default: the exact aggregate keeps a value -> count map
-    per column, right for bounded domains such as ages. ``approx=True`` uses
-    ``percentile_approx`` (bounded memory, rank error 1/accuracy) for
-    high-cardinality columns."""
+    """Medians of several columns (mean of the two middle values), null for a
+    column without values. Exact ones come from value counts and ranks, with
+    bounded memory for any number of distinct values; ``approx=True`` uses
+    ``percentile_approx`` (one aggregate, rank error 1/accuracy)."""
+    cols = list(cols)
     if not cols:
         return {}
     if approx:
         row = df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in cols]).first()
-    else:
-        row = df.agg(*[F.median(c).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+        return {c: row[c] for c in cols}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")
+    found = {r["c"]: r["p0"] for r in exact_quantiles(df.select(each).select("s.*"), "v", ["c"], (0.5,)).collect()}
+    return {c: found.get(c) for c in cols}  # one row per column
 
 
 def median_fill(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Fill missing numbers with the column's exact median.
-
-    A first aggregate counts nulls per numeric column; medians are computed
-    only for columns that have any (exact medians keep a value histogram per
-    column, so skipping full columns matters on wide, high-cardinality data).
-    Filled columns become double, as a NaN-holding column does in pandas.
-    """
+    """Fill missing numbers with the column's median. Every listed column
+    becomes double, as a NaN-holding column does in pandas, whether or not it
+    misses values; a column without values stays null. Medians are computed
+    only for columns with missing values."""
     cols = list(columns) if columns is not None else columns_of_type(df, "numeric")
     if not cols:
         return df
     nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
-    todo = [c for c in cols if nulls[c]]
-    meds = exact_medians(df, todo, approx=approx)
-    out = df
-    for c in todo:
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(meds[c]).cast("double")))
-    return out
+    meds = exact_medians(df, [c for c in cols if nulls[c]], approx=approx)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(meds.get(c)).cast("double")) for c in cols})
 
 
-def iqr_fences(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -> tuple[float, float]:
+def iqr_fences(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -> tuple[float, float] | None:
     """Inclusive Tukey fences from exact, linearly interpolated quartiles
-    (``approx=True``: ``percentile_approx`` for high-cardinality columns)."""
-    qs = F.array(F.lit(0.25), F.lit(0.75))
-    agg = F.percentile_approx(F.col(col), qs, 100_000) if approx else F.percentile(F.col(col), qs)
-    q = df.agg(agg.alias("q")).first()["q"]
+    (``approx=True``: ``percentile_approx``); None without values."""
+    if approx:
+        q = df.agg(F.percentile_approx(F.col(col), F.array(F.lit(0.25), F.lit(0.75)), 100_000).alias("q")).first()["q"]
+    else:
+        row = exact_quantiles(df, col, [], (0.25, 0.75)).first()
+        q = (row["p0"], row["p1"]) if row is not None and row["p0"] is not None else None
+    if q is None:
+        return None
     q1, q3 = q[0], q[1]
     iqr = q3 - q1
     return q1 - k * iqr, q3 + k * iqr
@@ -137,7 +136,10 @@ def iqr_fences(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) ->
 
 def iqr_filter(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -> DataFrame:
     """Keep rows with ``lower <= col <= upper``; a missing value fails the test."""
-    lo, hi = iqr_fences(df, col, k, approx)
+    fences = iqr_fences(df, col, k, approx)
+    if fences is None:
+        return df.filter(F.lit(False))
+    lo, hi = fences
     return df.filter((F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi)))
 
 
@@ -178,11 +180,6 @@ def complete_and_known(col: str, sentinel: str = NOT_AVAILABLE) -> Column:
     return F.col(col).isNotNull() & (F.col(col) != F.lit(sentinel))
 
 
-def stepwise_filter(df: DataFrame, cols: Sequence[str], sentinel: str = NOT_AVAILABLE) -> DataFrame:
-    cond = reduce(lambda a, b: a & b, [complete_and_known(c, sentinel) for c in cols])
-    return df.filter(cond)
-
-
 def stepwise_counts(df: DataFrame, cols: Sequence[str], sentinel: str = NOT_AVAILABLE) -> DataFrame:
     """Rows before, after and removed at each step of a stepwise
     completeness filter, from one pass: step k counts rows passing steps 1..k."""

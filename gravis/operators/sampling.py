@@ -13,6 +13,7 @@ of the strata.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -70,20 +71,43 @@ def hash_rank(df: DataFrame, strata: Sequence[str], id_cols: Sequence[str], seed
              .drop("_h", "_b", "_off"))
 
 
+def test_quotas(counts: dict[tuple, int], fraction: float) -> dict[tuple, int]:
+    """Test rows per class: ``ceil(fraction * n)`` in all, allotted in
+    proportion; what rounding down leaves goes to the largest remainders
+    (ties: sorted class)."""
+    n = sum(counts.values())
+    if not n:
+        return {}
+    total = math.ceil(round(fraction * n, 9))
+    share = {k: total * c / n for k, c in counts.items()}
+    quota = {k: math.floor(v) for k, v in share.items()}
+    most = sorted(counts, key=lambda k: (quota[k] - share[k], tuple(map(str, k))))
+    for k in most[:total - sum(quota.values())]:
+        quota[k] += 1
+    return quota
+
+
 def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str], test_fraction: float,
                      seed: int, flag: str = "is_test") -> DataFrame:
-    """Exact stratified hold-out: in each class the ``round(f * n_c)`` rows
-    with the smallest hash are test rows. Same seed, same split, whatever the
-    partitioning."""
-    r = hash_rank(df, [label], id_cols, seed)
-    test = F.col("_rank") <= F.round(F.lit(test_fraction) * F.col("_stratum_n"))
-    return r.withColumn(flag, test).drop("_rank", "_stratum_n")
+    """Exact stratified hold-out: in each class the rows with the smallest
+    hashes are test rows, as many as ``test_quotas`` gives the class. Same
+    seed, same split, whatever the partitioning."""
+    counts = stratum_counts(df, [label])
+    quotas = test_quotas(counts, test_fraction)
+    if not quotas:
+        return df.withColumn(flag, F.lit(False))
+    r = hash_rank(df, [label], id_cols, seed, total_rows=sum(counts.values()))
+    # class labels: a few; rows without a label are never test rows
+    per_class = F.create_map(*[F.lit(x) for k, q in quotas.items() if k[0] is not None for x in (k[0], q)])
+    return r.withColumn(flag, F.coalesce(F.col("_rank") <= F.try_element_at(per_class, F.col(label)), F.lit(False))).drop("_rank", "_stratum_n")
 
 
 def undersample(df: DataFrame, label: str, id_cols: Sequence[str], seed: int) -> DataFrame:
     """Random under-sampling without replacement: every class keeps as many
     rows as the smallest class has."""
     counts = stratum_counts(df, [label])
+    if not counts:
+        return df
     smallest = min(counts.values())
     r = hash_rank(df, [label], id_cols, seed, total_rows=sum(counts.values()))
     return r.filter(F.col("_rank") <= smallest).drop("_rank", "_stratum_n")

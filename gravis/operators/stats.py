@@ -13,28 +13,91 @@ Design rules used throughout:
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravis import NOT_AVAILABLE
+from gravis.session import cut_lineage
 
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+_SALTS = 16
+
+
+# --- sorted codes -----------------------------------------------------------
+
+def sorted_codes(values: DataFrame, keys: Sequence[str], value: str, out: str = "code") -> DataFrame:
+    """Distinct (keys, value) with the 0-based position of the value in the
+    sorted order of its keys. The distinct values are dealt by range, counted
+    per range, and numbered inside a range, so no task holds all of them."""
+    spark = values.sparkSession
+    keys = list(keys)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(values.select(*keys, value).distinct().repartitionByRange(n, *keys, value)
+                        .withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(*keys, "_range", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range"))
+                                            - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(value))
+    return dealt.withColumn("_place", place).join(before, [*keys, "_range"]).select(
+        *keys, value, (F.col("_before") + F.col("_place") - 1).alias(out))
+
+
 # --- grouped descriptive statistics ---------------------------------------
 
-def _quartiles(x: Column, approx: bool) -> Column:
-    """Quartiles: exact (a value -> count map per group, right for bounded
-    domains such as ages) or ``percentile_approx`` (bounded memory) for
-    high-cardinality values."""
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return F.percentile_approx(x, qs, 100_000) if approx else F.percentile(x, qs)
+def exact_quantiles(df: DataFrame, value: str, groups: Sequence[str], fractions: Sequence[float]) -> DataFrame:
+    """Linear-interpolated quantiles per group as columns p0, p1, ...: counts
+    per distinct value, ranks from counts per value range, and a pick of the
+    two values around each rank. Bounded memory for any number of values."""
+    groups = list(groups)
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    dealt = cut_lineage(counts.repartitionByRange(n, *groups, "_v").withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*groups, "_range").agg(F.sum("_c").alias("_n"))
+    own = Window.partitionBy(*groups)
+    sizes = sizes.select(*groups, "_range", F.sum("_n").over(own).alias("_total"),
+                         (F.sum("_n").over(own.orderBy("_range")) - F.col("_n")).alias("_before"))
+    upto = F.sum("_c").over(Window.partitionBy(*groups, "_range").orderBy("_v"))
+    same = F.lit(True)
+    ranged = dealt.withColumn("_upto", upto)
+    for c in [*groups, "_range"]:
+        same = same & ranged[c].eqNullSafe(sizes[c])
+    ranked = ranged.join(sizes, same).select(
+        *[ranged[c] for c in groups], "_v", "_total", (F.col("_before") + F.col("_upto")).alias("_last"),
+        (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_first"))
+    aggs = []
+    for i, f in enumerate(fractions):
+        at = (F.col("_total") - 1) * F.lit(float(f))
+        for name, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_last")), F.col("_v"))).alias(f"_{name}{i}"))
+    picked = ranked.groupBy(*groups).agg(F.max("_total").alias("_total"), *aggs)
+    out = []
+    for i, f in enumerate(fractions):
+        at = (F.col("_total") - 1) * F.lit(float(f))
+        part = at - F.floor(at)
+        out.append(((1 - part) * F.col(f"_lo{i}") + part * F.col(f"_hi{i}")).alias(f"p{i}"))
+    return picked.select(*groups, *out)
+
+
+def quartiles_by_group(df: DataFrame, value: str, group: str, approx: bool = False) -> DataFrame:
+    """group, q1, median, q3: exact, or ``percentile_approx`` in one aggregate."""
+    if approx:
+        q = df.filter(F.col(value).isNotNull()).groupBy(group).agg(_quartiles(F.col(value)).alias("_q"))
+        return q.select(group, *[F.col("_q")[i].cast("double").alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    return exact_quantiles(df, value, [group], (0.25, 0.5, 0.75)).select(
+        group, F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3"))
+
+
+def _quartiles(x: Column) -> Column:
+    return F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100_000)
 
 
 def describe_by_group(df: DataFrame, value: str, group: str | Sequence[str], approx: bool = False) -> DataFrame:
@@ -42,13 +105,18 @@ def describe_by_group(df: DataFrame, value: str, group: str | Sequence[str], app
     group (pandas ``groupby().describe()``); missing values are skipped."""
     groups = [group] if isinstance(group, str) else list(group)
     x = F.col(value)
-    q = _quartiles(x, approx)
-    out = df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).cast("double").alias("min"), q.alias("_q"), F.max(x).cast("double").alias("max"))
-    return out.select(*groups, "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                      F.col("_q")[2].alias("q75"), "max")
+    src = df.filter(x.isNotNull())
+    aggs = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max")]
+    names = [*groups, "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    if approx:
+        out = src.groupBy(*groups).agg(*aggs, _quartiles(x).alias("_q"))
+        return out.select("*", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))]).select(*names)
+    q = exact_quantiles(src, value, groups, (0.25, 0.5, 0.75)).select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
+        F.col("p0").alias("q25"), F.col("p1").alias("q50"), F.col("p2").alias("q75"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)])
+    return src.groupBy(*groups).agg(*aggs).join(q, same).select(*names)  # one row per group on both sides
 
 
 def std_by_group(df: DataFrame, value: str, group: str, places: int | None = 2) -> DataFrame:
@@ -58,43 +126,29 @@ def std_by_group(df: DataFrame, value: str, group: str, places: int | None = 2)
     return df.groupBy(group).agg((F.bround(s, places) if places is not None else s).alias("std"))
 
 
-def box_summary(df: DataFrame, value: str, group: str, k: float = 1.5,
-                max_groups: int = 10_000, approx: bool = False) -> DataFrame:
+def box_summary(df: DataFrame, value: str, group: str, k: float = 1.5, approx: bool = False) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers at the farthest point
     inside the 1.5 IQR fences, and the outlier count.
 
-    Pass 1 aggregates the quartiles per group; a box plot has few groups, and
-    the (checked) small table comes to the driver. Pass 2 applies the fences
-    as literal maps keyed by group inside ONE more aggregate, so the data is
-    never joined with anything.
+    Pass 1 aggregates the quartiles per group; pass 2 joins them to the rows
+    and applies the fences in one more aggregate. The quartile table is listed
+    once per salt, so a group of a third of all rows is spread over tasks when
+    the table is too large to broadcast.
     """
-    src = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    q = src.groupBy(group).agg(
-        _quartiles(F.col(value), approx).alias("q"),
-        F.count(F.lit(1)).alias("n")).limit(max_groups + 1).collect()
-    if len(q) > max_groups:
-        raise ValueError(f"box_summary: more than {max_groups} groups")
-    if not q:
-        return src.sparkSession.createDataFrame(
-            [], f"{group} string, n long, q1 double, median double, q3 double, "
-                "whisker_low double, whisker_high double, outliers long")
-    stats = {r[group]: (r["q"][0], r["q"][1], r["q"][2]) for r in q}
-    lo = F.create_map(*[v for g, (a, _, b) in stats.items() for v in (F.lit(g), F.lit(a - k * (b - a)))])
-    hi = F.create_map(*[v for g, (a, _, b) in stats.items() for v in (F.lit(g), F.lit(b + k * (b - a)))])
     x = F.col(value)
-    lo_g, hi_g = lo[F.col(group)], hi[F.col(group)]
-    inside = (x >= lo_g) & (x <= hi_g)
-    agg = src.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
+    src = df.filter(x.isNotNull() & F.col(group).isNotNull()).select(group, value)
+    q = quartiles_by_group(src, value, group, approx)
+    salted = src.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(_SALTS)).cast("int"))
+    listed = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    rows = salted.join(listed, [group, "_salt"])
+    spread = F.col("q3") - F.col("q1")
+    inside = (x >= F.col("q1") - k * spread) & (x <= F.col("q3") + k * spread)
+    return rows.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
         F.min(F.when(inside, x)).cast("double").alias("whisker_low"),
         F.max(F.when(inside, x)).cast("double").alias("whisker_high"),
-        F.count(F.when(~inside, 1)).alias("outliers"))
-    q1 = F.create_map(*[v for g, s in stats.items() for v in (F.lit(g), F.lit(s[0]))])
-    md = F.create_map(*[v for g, s in stats.items() for v in (F.lit(g), F.lit(s[1]))])
-    q3 = F.create_map(*[v for g, s in stats.items() for v in (F.lit(g), F.lit(s[2]))])
-    g = F.col(group)
-    return agg.select(group, "n", q1[g].alias("q1"), md[g].alias("median"), q3[g].alias("q3"),
-                      "whisker_low", "whisker_high", "outliers")
+        F.count(F.when(~inside, 1)).alias("outliers")).select(
+        group, "n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
 
 
 # --- distributions ----------------------------------------------------------
@@ -129,6 +183,8 @@ def gaussian_density(df: DataFrame, value: str, points: int) -> DataFrame:
     density estimate with the data covariance uses). One pass computes all
     grid sums as separate aggregate expressions: no join with a grid table."""
     src = df.filter(F.col(value).isNotNull())
+    # the grid meets distinct values with their counts, not rows
+    weighted = src.groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     st = src.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("s"),
                  F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     n, s, lo, hi = st["n"], st["s"], st["lo"], st["hi"]
@@ -139,10 +195,10 @@ def gaussian_density(df: DataFrame, value: str, points: int) -> DataFrame:
     step = (float(hi) - float(lo)) / (points - 1) if points > 1 else 0.0
     grid = [float(lo) + i * step for i in range(points)]
     norm = 1.0 / (n * bw * math.sqrt(2.0 * math.pi))
-    x = F.col(value)
-    aggs = [F.sum(F.exp(-F.pow((F.lit(g) - x) / F.lit(bw), 2) / 2.0)).alias(f"d{i}")
+    x = F.col("_v")
+    aggs = [F.sum(F.col("_c") * F.exp(-F.pow((F.lit(g) - x) / F.lit(bw), 2) / 2.0)).alias(f"d{i}")
             for i, g in enumerate(grid)]
-    wide = src.agg(*aggs)
+    wide = weighted.agg(*aggs)
     stack = ", ".join(f"{i}, CAST({g!r} AS DOUBLE), d{i}" for i, g in enumerate(grid))
     long = wide.selectExpr(f"stack({points}, {stack}) AS (ponto, x, s)")
     return long.select(F.col("ponto").cast("int").alias("ponto"), "x",
@@ -152,11 +208,13 @@ def gaussian_density(df: DataFrame, value: str, points: int) -> DataFrame:
 # --- association ------------------------------------------------------------
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:
-    """Pearson r with pairwise deletion; null when a side is constant."""
+    """Pearson r with pairwise deletion; null when a side is constant (by its
+    least and greatest value: merged deviations of a constant are not exactly 0)."""
     x, y = _c(x), _c(y)
     both = x.isNotNull() & y.isNotNull()
     xm, ym = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(xm, ym), F.stddev_pop(xm) * F.stddev_pop(ym))
+    r = F.try_divide(F.covar_pop(xm, ym), F.stddev_pop(xm) * F.stddev_pop(ym))
+    return F.when((F.min(xm) < F.max(xm)) & (F.min(ym) < F.max(ym)), r)
 
 
 def correlations_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
@@ -168,125 +226,111 @@ def correlations_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFr
 
 
 def target_class_stats(df: DataFrame, target: str, text_cols: Sequence[str],
-                       numeric_cols: Sequence[str], missing: str = "MISSING",
-                       max_cells: int = 1_000_000) -> dict:
-    """Per feature and per target class: (n, mean, population variance) of
-    the feature, plus the class code, from ONE scan. Text features count as
-    their sorted-order codes (missing text is ``missing``); the class code is
-    the target's sorted-order code.
-
-    A grouping-sets aggregate returns, per text column, the row count of each
-    (value, class) pair, and per class the count, mean and population
-    variance of each numeric column (missing values skipped). That table is
-    small (categorical values x classes), comes to the driver, and its size
-    is checked (``max_cells``). Returns {feature: [(n, mean, var, y), ...]}.
+                       numeric_cols: Sequence[str], missing: str = "MISSING") -> DataFrame:
+    """(variavel, y, n, m, v): per feature and target class the number of
+    values, their mean and population variance, and the class code. Text
+    features count as their sorted-order codes (missing text is ``missing``);
+    the class code is the target's sorted-order code.
+
+    One grouping-sets scan gives the row count of every (text value, class)
+    and, per class, the moments of every number; codes and moments of the text
+    features are made from that grouped table, in Spark for any cardinality.
     """
     text_cols, numeric_cols = list(text_cols), list(numeric_cols)
     y = F.coalesce(F.col(target).cast("string"), F.lit(missing)).alias("_y")
     xs = [F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(f"_t{i}") for i, c in enumerate(text_cols)]
     src = df.select(y, *xs, *[F.col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(numeric_cols)])
-    sets = [["_y"]] + [[f"_t{i}", "_y"] for i in range(len(text_cols))]
     cols = ["_y"] + [f"_t{i}" for i in range(len(text_cols))]
+    sets = [["_y"]] + [[c, "_y"] for c in cols[1:]]
     aggs = [F.count(F.lit(1)).alias("_cnt"), F.grouping_id(*[F.col(c) for c in cols]).alias("_gid")]
     for i in range(len(numeric_cols)):
         aggs += [F.count(f"_n{i}").alias(f"c{i}"), F.avg(f"_n{i}").alias(f"m{i}"), F.var_pop(f"_n{i}").alias(f"v{i}")]
-    grouped = src.groupingSets([[F.col(c) for c in st] for st in sets], *cols).agg(*aggs)
-    rows = grouped.limit(max_cells + 1).collect()  # categorical columns: small, and checked
-    if len(rows) > max_cells:
-        raise ValueError("target_class_stats: text columns have too many distinct values")
-    ncols = len(cols)
+    grouped = cut_lineage(src.groupingSets([[F.col(c) for c in st] for st in sets], *cols).agg(*aggs))
 
     def gid_of(keep):
-        return sum(1 << (ncols - 1 - i) for i, c in enumerate(cols) if c not in keep)
-
-    by_class = [r for r in rows if r["_gid"] == gid_of({"_y"})]
-    ycode = {v: float(i) for i, v in enumerate(sorted(r["_y"] for r in by_class))}
-    out = {}
-    for i, c in enumerate(text_cols):
-        cells = [r for r in rows if r["_gid"] == gid_of({f"_t{i}", "_y"})]
-        xcode = {v: float(j) for j, v in enumerate(sorted({r[f"_t{i}"] for r in cells}))}
-        per = []
-        for cls in sorted(ycode):
-            part = [(r["_cnt"], xcode[r[f"_t{i}"]]) for r in cells if r["_y"] == cls]
-            n = sum(p[0] for p in part)
-            if n:
-                m = sum(p[0] * p[1] for p in part) / n
-                v = sum(p[0] * (p[1] - m) ** 2 for p in part) / n
-                per.append((n, m, v, ycode[cls]))
-        out[c] = per
-    for i, c in enumerate(numeric_cols):
-        out[c] = [(r[f"c{i}"], r[f"m{i}"], r[f"v{i}"] or 0.0, ycode[r["_y"]]) for r in by_class if r[f"c{i}"]]
-    return out
-
-
-def _moments(per):
-    """n, mean x, mean y, cov, var x, var y (population) from per-class
-    (n, mean, var, y): the class code is constant within a class, so the
-    law of total variance gives them exactly."""
-    n = sum(p[0] for p in per)
-    if not n:
-        return 0, None, None, None, None, None
-    mx = sum(p[0] * p[1] for p in per) / n
-    my = sum(p[0] * p[3] for p in per) / n
-    cov = sum(p[0] * (p[1] - mx) * (p[3] - my) for p in per) / n
-    vx = sum(p[0] * (p[2] + (p[1] - mx) ** 2) for p in per) / n
-    vy = sum(p[0] * (p[3] - my) ** 2 for p in per) / n
-    return n, mx, my, cov, vx, vy
+        return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in keep)
+
+    by_class = grouped.filter(F.col("_gid") == gid_of({"_y"}))
+    y_codes = cut_lineage(sorted_codes(by_class, [], "_y", "y"))
+    parts = []
+    if text_cols:
+        name = F.element_at(F.create_map(*[v for i, c in enumerate(text_cols) for v in (
+            F.lit(gid_of({f"_t{i}", "_y"})).cast("long"), F.lit(c))]), F.col("_gid"))
+        cells = grouped.filter(F.col("_gid") != gid_of({"_y"})).select(
+            name.alias("variavel"), F.coalesce(*cols[1:]).alias("_x"), "_y", "_cnt")
+        coded = cells.join(sorted_codes(cells, ["variavel"], "_x", "_code"), ["variavel", "_x"])
+        c, k = F.col("_cnt").cast("double"), F.col("_code").cast("double")
+        sums = coded.groupBy("variavel", "_y").agg(F.sum("_cnt").alias("n"), F.sum(c * k).alias("_s"), F.sum(c * k * k).alias("_q"))
+        mean = F.col("_s") / F.col("n")
+        parts.append(sums.select("variavel", "_y", "n", mean.alias("m"),
+                                 F.greatest(F.col("_q") / F.col("n") - mean * mean, F.lit(0.0)).alias("v")))
+    if numeric_cols:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("variavel"), F.col(f"c{i}").alias("n"), F.col(f"m{i}").alias("m"),
+                                            F.coalesce(F.col(f"v{i}"), F.lit(0.0)).alias("v")) for i, c in enumerate(numeric_cols)]))
+        parts.append(by_class.select("_y", each.alias("s")).select("s.variavel", "_y", "s.n", "s.m", "s.v").filter("n > 0"))
+    per = functools.reduce(DataFrame.unionByName, parts)
+    return per.join(y_codes, "_y").select("variavel", F.col("y").cast("double").alias("y"), "n", "m", "v")
+
+
+def _moments(per: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Per variable n, mx, my, cov, vx, vy (population) from the per-class
+    moments: the class code is constant within a class, so the law of total
+    variance gives them exactly. Variables without values have n = 0."""
+    w = Window.partitionBy("variavel")
+    n = F.col("n")
+    total = F.sum(n).over(w)
+    p = per.select("*", total.alias("_n"), (F.sum(n * F.col("m")).over(w) / total).alias("mx"),
+                   (F.sum(n * F.col("y")).over(w) / total).alias("my"))
+    dx, dy = F.col("m") - F.col("mx"), F.col("y") - F.col("my")
+    got = p.groupBy("variavel").agg(
+        F.max("_n").alias("n"), F.max("mx").alias("mx"), F.max("my").alias("my"),
+        (F.sum(n * dx * dy) / F.max("_n")).alias("cov"), (F.sum(n * (F.col("v") + dx * dx)) / F.max("_n")).alias("vx"),
+        (F.sum(n * dy * dy) / F.max("_n")).alias("vy"))
+    listed = per.sparkSession.createDataFrame([(c,) for c in names], "variavel string")
+    return listed.join(got, "variavel", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def target_correlations(df: DataFrame, target: str, text_cols: Sequence[str],
                         numeric_cols: Sequence[str], missing: str = "MISSING") -> DataFrame:
     """(variavel, r) of every column against the target code, from one scan
     (see ``target_class_stats``)."""
-    stats = target_class_stats(df, target, text_cols, numeric_cols, missing)
-    out = []
-    for c in list(text_cols) + list(numeric_cols):
-        n, _, _, cov, vx, vy = _moments(stats[c])
-        out.append((c, cov / math.sqrt(vx * vy) if n and vx > 0 and vy > 0 else None))
-    return df.sparkSession.createDataFrame(out, "variavel string, r double")
+    m = _moments(target_class_stats(df, target, text_cols, numeric_cols, missing), [*text_cols, *numeric_cols])
+    return m.select("variavel", F.when((F.col("vx") > 0) & (F.col("vy") > 0),
+                                       F.col("cov") / F.sqrt(F.col("vx") * F.col("vy"))).alias("r"))
 
 
 def target_regressions(df: DataFrame, target: str, text_cols: Sequence[str],
                        numeric_cols: Sequence[str], missing: str = "MISSING") -> DataFrame:
     """Least-squares line of the target code on each column (slope,
     intercept, r^2, n), from one scan (see ``target_class_stats``)."""
-    stats = target_class_stats(df, target, text_cols, numeric_cols, missing)
-    out = []
-    for c in list(text_cols) + list(numeric_cols):
-        n, mx, my, cov, vx, vy = _moments(stats[c])
-        if not n or not vx or vx <= 0:
-            out.append((c, None, None, None, int(n)))
-            continue
-        slope = cov / vx
-        r2 = 1.0 if not vy or vy <= 0 else cov * cov / (vx * vy)
-        out.append((c, slope, my - slope * mx, r2, int(n)))
-    return df.sparkSession.createDataFrame(out, "variavel string, slope double, intercept double, r2 double, n long")
+    m = _moments(target_class_stats(df, target, text_cols, numeric_cols, missing), [*text_cols, *numeric_cols])
+    slope = F.when(F.col("vx") > 0, F.col("cov") / F.col("vx"))
+    r2 = F.when(F.col("vx") > 0, F.when(F.col("vy") > 0, F.col("cov") * F.col("cov") / (F.col("vx") * F.col("vy"))).otherwise(1.0))
+    return m.select("variavel", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"),
+                    r2.alias("r2"), "n")
 
 
 def target_anova(df: DataFrame, target: str, text_cols: Sequence[str],
                  numeric_cols: Sequence[str], missing: str = "MISSING") -> DataFrame:
     """One-way ANOVA F of each column across the target classes, from one
-    scan (see ``target_class_stats``); same columns as ``anova_f``."""
-    stats = target_class_stats(df, target, text_cols, numeric_cols, missing)
-    out = []
-    for c in list(text_cols) + list(numeric_cols):
-        per = stats[c]
-        k, n = len(per), sum(p[0] for p in per)
-        if k < 2:
-            continue
-        grand = sum(p[0] * p[1] for p in per) / n
-        ssb = sum(p[0] * (p[1] - grand) ** 2 for p in per)
-        ssw = sum(p[0] * p[2] for p in per)
-        f = (ssb / (k - 1)) / (ssw / (n - k)) if ssw > 0 and n > k else None
-        out.append((c, k, n, k - 1, n - k, f, "T-test" if k == 2 else "ANOVA"))
-    return df.sparkSession.createDataFrame(
-        out, "variavel string, grupos long, n long, df1 long, df2 long, f double, teste string")
+    scan (see ``target_class_stats``): for two classes F equals the pooled
+    two-sample t squared, with the same p-value."""
+    per = target_class_stats(df, target, text_cols, numeric_cols, missing)
+    w = Window.partitionBy("variavel")
+    n = F.col("n")
+    grand = F.sum(n * F.col("m")).over(w) / F.sum(n).over(w)
+    s = per.select("*", F.pow(F.col("m") - grand, 2).alias("_d2")).groupBy("variavel").agg(
+        F.count(F.lit(1)).alias("grupos"), F.sum(n).alias("n"), F.sum(n * F.col("_d2")).alias("ssb"),
+        F.sum(n * F.col("v")).alias("ssw")).filter("grupos >= 2")
+    df1, df2 = F.col("grupos") - 1, F.col("n") - F.col("grupos")
+    f = F.when((F.col("ssw") > 0) & (df2 > 0), (F.col("ssb") / df1) / (F.col("ssw") / df2))
+    return s.select("variavel", "grupos", "n", df1.alias("df1"), df2.alias("df2"), f.alias("f"),
+                    F.when(F.col("grupos") == 2, F.lit("T-test")).otherwise(F.lit("ANOVA")).alias("teste"))
 
 
 def correlation_ranking(corrs: DataFrame) -> DataFrame:
     """Drop undefined correlations, order by |r| descending (name breaks
     ties) and number the rows; the input is one row per variable."""
-    from pyspark.sql import Window
     ok = corrs.filter(F.col("r").isNotNull())
     w = Window.orderBy(F.abs("r").desc(), F.col("variavel").asc())
     return ok.withColumn("abs_r", F.abs("r")).withColumn("posicao", F.row_number().over(w))
@@ -294,180 +338,46 @@ def correlation_ranking(corrs: DataFrame) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All pairwise Pearson correlations of ``cols`` (long form: var_a, var_b,
-    r; null where a side is constant), pairwise-complete like pandas.
-
-    Plain sums of SHIFTED values (x - K, with K one observed row, which lies
-    inside the data, so the sums stay numerically stable even for columns
-    with large means such as years). One pass gives per-column and per-pair
-    sums; only when some column has missing values does a second pass sum
-    the affected pairs over their complete rows.
-    """
-    cols = list(cols)
-    k = len(cols)
-    anchor = df.select(*cols).na.drop().first()
-    shift = [float(anchor[c]) if anchor is not None else 0.0 for c in cols]
-    d = [F.col(c).cast("double") - F.lit(shift[i]) for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = df.agg(F.count(F.lit(1)).alias("rows"),
-                 *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-                 *[F.sum(d[i]).alias(f"t{i}") for i in range(k)],
-                 *[(F.min(c) == F.max(c)).alias(f"k{i}") for i, c in enumerate(cols)],
-                 *[F.sum(d[i] * d[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    rows_n = row["rows"]
-    constant = [bool(row[f"k{i}"]) for i in range(k)]
-    gappy = {i for i in range(k) if row[f"n{i}"] != rows_n}
-    vals = {}
-    for i, j in pairs:
-        if i in gappy or j in gappy:
-            continue
-        n = rows_n
-        ti, tj = row[f"t{i}"], row[f"t{j}"]
-        vals[(i, j)] = ((row[f"s{i}_{j}"] - ti * tj / n, row[f"s{i}_{i}"] - ti * ti / n,
-                         row[f"s{j}_{j}"] - tj * tj / n) if n else (None, None, None))
-    todo = [(i, j) for i, j in pairs if (i, j) not in vals]
-    if todo:
-        aggs = []
-        for i, j in todo:
-            both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
-            di, dj = F.when(both, d[i]), F.when(both, d[j])
-            aggs += [F.count(di).alias(f"n{i}_{j}"), F.sum(di).alias(f"a{i}_{j}"), F.sum(dj).alias(f"b{i}_{j}"),
-                     F.sum(di * dj).alias(f"p{i}_{j}"), F.sum(di * di).alias(f"q{i}_{j}"),
-                     F.sum(dj * dj).alias(f"r{i}_{j}")]
-        sums = df.agg(*aggs).first()
-        for i, j in todo:
-            n = sums[f"n{i}_{j}"]
-            if not n:
-                vals[(i, j)] = (None, None, None)
-                continue
-            a, b = sums[f"a{i}_{j}"], sums[f"b{i}_{j}"]
-            vals[(i, j)] = (sums[f"p{i}_{j}"] - a * b / n, sums[f"q{i}_{j}"] - a * a / n,
-                            sums[f"r{i}_{j}"] - b * b / n)
-    out = []
-    for (i, j), (sxy, sxx, syy) in vals.items():
-        r = None
-        if sxy is not None and not constant[i] and not constant[j] and sxx and syy and sxx > 0 and syy > 0:
-            r = sxy / math.sqrt(sxx * syy)
-        out.append((cols[i], cols[j], r))
-        if i != j:
-            out.append((cols[j], cols[i], r))
-    return df.sparkSession.createDataFrame(out, "var_a string, var_b string, r double")
-
-
-def regression_lines(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
-    """Least-squares line of ``target`` on each column: slope, intercept, r^2
-    and the number of complete pairs, all in one aggregate."""
-    cols = list(cols)
-    y = F.col(target)
-    aggs = []
-    for c in cols:
-        x = F.col(c)
-        aggs += [F.regr_slope(y, x).alias(f"{c}__s"), F.regr_intercept(y, x).alias(f"{c}__i"),
-                 F.regr_r2(y, x).alias(f"{c}__r"), F.regr_count(y, x).alias(f"{c}__n")]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', `{c}__s`, `{c}__i`, `{c}__r`, `{c}__n`" for c in cols)
-    return wide.selectExpr(f"stack({len(cols)}, {stack}) AS (variavel, slope, intercept, r2, n)")
-
-
-def anova_f(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
-    """One-way ANOVA F per column across the groups (for two groups F equals
-    the pooled two-sample t squared, with the same p-value).
-
-    The columns are unpivoted to (variavel, valor) and aggregated by
-    (variavel, group) in one scan; the F statistics then come from the small
-    per-group table: SSB = sum n_g (mean_g - mean)^2, SSW = sum n_g var_g.
-    """
+    r; null where a side is constant), pairwise-complete like pandas, from one
+    aggregate of co-moments (which merge stably)."""
     cols = list(cols)
-    long = df.select(F.col(group).alias("_g"), *[F.col(c).cast("double").alias(c) for c in cols]) \
-             .unpivot(["_g"], cols, "variavel", "valor") \
-             .filter(F.col("valor").isNotNull() & F.col("_g").isNotNull())
-    per = long.groupBy("variavel", "_g").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("valor").alias("m"), F.var_pop("valor").alias("v"))
-    tot = per.groupBy("variavel").agg(
-        F.sum("n").alias("ntot"), F.count(F.lit(1)).alias("k"),
-        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
-    j = per.join(tot, "variavel")  # both sides have one row per (variable, group): tiny
-    f = j.groupBy("variavel", "ntot", "k").agg(
-        F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2)).alias("ssb"),
-        F.sum(F.col("n") * F.col("v")).alias("ssw"))
-    return f.filter(F.col("k") >= 2).select(
-        "variavel", F.col("k").alias("grupos"), F.col("ntot").alias("n"),
-        (F.col("k") - 1).alias("df1"), (F.col("ntot") - F.col("k")).alias("df2"),
-        F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("ntot") - F.col("k"))).alias("f"),
-        F.when(F.col("k") == 2, F.lit("T-test")).otherwise(F.lit("ANOVA")).alias("teste"))
-
-
-# --- p-values (small per-row helper on the tiny F table) --------------------
-
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction for the incomplete beta function (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def reg_inc_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
-
-
-def f_survival(f: float, d1: float, d2: float) -> float | None:
-    """P(F > f) for the F distribution with (d1, d2) degrees of freedom."""
-    if f is None or d1 is None or d2 is None or d1 <= 0 or d2 <= 0 or math.isnan(f):
-        return None
-    if f <= 0:
-        return 1.0
-    return reg_inc_beta(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).agg(
+        *[safe_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("var_a"), F.lit(y).alias("var_b"), F.col(f"r{i}").alias("r"))
+                               for i, (a, b) in enumerate(pairs) for x, y in ({(a, b), (b, a)})]))
+    return wide.select(each.alias("s")).select("s.*")
 
 
-def with_p_value(ftable: DataFrame) -> DataFrame:
-    """Add the F-test p-value and significance stars. The table has one row
-    per tested variable; the p-value is a vectorised pandas UDF over it."""
-    from gravis.functions.scalar import significance_stars
+# --- p-values ----------------------------------------------------------------
 
-    @F.pandas_udf("double")
-    def _p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-        return pd.Series([f_survival(a, b, c) if pd.notna(a) else None
-                          for a, b, c in zip(f, d1.astype(float), d2.astype(float))], dtype="float64")
+_F_STEPS = 2000  # Simpson steps of each integral
 
-    out = ftable.withColumn("p_value", _p("f", "df1", "df2"))
-    return out.withColumn("significancia", significance_stars("p_value"))
 
+def f_survival(f: Column, df1: Column, df2: Column) -> Column:
+    """P(F > f) for (df1, df2) degrees of freedom: the closed form for df1 = 2,
+    else the ratio of two integrals of sin(t)^(df1-1) cos(t)^(df2-1), from the
+    angle of f and from 0, in units of the density's width."""
+    f, a, b = f.cast("double"), df1.cast("double"), df2.cast("double")
+    start = F.atan(F.sqrt(F.greatest(f, F.lit(0.0)) * a / b))
+    end = F.least(F.lit(math.pi / 2), F.sqrt(a / b) + 12 / F.sqrt(b))
+
+    def integral(lo: Column, hi: Column) -> Column:
+        h = (hi - lo) / _F_STEPS
+        points = F.sequence(F.lit(0), F.lit(_F_STEPS))
 
-# --- code views for correlation work ---------------------------------------
+        def term(acc: Column, i: Column) -> Column:
+            t = lo + h * i
+            weight = F.when((i == 0) | (i == _F_STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+            return acc + weight * F.pow(F.sin(t), a - 1) * F.pow(F.greatest(F.cos(t), F.lit(0.0)), b - 1)
+        return F.aggregate(points, F.lit(0.0), term) * h
+    tail = F.when(start >= end, 0.0).otherwise(integral(start, end) / integral(F.lit(0.0), end))
+    return F.when(f.isNull() | (a <= 0) | (b <= 0), None).when(f <= 0, 1.0).when(
+        a == 2, F.pow(1 + 2 * f / b, -b / 2)).otherwise(tail)
 
-def sentinel_free(df: DataFrame, cols: Sequence[str], sentinel: str = NOT_AVAILABLE) -> DataFrame:
-    cond = None
-    for c in cols:
-        t = ~F.col(c).eqNullSafe(F.lit(sentinel))
-        cond = t if cond is None else cond & t
-    return df.filter(cond) if cond is not None else df
+
+def with_p_value(ftable: DataFrame) -> DataFrame:
+    """Add the F-test p-value and significance stars."""
+    from gravis.functions.scalar import significance_stars
+    out = ftable.withColumn("p_value", f_survival(F.col("f"), F.col("df1"), F.col("df2")))
+    return out.withColumn("significancia", significance_stars("p_value"))

@@ -55,10 +55,11 @@ def prepare_cases(df: DataFrame, scope: dict | None = SCOPE, zscore_suffix: str
     IQR filter on age, z-scores (kept beside the raw values), place code;
     the statistics are fitted on the whole table and only THEN is the scope
     applied. The result is checkpointed: every analysis reads it."""
-    d = C.drop_duplicate_rows(X.type_columns(df) if "idade" in df.columns and
-                              dict(df.dtypes).get("idade") == "string" else df)
+    d = C.drop_duplicate_rows(df)  # on the rows as loaded, before typing
+    if dict(d.dtypes).get("idade") == "string":
+        d = X.type_columns(d)
     d = C.recode_and_fill(d)
-    d = C.median_fill(d)
+    d = C.median_fill(d, C.columns_of_type(d, "numeric", exclude=["id_sinistro"]))
     if "municipio" in d.columns:
         d = d.withColumn("municipio", normalize_name("municipio"))
     if "idade" in d.columns:
@@ -69,10 +70,10 @@ def prepare_cases(df: DataFrame, scope: dict | None = SCOPE, zscore_suffix: str
     if "municipio" in d.columns:
         d, _ = E.ordinal_encode(d, ["municipio"], suffix="_num")
     if scope:
-        present = {k: v for k, v in scope.items() if k in d.columns}
-        if present:
-            d = C.equals_all(d, present)
-        d = C.exclude_value(d, [c for c in SCOPE_SENTINEL_COLUMNS if c in d.columns], UNKNOWN)
+        absent = [c for c in [*scope, *SCOPE_SENTINEL_COLUMNS] if c not in d.columns]
+        if absent:
+            raise ValueError(f"the scope needs columns {absent}")
+        d = C.exclude_value(C.equals_all(d, scope), SCOPE_SENTINEL_COLUMNS, UNKNOWN)
     return cut_lineage(d)
 
 

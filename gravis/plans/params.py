@@ -45,7 +45,7 @@ OUTLIER_TOTAL = 700
 AGE_BINS, RATE_BINS = 30, 15
 
 # Density grid points for the age curve.
-DENSITY_POINTS = 50
+DENSITY_POINTS = 200
 
 # Machine learning.
 SEED = 42

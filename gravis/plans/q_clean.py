@@ -76,10 +76,11 @@ def recode_and_fill(spark, sf_dir):
 
 @register("median_fill", "N3,J2",
           _dirty("""SELECT id_sinistro, coalesce(CAST(idade AS DOUBLE), (SELECT median(idade) FROM cases_dirty)) AS idade,
-       mes_sinistro, dia_sinistro, valor FROM cases_dirty"""))
+       CAST(mes_sinistro AS DOUBLE) AS mes_sinistro, CAST(dia_sinistro AS DOUBLE) AS dia_sinistro,
+       CAST(valor AS DOUBLE) AS valor FROM cases_dirty"""))
 def median_fill(spark, sf_dir):
     d = cases_dirty(spark, sf_dir).select("id_sinistro", "idade", "mes_sinistro", "dia_sinistro", "valor")
-    return C.median_fill(d)
+    return C.median_fill(d, ["idade", "mes_sinistro", "dia_sinistro", "valor"])
 
 
 @register("fold_accents", "F1,F2,F3",

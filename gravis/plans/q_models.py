@@ -189,9 +189,12 @@ def class_weights(spark, sf_dir):
 
 
 @register("split_sizes", "M1",
-          with_cases(f"""SELECT gravidade_lesao, n, CAST(round({P.TEST_FRACTION} * n) AS BIGINT) AS n_test,
-       n - CAST(round({P.TEST_FRACTION} * n) AS BIGINT) AS n_train
-FROM (SELECT gravidade_lesao, count(*) AS n FROM cases GROUP BY gravidade_lesao)"""))
+          with_cases(f"""SELECT gravidade_lesao, n, n_test, n - n_test AS n_train FROM (
+  SELECT gravidade_lesao, n, CAST(floor(share) AS BIGINT) + CASE WHEN row_number() OVER (
+           ORDER BY share - floor(share) DESC, gravidade_lesao) <= in_all - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS n_test
+  FROM (SELECT *, in_all * n / sum(n) OVER () AS share FROM (
+    SELECT *, ceil(round({P.TEST_FRACTION} * sum(n) OVER (), 9)) AS in_all FROM (
+      SELECT gravidade_lesao, count(*) AS n FROM cases GROUP BY gravidade_lesao))))"""))
 def split_sizes(spark, sf_dir):
     s = S.stratified_split(cases(spark, sf_dir), TARGET, ["id_sinistro"], P.TEST_FRACTION, P.SEED)
     return s.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gravis.operators import encode as E
@@ -246,13 +247,17 @@ def group_f_test(spark, sf_dir):
     return f.withColumn("f", _r9("f"))
 
 
-@register("group_significance", "A27,F12")
+@register("group_significance", "A27,F12",
+          _f_sql().replace("SELECT p.variavel", "SELECT *, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' "
+                           "WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS significancia FROM (SELECT *, "
+                           "round(pow(1 + 2 * f / df2, -df2 / 2.0), 9) AS p_value FROM (SELECT p.variavel", 1) + "))")
 def group_significance(spark, sf_dir):
-    """F test with p-value and stars (the p-value needs the F distribution,
-    which the SQL oracle lacks, so this one is checked by tests instead)."""
+    """F test with p-value and stars; three classes give df1 = 2, whose
+    p-value the oracle states in closed form."""
     text = [c for c in PREDICTIVE_FEATURES if c in STRING_FEATURES]
     num = [c for c in PREDICTIVE_FEATURES if c in NUMERIC_FEATURES]
-    return S.with_p_value(S.target_anova(cases(spark, sf_dir), TARGET, text, num))
+    f = S.target_anova(cases(spark, sf_dir), TARGET, text, num).withColumn("f", _r9("f"))
+    return S.with_p_value(f).withColumn("p_value", _r9("p_value"))
 
 
 # --- importance roll-up -------------------------------------------------------
@@ -269,9 +274,8 @@ def rollup_importance(weights, feature="variavel", weight="peso"):
     """Sum feature weights by family with each family's share (percent)."""
     fam = weights.withColumn("familia", family_of(feature))
     g = fam.groupBy("familia").agg(F.sum(weight).alias("soma"), F.count(F.lit(1)).alias("variaveis"))
-    total = weights.agg(F.sum(weight)).first()[0] or 0.0
-    return g.select("familia", "soma", "variaveis",
-                    F.try_divide(F.lit(100.0) * F.col("soma"), F.lit(total)).alias("share_pct"))
+    total = F.sum("soma").over(Window.partitionBy())  # a row per family
+    return g.select("familia", "soma", "variaveis", F.try_divide(F.lit(100.0) * F.col("soma"), total).alias("share_pct"))
 
 
 def _family_case(col):

@@ -11,7 +11,7 @@ written as a single file.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,15 +46,16 @@ def read_extract(spark: SparkSession, path: str, sep: str = ";", encoding: str =
 
 
 def type_columns(df: DataFrame, types: dict[str, str] = EXTRACT_TYPES) -> DataFrame:
-    """``try_cast`` the listed columns; whole numbers written as '2020.0'
-    are read through double so they keep their value."""
+    """``try_cast`` the listed columns; whole numbers may be written as '2020.0'."""
     cols = []
     for f in df.schema.fields:
         t = types.get(f.name)
         if t is None:
             cols.append(F.col(f.name))
         elif t in ("int", "bigint"):
-            cols.append(F.col(f.name).try_cast("double").try_cast(t).alias(f.name))
+            # whole numbers keep all digits; '2020.0' is read through double, '2020.7' is not a whole number
+            real = F.col(f.name).try_cast("double")
+            cols.append(F.coalesce(F.col(f.name).try_cast(t), F.when(real == F.floor(real), real).try_cast(t)).alias(f.name))
         else:
             cols.append(F.col(f.name).try_cast(t).alias(f.name))
     return df.select(*cols)
@@ -67,13 +68,13 @@ def write_extract(df: DataFrame | None, path: str, sep: str = ";", encoding: str
     counted: the write is confirmed only if the counts agree."""
     if df is None or df.isEmpty():
         return False
-    expected = df.count() if verify else None
-    (df.write.mode("overwrite").option("header", True).option("sep", sep)
+    seen = Observation()
+    (df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).option("sep", sep)
        .option("encoding", encoding).csv(path))
     if not verify:
         return True
     back = read_extract(df.sparkSession, path, sep=sep, encoding=encoding)
-    return back is not None and back.count() == expected
+    return back is not None and back.count() == seen.get["n"]
 
 
 def format_decimals(df: DataFrame, places: int = 4) -> DataFrame:

@@ -90,7 +90,9 @@ def test_median_fill_is_exact_and_skips_full_columns(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, 4.0), (4, 10.0), (5, 2.0)], "id int, x double")
     got = {r["id"]: r["x"] for r in C.median_fill(df).collect()}
     assert got[2] == 3.0  # mean of the two middle values 2 and 4
-    assert dict(C.median_fill(df).dtypes)["id"] == "int"
+    assert dict(C.median_fill(df, ["x"]).dtypes) == dict(df.dtypes) | {"x": "double"}
+    empty = df.limit(0)
+    assert C.median_fill(empty, ["x"]).count() == 0 and C.iqr_filter(empty, "x").count() == 0
 
 
 def test_zscore_population_and_constant(spark):

@@ -27,8 +27,12 @@ def test_split_exact_and_partition_independent(spark):
     assert ta == tb
     counts = {r[0]: (r[1], r[2]) for r in a.groupBy("gravidade_lesao").agg(
         F.count(F.lit(1)), F.count(F.when(F.col("is_test"), 1))).collect()}
-    for n, t in counts.values():
-        assert t == round(0.2 * n + 1e-12)
+    total = sum(n for n, _ in counts.values())
+    assert sum(t for _, t in counts.values()) == -(-total // 5)
+    assert all(abs(t - 0.2 * n) < 1 for n, t in counts.values())
+    assert S.test_quotas({("a",): 7, ("b",): 2, ("c",): 2}, 0.2) == {("a",): 2, ("b",): 1, ("c",): 0}
+    empty = S.stratified_split(c.limit(0), "gravidade_lesao", ["id_sinistro"], 0.2, 42)
+    assert empty.count() == 0 and S.undersample(c.limit(0), "gravidade_lesao", ["id_sinistro"], 42).count() == 0
     other = S.stratified_split(c, "gravidade_lesao", ["id_sinistro"], 0.2, 7)
     assert {r[0] for r in other.filter("is_test").select("id_sinistro").collect()} != ta
 

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gravis.operators import stats as S
 
@@ -53,16 +54,16 @@ def test_density_matches_brute_force(sample):
 
 def test_constant_correlation_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 7.0, 5.0)], "x double, y double, c double")
-    got = {r["variavel"]: r["r"] for r in S.correlations_with(df, "y", ["x", "c"]).collect()}
+    got = {r["variavel"]: r["r"] for r in S.correlation_matrix(df, ["y", "x", "c"]).filter("var_a = 'y' and var_b <> 'y'").selectExpr("var_b AS variavel", "r").collect()}
     assert got["c"] is None
     assert got["x"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 7])[0, 1])
-    rank = S.correlation_ranking(S.correlations_with(df, "y", ["x", "c"])).collect()
+    rank = S.correlation_ranking(S.correlation_matrix(df, ["y", "x", "c"]).filter("var_a = 'y' and var_b <> 'y'").selectExpr("var_b AS variavel", "r")).collect()
     assert [r["variavel"] for r in rank] == ["x"]
 
 
 def test_anova_f_and_p_value(sample):
     pdf, df = sample
-    f = S.with_p_value(S.anova_f(df, "g", ["x"])).collect()[0]
+    f = S.with_p_value(S.target_anova(df, "g", [], ["x"])).collect()[0]
     groups = [p["x"].to_numpy() for _, p in pdf.groupby("g")]
     grand = pdf["x"].mean()
     ssb = sum(len(v) * (v.mean() - grand) ** 2 for v in groups)
@@ -72,10 +73,33 @@ def test_anova_f_and_p_value(sample):
     assert 0.0 <= f["p_value"] <= 1.0
 
 
-def test_f_survival_known_points():
-    assert S.f_survival(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-5)
-    assert S.f_survival(3.3541, 2, 27) == pytest.approx(0.05, abs=1e-5)
-    assert S.f_survival(0.0, 2, 5) == 1.0
+def test_f_survival_known_points(spark):
+    points = [(4.9646, 1, 10, 0.05), (3.3541, 2, 27, 0.05), (3.841459, 1, 10**7, 0.05),
+              (10.1280, 1, 3, 0.05), (2.9782, 5, 10, 0.0669), (0.0, 2, 5, 1.0)]
+    df = spark.createDataFrame(points, "f double, a long, b long, p double")
+    for r in df.select(S.f_survival(F.col("f"), F.col("a"), F.col("b")).alias("got"), "p").collect():
+        assert r["got"] == pytest.approx(r["p"], abs=2e-4)
+    two = spark.range(1, 40).select((F.col("id") / 4.0).alias("f"), F.lit(2).alias("a"), F.col("id").alias("b"))
+    for r in two.select(S.f_survival(F.col("f"), F.col("a"), F.col("b")).alias("x"),
+                        S.f_survival(F.col("f"), F.lit(2.0000001), F.col("b")).alias("y")).collect():
+        assert r["x"] == pytest.approx(r["y"], abs=1e-5)
+
+
+def test_any_number_of_values_and_groups(spark):
+    n = 50_000
+    df = spark.range(n).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("t"),
+                               F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"),
+                               (F.col("id") % 20_000).alias("h"), F.col("id").alias("x"))
+    r = S.target_correlations(df, "g", ["t"], ["x"]).collect()
+    assert r[0]["r"] == pytest.approx(r[1]["r"], abs=1e-12)  # the sorted code of t is x
+    boxes = S.box_summary(df, "x", "h")
+    assert boxes.count() == 20_000
+    assert boxes.filter("h = 5").first()["median"] == 20_005.0
+    q = S.exact_quantiles(df, "x", [], (0.0, 0.25, 0.5, 1.0)).first()
+    assert list(q) == [0.0, (n - 1) / 4, (n - 1) / 2, n - 1.0]
+    empty = df.limit(0)
+    assert S.target_correlations(empty, "g", ["t"], ["x"]).filter("r is not null").count() == 0
+    assert S.box_summary(empty, "x", "h").count() == 0 and S.exact_quantiles(empty, "x", ["g"], (0.5,)).count() == 0
 
 
 def test_std_of_single_row_group_is_null(spark):
@@ -126,5 +150,4 @@ def test_target_regression_and_anova_match_brute_force(spark, sample):
     assert reg["intercept"] == pytest.approx(intercept, rel=1e-9)
     assert reg["r2"] == pytest.approx(np.corrcoef(pdf["x"], y)[0, 1] ** 2, rel=1e-9)
     a = S.target_anova(df, "g", [], ["x"]).first()
-    b = S.anova_f(df, "g", ["x"]).first()
-    assert a["f"] == pytest.approx(b["f"], rel=1e-9) and (a["df1"], a["df2"]) == (b["df1"], b["df2"])
+    assert (a["df1"], a["df2"]) == (2, len(pdf) - 3)
