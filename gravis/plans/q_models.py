@@ -303,7 +303,7 @@ def _smote(train):
 @register("smote_resample", "M8,J6")
 def smote_resample(spark, sf_dir):
     """The training split raised to equal class sizes with synthetic rows
-    interpolated towards exact same-class nearest neighbours."""
+    interpolated towards approximate same-class nearest neighbours."""
     ff = model_data(spark, sf_dir)
     train, _ = _train_test(ff)
     res = _smote(train)
@@ -311,13 +311,18 @@ def smote_resample(spark, sf_dir):
                       vector_to_array("features").alias("features"))
 
 
+def _search_rows(train):
+    """At most ``SEARCH_FIT_ROWS`` training rows, in hash order, for the search's fits."""
+    return cut_lineage(S.seeded_sample(train, P.SEARCH_FIT_ROWS, ["id_sinistro"], P.SEED))
+
+
 @register("grid_search", "M9,M10,S8")
 def grid_search(spark, sf_dir):
     ff = model_data(spark, sf_dir)
     train, _ = _train_test(ff)
     rf = ML.random_forest(seed=P.SEED)
-    grid = ML.param_grid(rf, P.GRID_TREES, P.GRID_DEPTHS, P.GRID_LEAVES)
-    cvm = ML.grid_search(ML.with_balanced_weights(train), rf, grid, k=3, seed=P.SEED)
+    grid = ML.param_grid(rf, **P.REFERENCE_GRID)
+    cvm = ML.grid_search(ML.with_balanced_weights(_search_rows(train)), rf, grid, k=3, seed=P.SEED, parallelism=8)
     rows = []
     for pm, score in zip(grid, cvm.avgMetrics):
         named = {p.name: v for p, v in pm.items()}
@@ -341,13 +346,14 @@ def model_comparison(spark, sf_dir):
     rus_train = S.undersample(train, "label", ["id_sinistro"], P.SEED)
     rus = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(ML.with_balanced_weights(rus_train))
     grid_values = [dict(num_trees=t, max_depth=d, min_instances=m)
-                   for t in P.GRID_TREES for d in P.GRID_DEPTHS for m in P.GRID_LEAVES]
+                   for t in P.REFERENCE_GRID["trees"] for d in P.REFERENCE_GRID["depths"]
+                   for m in P.REFERENCE_GRID["leaves"]]
 
     def make_rf(num_trees, max_depth, min_instances):
         return ML.random_forest(num_trees, max_depth, min_instances)
 
     best_params, _, _ = ML.grid_search_resampled(
-        train, make_rf, grid_values, lambda d: S.undersample(d, "label", ["id_sinistro"], P.SEED), seed=P.SEED)
+        _search_rows(train), make_rf, grid_values, lambda d: S.undersample(d, "label", ["id_sinistro"], P.SEED), seed=P.SEED, parallelism=8)
     smote_train = cut_lineage(_smote(train).drop("synthetic", "origem", "vizinho"))
     sm = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(ML.with_balanced_weights(smote_train))
     gs = make_rf(**best_params).fit(wtrain)
@@ -403,12 +409,13 @@ def run_summary(spark, sf_dir):
     """Rows analysed, rows modelled, feature count and the three strongest
     leak-free variables by |r| with the target."""
     from gravis.plans.q_stats import leakfree_correlation_ranking
-    ff = ML.build_features(cases(spark, sf_dir))
-    n_rows = cases(spark, sf_dir).count()
-    n_model = ff.data.count()
+    src = ML.with_person_bands(cases(spark, sf_dir))
+    slots = [F.count_distinct(c).alias(c) for c in ML.CATEGORICAL]  # one slot a category, and one a number
+    row = src.agg(F.count(F.lit(1)).alias("n"), *slots).first()
+    features = sum(row[c] for c in ML.CATEGORICAL) + 1 + len(ML.SCALED) + len(ML.RAW_NUMERIC)
     top = leakfree_correlation_ranking(spark, sf_dir).filter(F.col("posicao") <= 3)
     top3 = top.agg(F.array_join(F.sort_array(F.collect_list(F.struct("posicao", "variavel"))).getField("variavel"),
                                 ", ").alias("top3"))
-    return top3.select(F.lit(n_rows).cast("long").alias("registros"),
-                       F.lit(n_model).cast("long").alias("registros_modelo"),
-                       F.lit(len(ff.slot_names)).alias("features"), "top3")
+    return top3.select(F.lit(row["n"]).cast("long").alias("registros"),
+                       F.lit(row["n"]).cast("long").alias("registros_modelo"),
+                       F.lit(features).alias("features"), "top3")

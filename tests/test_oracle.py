@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from gravis.plans import catalogue as E
 from scripts.check_oracle import TABLES, _rows
 
 SF = "/root/testdata/sf0.01"
@@ -36,7 +36,8 @@ def test_every_oracle_has_a_query():
 
 
 def test_entry_smoke(spark):
-    df = E.entry(spark)
+    import __spark_entry__
+    df = __spark_entry__.entry(spark)
     rows = df.collect()
     assert len(rows) == 12
     assert {"mes_sinistro", "fatal_rate", "posicao"} <= set(df.columns)

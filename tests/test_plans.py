@@ -3,7 +3,7 @@ products or nested-loop joins, and no row-at-a-time Python UDF anywhere."""
 
 import pytest
 
-import __spark_entry__ as E
+from gravis.plans import catalogue as E
 
 from conftest import SF001
 
