@@ -41,6 +41,15 @@ MIN_SUPPORT = 600
 OUTLIER_RATE_PCT = 36.0
 OUTLIER_TOTAL = 700
 
+# Worst municipalities that a chart highlights, and the rate from which a victim
+# type is highlighted (90 in the reference, on a class of about 87 %; a third here).
+WORST_MUNICIPALITIES = 3
+VICTIM_FLAG_PCT = 33.5
+# Age bands in a box chart: the most frequent ones.
+TOP_BANDS = 6
+# Variables beside the target in the correlation matrix of the strongest ones.
+TOP_CORRELATED = 10
+
 # Equal-width histogram bins (age, municipal rate).
 AGE_BINS, RATE_BINS = 30, 15
 
@@ -64,4 +73,4 @@ RF_TREES, RF_DEPTH = 100, 30
 REFERENCE_GRID = dict(trees=(50, 100, 200), depths=(30, 5, 10, 20), leaves=(1, 2, 4))
 # Labelled rows the search's 36 x 3 fits use, at most (a documented fit bound; the
 # winning parameters are refitted on all training rows).
-SEARCH_FIT_ROWS = 600
+SEARCH_FIT_ROWS = 300

@@ -320,9 +320,9 @@ def _search_rows(train):
 def grid_search(spark, sf_dir):
     ff = model_data(spark, sf_dir)
     train, _ = _train_test(ff)
-    rf = ML.random_forest(seed=P.SEED)
+    rf = ML.random_forest(seed=P.SEED, cache_node_ids=False)
     grid = ML.param_grid(rf, **P.REFERENCE_GRID)
-    cvm = ML.grid_search(ML.with_balanced_weights(_search_rows(train)), rf, grid, k=3, seed=P.SEED, parallelism=8)
+    cvm = ML.grid_search(ML.with_balanced_weights(_search_rows(train)).coalesce(1), rf, grid, k=3, seed=P.SEED, parallelism=8)
     rows = []
     for pm, score in zip(grid, cvm.avgMetrics):
         named = {p.name: v for p, v in pm.items()}
@@ -352,8 +352,11 @@ def model_comparison(spark, sf_dir):
     def make_rf(num_trees, max_depth, min_instances):
         return ML.random_forest(num_trees, max_depth, min_instances)
 
+    def search_rf(num_trees, max_depth, min_instances):
+        return ML.random_forest(num_trees, max_depth, min_instances, cache_node_ids=False)
+
     best_params, _, _ = ML.grid_search_resampled(
-        _search_rows(train), make_rf, grid_values, lambda d: S.undersample(d, "label", ["id_sinistro"], P.SEED), seed=P.SEED, parallelism=8)
+        _search_rows(train), search_rf, grid_values, lambda d: S.undersample(d, "label", ["id_sinistro"], P.SEED), seed=P.SEED, parallelism=8, partitions=1)
     smote_train = cut_lineage(_smote(train).drop("synthetic", "origem", "vizinho"))
     sm = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(ML.with_balanced_weights(smote_train))
     gs = make_rf(**best_params).fit(wtrain)
@@ -378,13 +381,40 @@ def logistic_curve(spark, sf_dir):
     d = c.select(F.col("idade").cast("double").alias("idade"),
                  (F.col(TARGET) == "FATAL").cast("double").alias("label"))
     asm = VectorAssembler(inputCols=["idade"], outputCol="features")
-    model = LogisticRegression(maxIter=50).fit(asm.transform(d))
+    model = LogisticRegression(maxIter=100, tol=1e-10).fit(asm.transform(d))
     ages = asm.transform(d.select("idade").distinct())
     out = model.transform(ages).select("idade", vector_to_array("probability")[1].alias("p_fatal"))
     return out.withColumn("intercepto", F.lit(float(model.intercept))).withColumn(
         "coeficiente", F.lit(float(model.coefficients[0])))
 
 
+@register("logistic_score_equations", "A26",
+          with_cases("""SELECT round(avg(CASE WHEN gravidade_lesao = 'FATAL' THEN 1.0 ELSE 0.0 END), 5) AS mean_p,
+       round(avg(CASE WHEN gravidade_lesao = 'FATAL' THEN idade ELSE 0.0 END), 3) AS mean_age_p, count(*) AS n
+FROM cases WHERE idade IS NOT NULL"""))
+def logistic_score_equations(spark, sf_dir):
+    """What the maximum-likelihood curve must satisfy: mean p = mean y, mean age p = mean age y."""
+    curve = logistic_curve(spark, sf_dir).select(F.col("idade").alias("_age"), "p_fatal")
+    ages = cases(spark, sf_dir).filter(F.col("idade").isNotNull()).groupBy(F.col("idade").cast("double").alias("_age")).agg(
+        F.count(F.lit(1)).alias("n"))
+    n = F.sum("n")
+    return ages.join(curve, "_age").agg(
+        F.round(F.sum(F.col("n") * F.col("p_fatal")) / n, 5).alias("mean_p"),
+        F.round(F.sum(F.col("n") * F.col("_age") * F.col("p_fatal")) / n, 3).alias("mean_age_p"), n.alias("n"))
+
+
+@register("sample_invariants", "P17",
+          with_cases("""SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS distinct_ids, least(count(*), 1000) AS known
+FROM cases"""))
+def sample_invariants(spark, sf_dir):
+    """The fixed-size sample: its size, its different ids, and those that are case ids."""
+    got = S.seeded_sample(cases(spark, sf_dir), 1000, ["id_sinistro"], P.SEED).select("id_sinistro")
+    known = got.join(cases(spark, sf_dir).select("id_sinistro").distinct(), "id_sinistro", "left_semi")
+    return got.select("id_sinistro", F.lit(0).alias("k")).unionByName(known.select("id_sinistro", F.lit(1).alias("k"))).agg(
+        F.count(F.when(F.col("k") == 0, 1)).alias("n"), F.count_distinct("id_sinistro").alias("distinct_ids"),
+        F.count(F.when(F.col("k") == 1, 1)).alias("known"))
+
+
 def _run_summary_sql():
     from gravis.plans.q_stats import PREDICTIVE_FEATURES, _CODED_SQL, _corr_sql_expr
     rows = "\nUNION ALL\n".join(

@@ -87,6 +87,33 @@ def severity_by_victim(spark, sf_dir):
     return _matrix(spark, sf_dir, ["tipo_de_vitima"], scale=100)
 
 
+@register("severity_by_sex", "A6,A7,A8",
+          with_cases("SELECT * FROM rates", extra_ctes=sev_sql(["sexo"], scale=100)))
+def severity_by_sex(spark, sf_dir):
+    return _matrix(spark, sf_dir, ["sexo"], scale=100)
+
+
+@register("flagged_municipalities", "R8",
+          with_cases(f"""SELECT municipio, fatal_rate, posicao, posicao <= {P.WORST_MUNICIPALITIES} AS destaque FROM (
+  SELECT *, {_rank('fatal_rate DESC, municipio')} FROM rates)""",
+                     extra_ctes=sev_sql(["municipio"], scale=100, name="m0")
+                     + f",\nrates AS (SELECT * FROM m0 WHERE total >= {P.MIN_SUPPORT})"))
+def flagged_municipalities(spark, sf_dir):
+    """Supported municipalities by fatal rate, the worst ones flagged."""
+    m = R.min_support(_matrix(spark, sf_dir, ["municipio"], scale=100), P.MIN_SUPPORT)
+    r = R.ranked(m, _desc("fatal_rate", "municipio"))
+    return r.select("municipio", "fatal_rate", "posicao", (F.col("posicao") <= P.WORST_MUNICIPALITIES).alias("destaque"))
+
+
+@register("flagged_victims", "R8",
+          with_cases(f"SELECT tipo_de_vitima, leve_rate, leve_rate >= {P.VICTIM_FLAG_PCT} AS destaque FROM rates",
+                     extra_ctes=sev_sql(["tipo_de_vitima"], scale=100)))
+def flagged_victims(spark, sf_dir):
+    """Victim types whose light-injury rate reaches the flag value."""
+    m = _matrix(spark, sf_dir, ["tipo_de_vitima"], scale=100)
+    return m.select("tipo_de_vitima", "leve_rate", (F.col("leve_rate") >= P.VICTIM_FLAG_PCT).alias("destaque"))
+
+
 @register("top_fatal_months", "R4,R5",
           with_cases(f"SELECT * FROM (SELECT *, {_rank('fatal_rate DESC, mes_sinistro')} FROM rates) "
                      f"WHERE posicao <= {P.TOP_MONTHS}", extra_ctes=sev_sql(["mes_sinistro"])))

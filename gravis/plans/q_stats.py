@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gravis.operators import encode as E
@@ -106,6 +108,47 @@ def box_severity_by_victim(spark, sf_dir):
     return S.box_summary(c, "g", "tipo_de_vitima")
 
 
+def _score_box_sql(key, src):
+    """Oracle of box numbers of the severity score per ``key`` of ``src``."""
+    inside = "g >= q1 - 1.5 * (q3 - q1) AND g <= q3 + 1.5 * (q3 - q1)"
+    return (f"""SELECT c.{key}, count(*) AS n, q1, md AS median, q3,
+       CAST(min(g) FILTER (WHERE {inside}) AS DOUBLE) AS whisker_low,
+       CAST(max(g) FILTER (WHERE {inside}) AS DOUBLE) AS whisker_high,
+       count(*) FILTER (WHERE NOT ({inside})) AS outliers
+FROM sc c JOIN q ON c.{key} = q.v GROUP BY c.{key}, q1, md, q3""",
+            f"""sc AS (SELECT {key}, CASE gravidade_lesao WHEN 'FATAL' THEN 3 WHEN 'GRAVE' THEN 2 ELSE 1 END AS g FROM {src}),
+q AS (SELECT {key} AS v, quantile_cont(g, 0.25) AS q1, quantile_cont(g, 0.5) AS md,
+       quantile_cont(g, 0.75) AS q3 FROM sc GROUP BY {key})""")
+
+
+_SEX_BOX = _score_box_sql("sexo", "cases")
+
+
+@register("box_severity_by_sex", "A22,N11", with_cases(_SEX_BOX[0], extra_ctes=_SEX_BOX[1]))
+def box_severity_by_sex(spark, sf_dir):
+    from gravis.functions.scalar import severity_score
+    return S.box_summary(cases(spark, sf_dir).select("sexo", severity_score(TARGET).alias("g")), "g", "sexo")
+
+
+_BAND_SQL = "CASE " + " ".join(
+    f"WHEN idade > {lo} AND idade <= {hi} THEN '{t}'" for lo, hi, t in (
+        (0, 18, "0-18"), (18, 25, "19-25"), (25, 35, "26-35"), (35, 45, "36-45"), (45, 60, "46-60"), (60, 100, "60+"))) + " END"
+_BAND_BOX = _score_box_sql("faixa", "top_banded")
+
+
+@register("box_severity_by_band", "A22,N11,N12", with_cases(_BAND_BOX[0], extra_ctes=f"""banded AS (
+  SELECT gravidade_lesao, {_BAND_SQL} AS faixa FROM cases),
+top_bands AS (SELECT faixa FROM banded WHERE faixa IS NOT NULL GROUP BY faixa ORDER BY count(*) DESC, faixa LIMIT {P.TOP_BANDS}),
+top_banded AS (SELECT * FROM banded WHERE faixa IN (SELECT faixa FROM top_bands)),
+""" + _BAND_BOX[1]))
+def box_severity_by_band(spark, sf_dir):
+    """Box numbers of the severity score in the most frequent age bands."""
+    from gravis.functions.scalar import age_band, severity_score
+    c = cases(spark, sf_dir).select(age_band("idade").alias("faixa"), severity_score(TARGET).alias("g")).filter("faixa IS NOT NULL")
+    top = c.groupBy("faixa").count().orderBy(F.desc("count"), "faixa").limit(P.TOP_BANDS)
+    return S.box_summary(c.join(F.broadcast(top), "faixa", "left_semi"), "g", "faixa")  # a handful of bands
+
+
 # --- distributions ----------------------------------------------------------
 
 def _hist_sql(src_cte, value, bins):
@@ -209,6 +252,52 @@ def correlation_matrix(spark, sf_dir):
     return m.select("var_a", "var_b", _r9("r").alias("r"))
 
 
+_TARGET_ROWS = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS variavel, round({_corr_sql_expr(c, 'gravidade_num')}, 9) AS r FROM coded" for c in PREDICTIVE_FEATURES)
+
+
+def _top_matrix_sql():
+    names = ["gravidade_num", *PREDICTIVE_FEATURES]
+    rows = "\nUNION ALL\n".join(f"SELECT '{a}' AS var_a, '{b}' AS var_b, round({_corr_sql_expr(a, b)}, 9) AS r FROM coded"
+                                for a in names for b in names)
+    return with_cases(f"""SELECT * FROM ({rows})
+WHERE var_a IN (SELECT variavel FROM picked) AND var_b IN (SELECT variavel FROM picked)""",
+                      extra_ctes=_CODED_SQL + f""",
+picked AS (SELECT 'gravidade_num' AS variavel UNION ALL SELECT variavel FROM (
+  SELECT variavel FROM ({_TARGET_ROWS}) WHERE r IS NOT NULL ORDER BY abs(r) DESC, variavel LIMIT {P.TOP_CORRELATED}))""")
+
+
+@register("top_correlation_matrix", "A18,R3,R4", _top_matrix_sql())
+def top_correlation_matrix(spark, sf_dir):
+    """Correlations among the target and the variables that correlate most with it."""
+    top = _ranking(spark, sf_dir, PREDICTIVE_FEATURES).filter(F.col("posicao") <= P.TOP_CORRELATED)
+    names = ["gravidade_num", *[r["variavel"] for r in top.select("variavel").collect()]]  # TOP_CORRELATED names
+    m = S.correlation_matrix(coded_cases(spark, sf_dir), names)
+    return m.select("var_a", "var_b", _r9("r").alias("r"))
+
+
+def _top3_sql():
+    rows = "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS variavel, CAST({c} AS VARCHAR) AS chave, count(*) FILTER (WHERE gravidade_lesao = 'FATAL') / count(*) AS fatal_rate,
+       count(*) FILTER (WHERE gravidade_lesao = 'GRAVE') / count(*) AS grave_rate,
+       count(*) FILTER (WHERE gravidade_lesao = 'LEVE') / count(*) AS leve_rate, count(*) AS total
+FROM cases WHERE {c} IS NOT NULL AND gravidade_lesao IS NOT NULL GROUP BY {c}""" for c in PREDICTIVE_FEATURES if c != "valor")
+    return with_cases(f"""SELECT * FROM ({rows}) WHERE variavel IN (
+  SELECT variavel FROM ({_TARGET_ROWS}) WHERE r IS NOT NULL AND variavel <> 'valor' ORDER BY abs(r) DESC, variavel LIMIT 3)""",
+                      extra_ctes=_CODED_SQL)
+
+
+@register("top3_severity_shares", "A8,R4", _top3_sql())
+def top3_severity_shares(spark, sf_dir):
+    """Row-normalised severity tables of the three predictive variables that
+    correlate most with the target (money values apart), stacked."""
+    names = [c for c in PREDICTIVE_FEATURES if c != "valor"]
+    top = [r["variavel"] for r in _ranking(spark, sf_dir, names).filter("posicao <= 3").select("variavel").collect()]
+    parts = [m.select(F.lit(c).alias("variavel"), F.col(c).cast("string").alias("chave"), "fatal_rate", "grave_rate",
+                      "leve_rate", "total") for c, m in zip(top, R.severity_matrices(cases(spark, sf_dir), [[c] for c in top]))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @register("regression_lines", "A25",
           with_cases("\nUNION ALL\n".join(
               f"SELECT '{c}' AS variavel, round(regr_slope(gravidade_num, {c}), 9) AS slope, "
