@@ -155,7 +155,7 @@ def _hist_sql(src_cte, value, bins):
     return with_cases(f"""SELECT grid.bin, lo + (grid.bin - 1) * ((hi - lo) / {bins}) AS bin_lo,
        lo + grid.bin * ((hi - lo) / {bins}) AS bin_hi, count(b.bin) AS n
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(1, {bins + 1})) grid CROSS JOIN s
-LEFT JOIN b ON grid.bin = b.bin GROUP BY grid.bin, lo, hi""",
+LEFT JOIN b ON grid.bin = b.bin WHERE lo IS NOT NULL GROUP BY grid.bin, lo, hi""",
                       extra_ctes=src_cte + f""",
 s AS (SELECT CAST(min({value}) AS DOUBLE) AS lo, CAST(max({value}) AS DOUBLE) AS hi FROM src WHERE {value} IS NOT NULL),
 b AS (SELECT CAST(least(floor(({value} - lo) * {bins} / (hi - lo)), {bins - 1}) AS INTEGER) + 1 AS bin
