@@ -14,31 +14,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gravis.llm.common import land, table
+from gravis.llm.common import land, prepare, table
 from gravis.llm.credentials import redact
 from gravis.llm.jaccard import drop_near_duplicates
 from gravis.llm.packing import packed_sequences
 from gravis.llm.quality import keep_good
-from gravis.session import ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return packed_sequences(docs)
 
 

@@ -14,8 +14,20 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BATCH_ROWS = 1000  # rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the operators importable in Python workers, and batches small
+    enough for long texts (unless the session asks for smaller ones)."""
+    ship_package(spark)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(size)) > BATCH_ROWS:
+        spark.conf.set(size, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)  # Python workers of any session can import the operators
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +42,15 @@ def land(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000  # rows of a few numbers: under 64 MB
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A landed table of a few numbers a row, to be broadcast if it has at most
+    ``rows`` rows; beyond that joins with it shuffle, as Spark decides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def all_columns(df: DataFrame) -> list[Column]:
     """The columns of ``df`` by quoted name."""
     return [F.col(f"`{c}`") for c in df.columns]

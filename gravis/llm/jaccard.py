@@ -38,13 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravis.llm.common import all_columns, land, table
+from gravis.llm.common import all_columns, land, small, table
 from gravis.llm.components import components
 from gravis.llm.registry import register
 
 CANDIDATE_COST = 20.0  # signatures that one accidental candidate is worth
-GROUP_SHINGLES = 1_000_000  # set elements that are compared in one task, about
-_WORDS_KEPT = 500_000
+GROUP_SHINGLES = 500_000  # set elements that are compared in one task, about
+BUCKET_SIGNATURES = 500_000  # signatures that meet in one group, about
+_WORDS_KEPT = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,8 +207,77 @@ def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None =
     return [find(i) for i in range(n)]
 
 
-def _candidates(reps: DataFrame, text: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, root) of representatives in the same candidate component."""
+_POSTINGS = "bucket int, base long, sig binary, off binary, hub binary, id binary"
+
+
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """Little-endian integers byte plane by byte plane (equal bytes compress away)."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _from_planes(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(size, -1).T
+    return out.view("<u8").reshape(-1)
+
+
+def _runs(key: np.ndarray, ids: np.ndarray):
+    """Of (key, id) sorted by both: first places of the keys, and the edges from
+    a key's first id to its others."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    hub = np.repeat(ids[first], np.diff(np.append(first, len(key))))
+    other = hub != ids
+    return first, hub[other], ids[other]
+
+
+def _postings(ids: np.ndarray, signatures: list[np.ndarray], buckets: int) -> pd.DataFrame:
+    """A batch's signatures, packed by bucket. Documents of the batch that share
+    one are linked here, so that it goes out once with its least id: a
+    signature that very many documents share costs one posting a batch.
+    Signatures keep 48 bits besides their bucket; a chance agreement of those
+    only adds a candidate."""
+    sig = np.concatenate(signatures) if signatures else np.empty(0, np.uint64)
+    owner = np.repeat(ids, [len(s) for s in signatures])
+    bucket = ((sig >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
+    key = bucket << np.uint64(48) | sig & np.uint64((1 << 48) - 1)
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    first, hub, other = _runs(key, owner)
+    key, owner = key[first], owner[first]
+    base = int(owner.min()) if len(owner) else 0
+    wide = 8 if len(owner) and int(owner.max()) - base >= 1 << 32 else 4
+    cuts = np.searchsorted(key >> np.uint64(48), np.arange(buckets + 1, dtype=np.uint64))
+    rows = [(b, base, _planes(key[x:y], 6), _planes((owner[x:y] - base).astype(np.uint64), wide), b"", b"")
+            for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+    if len(hub):
+        pair = np.unique(np.stack([hub, other]), axis=1)
+        rows.append((int(pair[0, 0] % buckets), 0, b"", b"", pair[0].tobytes(), pair[1].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "base", "sig", "off", "hub", "id"])
+
+
+def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The edges (hub, id) of a bucket, each once."""
+    keys, owners, hubs, others = [], [], [], []
+    for base, sig, off, hub, other in zip(pdf["base"], pdf["sig"], pdf["off"], pdf["hub"], pdf["id"]):
+        if len(sig):
+            keys.append(_from_planes(bytes(sig), 6))
+            owners.append(_from_planes(bytes(off), len(off) // len(keys[-1])).astype(np.int64) + base)
+        if len(hub):
+            hubs.append(np.frombuffer(bytes(hub), np.int64))
+            others.append(np.frombuffer(bytes(other), np.int64))
+    if keys:
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.lexsort((owner, key))
+        _, hub, other = _runs(key[order], owner[order])
+        hubs.append(hub)
+        others.append(other)
+    pair = np.unique(np.stack([np.concatenate(hubs), np.concatenate(others)]), axis=1)
+    return pd.DataFrame({"hub": pair[0], "id": pair[1]})
+
+
+def _candidates(reps: DataFrame, copies: DataFrame, text: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, root) of representatives in the same candidate component; ``copies``
+    (id) represent no class."""
     largest = reps.agg(F.max("n_shingles")).first()[0] or 0
     shape = Bands(num, den, largest)
     edges = F.array(*[F.lit(e) for e in shape.edges])
@@ -215,18 +285,23 @@ def _candidates(reps: DataFrame, text: DataFrame, k: int, num: int, den: int) ->
     sets_in = {r["band"]: r["n"] for r in reps.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
     bands = Bands(num, den, largest, sets_in)  # a row per size band: a few dozen
 
-    def run(batches):
+    total = sum(n * sum(m + q * bands.edges[b] // max(m, 1) for m, q in map(
+        bands.plan.__getitem__, bands.lists_under(bands.edges[b]))) for b, n in sets_in.items())
+    buckets = int(min(1 << 16, max(64, total // BUCKET_SIGNATURES)))
+
+    def index(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["_id"], "sigs": [
-                bands.signatures(u).astype(np.int64) if len(u) else [] for u in (shingle_set(t, k) for t in pdf["_text"])]})
-    signed = text.mapInPandas(run, "id long, sigs array<bigint>")
+            yield _postings(pdf["_id"].to_numpy(np.int64), [bands.signatures(u) if len(u) else u for u in (
+                shingle_set(t, k) for t in pdf["_text"])], buckets)
+
     # copies list nothing: only a class's least id stays
-    copies = land(reps.select(F.col("id").alias("rep")))
-    signed = land(signed.join(copies, signed["id"] == copies["rep"], "left_semi"))
-    listed = signed.select("id", F.explode("sigs").alias("sig"))
-    hubs = land(listed.groupBy("sig").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("sig", "hub"))
-    stars = listed.join(hubs, "sig").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    return components(land(stars))
+    text = text.where("_id is not null").join(small(copies), F.col("_id") == F.col("id"), "left_anti")
+    stars = land(text.mapInPandas(index, _POSTINGS).groupBy("bucket").applyInPandas(_stars, "hub long, id long"))
+    # a document's hubs hang together through the least of them; over the documents of a group these edges repeat
+    of_doc = stars.groupBy("id").agg(F.collect_set("hub").alias("hubs"))  # at most one hub a signature
+    least = F.array_min("hubs")
+    edges = of_doc.select(least.alias("a"), F.explode(F.concat("hubs", F.array("id"))).alias("b")).where("a <> b").distinct()
+    return components(land(edges))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90,
@@ -238,14 +313,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = rows.where("n_shingles > 0 and _id is not null")
     classes = land(known.groupBy("n_shingles", "h1", "h2").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")))
     reps = classes.select(F.col("rep").alias("id"), "n_shingles")
-    near = land(_candidates(reps, ids, k, num, den))
+    represents = (known["n_shingles"] == classes["n_shingles"]) & (known["h1"] == classes["h1"]) & (
+        known["h2"] == classes["h2"])
+    copies = land(known.join(classes.where("copies > 1"), represents).groupBy(F.col("_id").alias("id")).agg(
+        F.max(F.col("_id") == F.col("rep")).alias("is_rep")).where("not is_rep").select("id").join(
+        reps.select("id"), "id", "left_anti"))
+    near = land(_candidates(reps, copies, ids, k, num, den))
     # component sizes in set elements decide into how many blocks a component is cut
     weights = near.join(reps, "id").groupBy("root").agg(F.sum("n_shingles").alias("w"))
     cut = F.greatest(F.lit(1), F.ceil(F.col("w") / (group_shingles / 2)) - F.when(
         F.col("w") <= group_shingles, 1).otherwise(0)).cast("int")
     member = land(near.join(weights.select("root", cut.alias("blocks")), "root").select(
         F.col("id").alias("m_id"), "root", "blocks"))
-    text = ids.join(member, ids["_id"] == member["m_id"]).select("m_id", "root", "blocks", "_text")
+    text = ids.join(small(member), F.col("_id") == F.col("m_id")).select("m_id", "root", "blocks", "_text")
 
     def to_sets(batches):
         for pdf in batches:
@@ -270,8 +350,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_class = land(classes.join(joined, classes["rep"] == joined["id"], "left").where("copies > 1 or root is not null").select(
         F.col("n_shingles").alias("c_n"), F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"),
         F.coalesce("root", "rep").alias("component")))
-    out = rows.join(of_class, (rows["n_shingles"] == F.col("c_n")) & (rows["h1"] == F.col("c_h1")) & (
-        rows["h2"] == F.col("c_h2")) & rows["_id"].isNotNull(), "left")
+    out = rows.join(small(of_class), (F.col("n_shingles") == F.col("c_n")) & (F.col("h1") == F.col("c_h1")) & (
+        F.col("h2") == F.col("c_h2")) & F.col("_id").isNotNull(), "left")
     return out.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component", "_id").alias("component_id"))
 
 
@@ -281,13 +361,13 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows of that id become one."""
     found = land(jaccard_components(df, id_col, text_col, k, num, den))
     gone = land(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
-    kept = df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    kept = df.join(small(gone), df[id_col] == gone["_gone"], "left_anti")
     twice = land(found.where(f"n_shingles > 0 and `{id_col}` is not null").groupBy(id_col).count().where("count > 1").select(
         F.col(id_col).alias("_twice")))
     if not twice.limit(1).count():
         return kept.select(*all_columns(df))
-    once = kept.join(twice, df[id_col] == twice["_twice"], "left_anti")
-    repeated = kept.join(twice, df[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col])
+    once = kept.join(small(twice), df[id_col] == twice["_twice"], "left_anti")
+    repeated = kept.join(small(twice), df[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col])
     return once.select(*all_columns(df)).unionByName(repeated.select(*all_columns(df)))
 
 
