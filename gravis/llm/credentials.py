@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gravis.llm.common import all_columns, land, table
+from gravis.llm.common import all_columns, land, small, table
 from gravis.llm.registry import register
 
 SCOPE = 200  # characters between complementary parts, at most
@@ -145,7 +145,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     prev = F.lag("end", 1, 0).over(W.partitionBy("_id", "_h").orderBy("start"))
     merged = merged.withColumn("prev", prev).groupBy("_id", "_h").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "prev"))).alias("s"))
-    merged = merged.select(F.col("_id").alias("__g_id"), F.col("_h").alias("__g_h"), F.col("s").alias("__g_s"))
+    merged = small(land(merged.select(F.col("_id").alias("__g_id"), F.col("_h").alias("__g_h"), F.col("s").alias("__g_s"))))
     text_hash = F.xxhash64(F.coalesce(df[text_col], F.lit("")))
     joined = df.join(merged, df[id_col].eqNullSafe(merged["__g_id"]) & (text_hash == merged["__g_h"]), "left")
     t, s = df[text_col], F.col("__g_s")

@@ -28,7 +28,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gravis.llm.common import WORD_SPACE, all_columns, land, table, words
+from gravis.llm.common import WORD_SPACE, all_columns, land, small, table, words
 from gravis.llm.registry import register
 from gravis.session import cut_lineage
 
@@ -198,7 +198,7 @@ def keep_good(df: DataFrame) -> DataFrame:
     verdicts = quality_table(df).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"))
     gone = land(verdicts.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")))
     text_hash = F.xxhash64(F.coalesce(df["text"], F.lit("")))
-    return df.join(gone, df["doc_id"].eqNullSafe(gone["_gone"]) & (text_hash == gone["_gone_hash"]), "left_anti").select(
+    return df.join(small(gone), df["doc_id"].eqNullSafe(gone["_gone"]) & (text_hash == gone["_gone_hash"]), "left_anti").select(
         *all_columns(df))
 
 
