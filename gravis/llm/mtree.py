@@ -42,7 +42,7 @@ from gravis.llm.registry import register
 K = 5
 TREE_ROWS = 4096  # distinct vectors a tree holds, about
 MAX_ROUTES = 256  # routing vectors, at most
-PAGE = 64  # entries of a page, at most
+PAGE = 256  # entries of a page, at most
 QUERY_BLOCK = 1024  # queries that meet a tree at once, about
 
 

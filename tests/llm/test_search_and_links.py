@@ -43,7 +43,7 @@ def test_tree_bounds_hold_and_prune():
     centres = rnd.integers(-200, 200, (12, 8))
     x = (centres[rnd.integers(0, 12, 3000)] + rnd.integers(-6, 7, (3000, 8))).astype(float)
     m2 = float((x * x).sum(1).max())
-    tree = mtree.MTree(x, np.sqrt(np.maximum(m2 - (x * x).sum(1), 0)))
+    tree = mtree.MTree(x, np.sqrt(np.maximum(m2 - (x * x).sum(1), 0)), page=32)
     assert sorted(tree.order) == list(range(3000))
     s = mtree.Search(tree.dump(), [[i] for i in range(3000)])
     computed = []
