@@ -121,6 +121,28 @@ def seeded_sample(df: DataFrame, n: int, id_cols: Sequence[str], seed: int) -> D
     return r.filter(F.col("_rank") <= n).drop("_rank", "_stratum_n")
 
 
+def class_quotas(counts: dict[tuple, int], n: int) -> dict[tuple, int]:
+    """Rows per class of a sample of at most ``n``: half of it in equal parts (a
+    rare class gives all it has), the rest in proportion to what is left."""
+    if sum(counts.values()) <= n:
+        return dict(counts)
+    quota = {k: min(c, n // (2 * len(counts))) for k, c in counts.items()}
+    left = {k: c - quota[k] for k, c in counts.items()}
+    room, total = n - sum(quota.values()), sum(left.values())
+    return {k: q + room * left[k] // total for k, q in quota.items()}
+
+
+def stratified_sample(df: DataFrame, label: str, id_cols: Sequence[str], n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows, as many of each class as ``class_quotas`` gives it, in
+    hash order."""
+    quotas = class_quotas(stratum_counts(df, [label]), n)
+    if not quotas:
+        return df
+    r = hash_rank(df, [label], id_cols, seed)
+    per_class = F.create_map(*[F.lit(x) for k, q in quotas.items() if k[0] is not None for x in (k[0], q)])
+    return r.filter(F.col("_rank") <= F.try_element_at(per_class, F.col(label))).drop("_rank", "_stratum_n")
+
+
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Class weight n / (k * n_c) per row (scikit-learn's 'balanced'). The
     class counts (one per class) enter the rows as a literal map."""

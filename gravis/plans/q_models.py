@@ -311,26 +311,25 @@ def smote_resample(spark, sf_dir):
                       vector_to_array("features").alias("features"))
 
 
-def _search_rows(train):
-    """At most ``SEARCH_FIT_ROWS`` training rows, in hash order, for the search's fits."""
-    return cut_lineage(S.seeded_sample(train, P.SEARCH_FIT_ROWS, ["id_sinistro"], P.SEED))
+def _search(train, prepare=None):
+    """The reference's grid by cross-validation over all training rows: bounded
+    fits, whole held-out folds. (best parameters, its accuracy, all scores)."""
+    grid_values = [dict(num_trees=t, max_depth=d, min_instances=m)
+                   for t in P.REFERENCE_GRID["trees"] for d in P.REFERENCE_GRID["depths"]
+                   for m in P.REFERENCE_GRID["leaves"]]
+
+    def search_rf(num_trees, max_depth, min_instances):
+        return ML.random_forest(num_trees, max_depth, min_instances, seed=P.SEED, cache_node_ids=False)
+    return ML.grid_search(train, search_rf, grid_values, P.SEARCH_FIT_ROWS, k=3, seed=P.SEED, parallelism=8, prepare=prepare)
 
 
 @register("grid_search", "M9,M10,S8")
 def grid_search(spark, sf_dir):
     ff = model_data(spark, sf_dir)
     train, _ = _train_test(ff)
-    rf = ML.random_forest(seed=P.SEED, cache_node_ids=False)
-    grid = ML.param_grid(rf, **P.REFERENCE_GRID)
-    cvm = ML.grid_search(ML.with_balanced_weights(_search_rows(train)).coalesce(1), rf, grid, k=3, seed=P.SEED, parallelism=8)
-    rows = []
-    for pm, score in zip(grid, cvm.avgMetrics):
-        named = {p.name: v for p, v in pm.items()}
-        rows.append((int(named["numTrees"]), int(named["maxDepth"]), int(named["minInstancesPerNode"]), float(score)))
-    df = spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_accuracy double")
-    best = max(rows, key=lambda r: r[3])
-    return df.withColumn("melhor", (F.col("num_trees") == best[0]) & (F.col("max_depth") == best[1])
-                         & (F.col("min_instances") == best[2]))
+    best, _, scores = _search(train)
+    rows = [(v["num_trees"], v["max_depth"], v["min_instances"], float(acc), v == best) for v, acc in scores]
+    return spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_accuracy double, melhor boolean")
 
 
 @register("model_comparison", "M2,M7,M8,M9,M10,M14,M15,M16,M17")
@@ -345,18 +344,11 @@ def model_comparison(spark, sf_dir):
     base = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(wtrain)
     rus_train = S.undersample(train, "label", ["id_sinistro"], P.SEED)
     rus = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(ML.with_balanced_weights(rus_train))
-    grid_values = [dict(num_trees=t, max_depth=d, min_instances=m)
-                   for t in P.REFERENCE_GRID["trees"] for d in P.REFERENCE_GRID["depths"]
-                   for m in P.REFERENCE_GRID["leaves"]]
 
     def make_rf(num_trees, max_depth, min_instances):
         return ML.random_forest(num_trees, max_depth, min_instances)
 
-    def search_rf(num_trees, max_depth, min_instances):
-        return ML.random_forest(num_trees, max_depth, min_instances, cache_node_ids=False)
-
-    best_params, _, _ = ML.grid_search_resampled(
-        _search_rows(train), search_rf, grid_values, lambda d: S.undersample(d, "label", ["id_sinistro"], P.SEED), seed=P.SEED, parallelism=8, partitions=1)
+    best_params, _, _ = _search(train, lambda d: S.undersample(d, "label", ["id_sinistro"], P.SEED))
     smote_train = cut_lineage(_smote(train).drop("synthetic", "origem", "vizinho"))
     sm = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(ML.with_balanced_weights(smote_train))
     gs = make_rf(**best_params).fit(wtrain)
