@@ -41,24 +41,28 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 class PieceEncoder:
     """Texts to packed ids. ``encode_pieces(list) -> list of packed bytes`` is
-    asked for unknown pieces only, a chunk's at once."""
+    asked for unknown pieces only, a chunk's at once. Texts for which ``marked``
+    is true are not split but go to ``encode_whole``."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], list[bytes]]):
+    def __init__(self, split: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], list[bytes]],
+                 marked: Callable[[str], object] | None = None, encode_whole: Callable[[str], bytes] | None = None):
         self.split, self.encode_pieces = split, encode_pieces
+        self.marked, self.encode_whole = marked, encode_whole
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]):
         """Packed ids of each text, in order."""
         for i in range(0, len(texts), CHUNK):
-            pieces = [self.split(t) for t in texts[i:i + CHUNK]]
-            here = set().union(*pieces)
+            chunk = texts[i:i + CHUNK]
+            pieces = [None if self.marked and self.marked(t) else self.split(t) for t in chunk]
+            here = set().union(*[p for p in pieces if p is not None])
             if len(self.known) > CACHE_PIECES:
                 self.known = {p: self.known[p] for p in here if p in self.known}
             new = [p for p in here if p not in self.known]
             self.known.update(zip(new, self.encode_pieces(new)))
             look = self.known.__getitem__
-            for p in pieces:
-                yield b"".join(map(look, p))
+            for t, p in zip(chunk, pieces):
+                yield self.encode_whole(t) if p is None else b"".join(map(look, p))
 
 
 _WORKER: dict[int, PieceEncoder] = {}
@@ -74,9 +78,11 @@ def byte_characters() -> dict[int, str]:
 
 def library_encoder(tokenizer_json: str, pattern: str) -> PieceEncoder:
     """Encoder of a byte-level ``tokenizers`` file, kept for a worker's life.
-    Strings of special tokens in a text are ordinary text. The text is split by
-    the tokenizer's own pattern, and each piece goes to the library's model
-    once, spelled in byte characters as its pre-tokenizer would."""
+    Ids are those of the library's ``encode`` without added special tokens: a
+    text that holds one of the file's added tokens (such as ``<|endoftext|>``)
+    goes to it whole. Other texts are split by the tokenizer's own pattern, and
+    each piece goes to the library's model once, spelled in byte characters as
+    its pre-tokenizer would."""
     key = hash(tokenizer_json)
     if key not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker a core
@@ -93,7 +99,13 @@ def library_encoder(tokenizer_json: str, pattern: str) -> PieceEncoder:
                 found = model.tokenize(piece.encode().decode("latin-1").translate(spell))
                 out.append(struct.pack(f"<{len(found)}I", *[t.id for t in found]))
             return out
-        _WORKER[key] = PieceEncoder(splitter(pattern), encode)
+
+        def encode_whole(text: str) -> bytes:
+            ids = tok.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        added = [re.escape(t.content) for t in tok.get_added_tokens_decoder().values()]
+        marked = re.compile("|".join(added)).search if added else None
+        _WORKER[key] = PieceEncoder(splitter(pattern), encode, marked, encode_whole)
     return _WORKER[key]
 
 

@@ -202,3 +202,27 @@ def test_plan_is_best_fit_decreasing(histogram):
             else:
                 room.append(64 - length)
     assert len(filled) == len(room)
+
+
+MARKED = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>  x\n", "a<|endoftext|", "é日<|endoftext|>'s 12 <|ENDOFTEXT|>"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", "endoftext", " ", "the", "é", "日", "\n", "'s"]), max_size=12))
+def test_library_encoder_equals_library_defaults(parts):
+    with open(public_tokenizers.path(packing.TOKENIZER), encoding="utf-8") as f:
+        encoder = subword.library_encoder(f.read(), PATTERN)
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["".join(parts), "plain", *MARKED]
+    assert [unpack(x) for x in encoder.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_in_files_and_pieces(spark):
+    path = public_tokenizers.path(idfile.TOKENIZER)
+    tok = Tokenizer.from_file(path)
+    texts = list(enumerate(MARKED + ["plain text after it"]))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    ids = [tok.encode(t, add_special_tokens=False).ids for _, t in texts]
+    files = idfile.write_files(idfile.encode_files(df, path, PATTERN, partitions=2))
+    assert sorted(map(tuple, idfile.read_documents(files).collect())) == expected_file_rows(texts, ids)
+    check_packing(list(map(tuple, packing.packed_sequences(df).collect())), {i: x + [2] for (i, _), x in zip(texts, ids)})
