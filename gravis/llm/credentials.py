@@ -3,7 +3,10 @@
 Base patterns (``assign``, ``access``, ``hex``) are reported wherever they
 match. Weak candidates (identifiers, high-entropy secrets, endpoints) alone
 would flag clean text, so they are reported only when a complementary part lies
-in the same scope: at most ``SCOPE`` characters away in the same document. The
+in the same scope: at most ``SCOPE`` characters away in the same document, and
+disjoint from it (one string is not two parts). A run inside the host or path of an
+endpoint is part of that address and no secret candidate; user information, query
+and fragment can hold one. The
 co-occurrence test is an interval join: every part is listed under the bins
 its span covers, every weak candidate looks into the bins of its scope, and a
 left-semi join on (document, bin) with the exact distance keeps those that find
@@ -44,12 +47,17 @@ KINDS = (
     ("endpoint", r"""\b[A-Za-z][A-Za-z0-9+.-]{1,9}://[^\s"'<>]+""", 0, 8, "endpoint", None),
 )
 BASE = 3
+OPAQUE, ENDPOINT = 4, 5
+# Of an endpoint: what comes before its host, and everything up to its query or fragment.
+_BEFORE_HOST, _TO_PATH = r"^[^:]+://[^/?#]*@", r"^[^?#]*"
 COMPLEMENT = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
 
 
 def _matches(text: Column, rank: int) -> Column:
-    """Per match, in order: (kind rank, position, characters before it since the
-    last match, its length, long enough). Only texts with a match are taken apart."""
+    """Per match, in order: (characters before it since the last match, its length,
+    long enough, where an endpoint's host and path begin and end in it). Only texts
+    with a match are taken apart."""
+    place = lambda m, p: F.length(F.regexp_extract(m, p, 0)) if rank == ENDPOINT else F.lit(0)
     _, pat, group, least, _, extra = KINDS[rank]
     p = F.lit(pat)
     found = F.regexp_extract_all(text, p, F.lit(0))
@@ -58,7 +66,8 @@ def _matches(text: Column, rank: int) -> Column:
     body = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))),
                       counted, lambda x, c: F.struct(
                           x["gap"].alias("gap"), F.length(x["m"]).alias("n"),
-                          ((F.length(c) >= least) & (x["m"].rlike(extra) if extra else F.lit(True))).alias("ok")))
+                          ((F.length(c) >= least) & (x["m"].rlike(extra) if extra else F.lit(True))).alias("ok"),
+                          place(x["m"], _BEFORE_HOST).alias("lo"), place(x["m"], _TO_PATH).alias("hi")))
     # for plain runs only a long enough run makes a text worth taking apart
     probe = {"hex": "[0-9a-f]{%d}" % least, "access": "AKIA[A-Z0-9]{%d}" % (least - 4)}.get(KINDS[rank][0], pat)
     return F.when(text.rlike(probe), F.filter(body, lambda x: x["n"].isNotNull()))
@@ -78,31 +87,38 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def _linked(rows: DataFrame) -> DataFrame:
-    none = F.array().cast("array<struct<gap:int,n:int,ok:boolean>>")
+    none = F.array().cast("array<struct<gap:int,n:int,ok:boolean,lo:int,hi:int>>")
 
     def of_kind(k: int) -> Column:
         return F.transform(F.coalesce(F.col(f"k{k}"), none), lambda x, i: F.struct(
-            F.lit(k).alias("k"), i.alias("i"), x["gap"].alias("gap"), x["n"].alias("n"), x["ok"].alias("ok")))
+            F.lit(k).alias("k"), i.alias("i"), x["gap"].alias("gap"), x["n"].alias("n"), x["ok"].alias("ok"),
+            x["lo"].alias("lo"), x["hi"].alias("hi")))
     each = F.flatten(F.array(*[of_kind(k) for k in range(len(KINDS))]))
     m = rows.select("_id", "_h", F.explode(each).alias("x")).select("_id", "_h", "x.*")
     order = W.partitionBy("_id", "_h", "k").orderBy("i")
     end = F.sum(F.col("gap").cast("long") + F.col("n")).over(order)
-    m = land(m.select("_id", "_h", "k", (end - F.col("n")).alias("start"), end.alias("end"), "ok").where("ok").drop("ok"))
+    m = land(m.select("_id", "_h", "k", (end - F.col("n")).alias("start"), end.alias("end"), "ok", "lo", "hi").where("ok").drop("ok"))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE)))
+    same = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_h") == F.col("p_h")) & (F.col("bin") == F.col("p_bin"))
+    lo, hi = F.col("start") + F.col("lo"), F.col("start") + F.col("hi")
+    address = m.where((F.col("k") == ENDPOINT) & (lo < hi)).select(
+        F.col("_id").alias("p_id"), F.col("_h").alias("p_h"), lo.alias("p_start"), hi.alias("p_end"), bins(lo, hi).alias("p_bin"))
+    opaque = m.where(F.col("k") == OPAQUE).withColumn("bin", F.floor(F.col("start") / SCOPE)).join(
+        address, same & (F.col("p_start") <= F.col("start")) & (F.col("end") <= F.col("p_end")), "left_anti")
+    key = ["_id", "_h", "k", "start", "end"]
+    m = land(m.where(F.col("k") != OPAQUE).select(*key).unionByName(opaque.select(*key)))
     base, weak = m.where(F.col("k") < BASE), m.where(F.col("k") >= BASE)
     role = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (k, kind[4])])
     needs = F.create_map(*[F.lit(x) if isinstance(x, int) else F.array(*[F.lit(r) for r in x])
                            for k, kind in enumerate(KINDS) for x in (k, COMPLEMENT[kind[4]])])
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE)))
     parts = m.select(F.col("_id").alias("p_id"), F.col("_h").alias("p_h"), role[F.col("k")].alias("p_role"),
                      F.col("start").alias("p_start"), F.col("end").alias("p_end"), bins(F.col("start"), F.col("end")).alias("p_bin"))
-    same = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_h") == F.col("p_h")) & (F.col("bin") == F.col("p_bin"))
     # a weak span over a base span repeats it
     weak = weak.withColumn("bin", bins(F.col("start"), F.col("end")))
     over = weak.join(base.select(F.col("_id").alias("p_id"), F.col("_h").alias("p_h"), F.col("start").alias("p_start"),
                                  F.col("end").alias("p_end"),
                                  bins(F.col("start"), F.col("end")).alias("p_bin")),
                      same & (F.col("p_start") < F.col("end")) & (F.col("start") < F.col("p_end")), "left_semi")
-    key = ["_id", "_h", "k", "start", "end"]
     covered = over.select(*key).distinct()
     cond = F.lit(True)
     for c in key:
@@ -110,7 +126,8 @@ def _linked(rows: DataFrame) -> DataFrame:
     fresh = weak.select(*key).distinct().alias("w").join(covered.alias("o"), cond, "left_anti").select("w.*")
     look = fresh.withColumn("bin", bins(F.greatest(F.col("start") - SCOPE, F.lit(0)), F.col("end") + SCOPE))
     near = same & F.array_contains(needs[F.col("k")], F.col("p_role")) & \
-        (F.col("p_start") <= F.col("end") + SCOPE) & (F.col("p_end") >= F.col("start") - SCOPE)
+        (F.col("p_start") <= F.col("end") + SCOPE) & (F.col("p_end") >= F.col("start") - SCOPE) & (
+            (F.col("p_end") <= F.col("start")) | (F.col("p_start") >= F.col("end")))
     linked = look.join(parts, near, "left_semi").select(*key).distinct()
     return base.select(*key).unionByName(linked)
 

@@ -120,6 +120,19 @@ def test_weak_parts_need_a_partner(spark):
                    6: "access:0:20,opaque:21:43", 7: "ident:0:12,assign:13:30"}
 
 
+def test_one_string_is_not_two_parts(spark):
+    url, secret = "https://example.com/blog/2024/05/My-Post-Title", "qWertyUiop1234567890ZX"
+    texts = [(1, f"read {url} today"), (2, f"{url} {url}/more"), (3, f"client_id = {secret}"), (4, f"client_id=abcd {url}"),
+             (5, f"{url} {secret}"), (6, f"{url} x://u:{secret}@h/a"), (7, f"{url} x://h/a?k={secret}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in credentials.scan(df).collect()}
+    n = len(url)
+    assert {i: got[i] for i in (1, 2, 3, 4)} == dict.fromkeys((1, 2, 3, 4), "")
+    assert got[5] == f"endpoint:0:{n},opaque:{n + 1}:{n + 23}"
+    assert got[6] == f"endpoint:0:{n},opaque:{n + 7}:{n + 29}" and got[7] == f"endpoint:0:{n},opaque:{n + 11}:{n + 33}"
+    assert {r["doc_id"]: r["text"] for r in credentials.redact(df.where("doc_id < 5")).collect()} == dict(texts[:4])
+
+
 def test_secret_edge_cases(edge):
     rows = credentials.scan(edge).collect()
     assert sorted(((r["doc_id"], r["base_sha256"]) for r in rows), key=str) == sorted(
