@@ -11,8 +11,10 @@ composite = (1 - g^l) * presentation + g^l * content, l being the number of
 different sequences. Nodes that say the same on almost every page score near 0
 and their branches are removed from each page. Elements whose role is declared
 (navigation, header outside the article, footer, aside, form, script, style, or a
-class or id such as ``ad``, ``sidebar``, ``comments``, ``notice``) have importance 0 from the start. If
-a page has an ``article`` or ``main`` element, the rest of the page is presentation.
+class or id that is such a name: ``ad``, ``sidebar``, ``comments``, ``notice``) have importance 0 from the
+start. If a page has an ``article`` or ``main`` element, the rest of the page is presentation. A class or
+id is only a hint: an element that has one but holds more than half of what could be the page's main text
+is judged by the style tree like any other.
 
 Copies of a page would make its article look repeated, so pages of a host with
 the same longest block count once; a node needs ``MIN_PAGES`` such pages before
@@ -56,9 +58,9 @@ SCOPE_END = frozenset("ul ol dl table body html article section div td".split())
 NOISE_TAGS = frozenset("nav footer aside form head button select option svg object menu dialog template math canvas "
                        "audio video label fieldset".split())
 NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|"
     r"comments?|commentary|replies|disqus|respond|notices?|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|"
-    r"signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|skip|search|toolbar|tags?)(?:$|[\s_-])", re.I)
+    r"signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|skip|search|toolbar|tags?", re.I)
 MAIN_TAGS = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
@@ -73,7 +75,9 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
     """(path, inside main, text) of every block with text that is not in a noise
     element, in page order."""
     out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, main
+    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]  # tag, path, noise, main, named
+    named = [0]  # per block: the outermost element with a noise name it lies in, counted from 1
+    hint: list[int] = []
     text: list[str] = []
 
     def flush() -> None:
@@ -81,8 +85,9 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
             t = " ".join("".join(text).split())
             text.clear()
             if t:
-                _, path, _, main = stack[-1]
+                _, path, _, main, inside = stack[-1]
                 out.append((path, main, t))
+                hint.append(inside)
 
     def pop_to(i: int) -> None:
         del stack[i:]
@@ -115,11 +120,12 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
             continue
         names = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(attr)} if "=" in attr else {}
         label = " ".join(v for k, v in names.items() if k != "role")
-        noise = tag in NOISE_TAGS or bool(label and NOISE_NAMES.search(label)) or names.get("role", "") in (
+        noise = tag in NOISE_TAGS or names.get("role", "") in (
             "navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog")
+        by_name = any(NOISE_NAMES.fullmatch(x) or x.lower() == "header" and not stack[-1][3] for x in label.split())
         if tag not in BLOCK:
-            if noise and not attr.rstrip().endswith("/"):  # other inline elements do not shape the tree
-                stack.append((tag, stack[-1][1], True, stack[-1][3]))
+            if (noise or by_name) and not attr.rstrip().endswith("/"):  # other inline elements do not shape the tree
+                stack.append((tag, stack[-1][1], True, stack[-1][3], stack[-1][4]))
             continue
         flush()
         if tag in CLOSES_P:
@@ -130,7 +136,7 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == other or stack[i][0] in SCOPE_END), 0)
             if at and stack[at][0] == other:
                 pop_to(at)
-        _, path, in_noise, in_main = stack[-1]
+        _, path, in_noise, in_main, inside = stack[-1]
         main = in_main or tag in MAIN_TAGS or names.get("role") == "main"
         noise = (noise and tag not in MAIN_TAGS and tag not in ("body", "html")) or (tag == "header" and not in_main)
         mark = tag + "".join(f".{x}" for x in sorted(label.split()))
@@ -140,9 +146,17 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
             path = "main"  # the tree below the main element is merged wherever it stands
         else:
             path = f"{path}>{mark}" if path else mark
-        stack.append((tag, path, in_noise or noise, main))
+        if not inside and by_name and tag not in MAIN_TAGS and tag not in ("body", "html"):
+            named.append(0)
+            inside = len(named) - 1
+        stack.append((tag, path, in_noise or noise, main, inside))
     flush()
-    return [b for b in out if b[1]] if any(b[1] for b in out) else out
+    if any(b[1] for b in out):
+        out, hint = [b for b in out if b[1]], [x for b, x in zip(out, hint) if b[1]]
+    for b, x in zip(out, hint):
+        named[x] += len(b[2])
+    total = sum(named)
+    return [b for b, x in zip(out, hint) if not x or 2 * named[x] > total]
 
 
 def _branches(path: str):

@@ -207,6 +207,18 @@ def test_page_repair(page, expected):
     assert " ".join(t for _, _, t in siteextract.parse(page or "")) == expected
 
 
+@pytest.mark.parametrize("page,expected", [
+    *[(f"<div class='{c}'><p>out</p><article><p>body of it</p></article></div>", "body of it")
+      for c in ("layout has-sidebar", "no-sidebar", "header-fixed", "nav-open", "with-menu", "sidebar", "page header")],
+    ("<article><div class='post-header'><h1>Title</h1></div><div class='header'>By me</div><p>the body</article>", "Title By me the body"),
+    ("<article><h1>T</h1><div class=share><p>nearly all of the text is in here</p></div></article>", "T nearly all of the text is in here"),
+    ("<article><p>a body longer than the rest</p><div class='x tags'>one two</div></article>", "a body longer than the rest"),
+    ("<article><p>the body of it</p></article><div class=comments><article><p>me too</p></article></div>", "the body of it"),
+    ("<nav><article><p>in a menu</p></article></nav><p>out</p>", "out")])
+def test_names_are_hints(page, expected):
+    assert " ".join(t for _, _, t in siteextract.parse(page)) == expected
+
+
 def test_style_tree_removes_what_repeats(spark):
     """Undeclared boilerplate goes, paragraphs stay; on a host of copies nothing is held against the article."""
     def page(host, n, body):
