@@ -16,9 +16,13 @@ start. If a page has an ``article`` or ``main`` element, the rest of the page is
 id is only a hint: an element that has one but holds more than half of what could be the page's main text
 is judged by the style tree like any other.
 
+Sibling leaves of one path (all bare ``p`` of an article) are aligned by what they
+say: a block's own importance is its term of the content entropy, 1 - ln(pages with
+this text at this path) / ln(pages with the path), and a repeated block goes alone.
+
 Copies of a page would make its article look repeated, so pages of a host with
-the same longest block count once; a node needs ``MIN_PAGES`` such pages before
-it can be removed.
+the same sequence of blocks count once; a node needs ``MIN_PAGES`` such pages before
+it or a block of it can be removed. Hosts with fewer keep all undeclared blocks.
 
 The statistics pass carries hashes only, the second pass parses again with the
 few removed nodes of the page's host: page texts are never shuffled or stored.
@@ -166,13 +170,17 @@ def _branches(path: str):
     return [">".join(parts[:n]) for n in range(start, len(parts) + 1)] if path and path != "main" else []
 
 
+def _hash(s: str) -> int:
+    return xxhash.xxh64_intdigest(s) - (1 << 63)
+
+
 def _features(page: str) -> list[tuple[str, int, int, bool]]:
-    """(node, feature, key block, is presentation) of a page, distinct."""
+    """(node, feature, key of the page's blocks, is presentation) of a page, distinct."""
     blocks = parse(page)
     if not blocks:
         return []
-    h = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
-    key = h(max(blocks, key=lambda b: len(b[2]))[2])
+    h = _hash
+    key = h("\n".join(t for _, _, t in blocks))  # a block has no line break
     seen: dict[tuple[str, int, bool], None] = {}
     shape: dict[str, list[str]] = {}
     for path, _, t in blocks:
@@ -192,16 +200,18 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """Merged nodes of ``pages`` (_host, _html): host, node, n_pages, importance."""
+def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """Merged nodes of ``pages`` (_host, _html): host, node, feature, n_pages,
+    importance. Feature is null for a node as a whole, else the hash of a text
+    that at least half of ``min_pages`` pages have at the node."""
     def run(batches):
         for pdf in batches:
             rows = [(host, *f) for host, page in zip(pdf["_host"], pdf["_html"]) for f in _features(page or "")]
             yield pd.DataFrame(rows, columns=["host", "node", "feature", "page_key", "style"])
     found = pages.select("_host", "_html").mapInPandas(
         run, "host string, node string, feature long, page_key long, style boolean")
-    found = found.distinct()  # one page per key block
-    per_feature = found.groupBy("host", "node", "style", "feature").agg(F.count("*").alias("c"))
+    found = found.distinct()  # one page per sequence of blocks
+    per_feature = land(found.groupBy("host", "node", "style", "feature").agg(F.count("*").alias("c")))
     # every page with a node has exactly one presentation of it, so those counts add up to the pages
     per_node = per_feature.groupBy("host", "node").agg(
         F.sum(F.when(F.col("style"), F.col("c"))).alias("m"),
@@ -213,8 +223,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     presentation = F.when(many, 1 - F.col("style_sum") / F.col("m") / ln_m).otherwise(1.0)
     content = F.when(many, 1 - F.col("text_sum") / F.col("texts") / ln_m).otherwise(1.0)
     share = F.pow(F.lit(GAMMA), F.col("l"))
-    return per_node.select("host", "node", F.col("m").alias("n_pages"),
-                           ((1 - share) * presentation + share * content).alias("importance"))
+    nodes = per_node.select("host", "node", F.lit(None).cast("long").alias("feature"), F.col("m").alias("n_pages"),
+                            ((1 - share) * presentation + share * content).alias("importance"))
+    # a block's own term of the content entropy, for texts on more than a few pages
+    own = per_feature.where(~F.col("style") & (F.col("c") > 1) & (2 * F.col("c") >= min_pages)).join(
+        per_node.select("host", "node", "m"), ["host", "node"])
+    return nodes.unionByName(own.select("host", "node", "feature", F.col("m").alias("n_pages"),
+                                        (1 - F.log("c") / ln_m).alias("importance")))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -222,8 +237,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """Per row: id, url, text, n_chars."""
     pages = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"),
                       host_of(F.col(url_col)).alias("_host"))
-    drop = land(style_tree(pages).where((F.col("importance") < least) & (F.col("n_pages") >= min_pages))
-                .groupBy("host").agg(F.collect_set("node").alias("_drop")))  # a host's few repeated nodes
+    item = F.concat_ws("\t", "node", F.col("feature").cast("string"))
+    drop = land(style_tree(pages, min_pages).where((F.col("importance") < least) & (F.col("n_pages") >= min_pages))
+                .groupBy("host").agg(F.collect_set(item).alias("_drop")))  # a host's few repeated nodes and blocks
     joined = pages.join(drop, pages["_host"] == drop["host"], "left").select("_id", "_url", "_html", "_drop")
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -233,7 +249,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             for page, drop_nodes in zip(pdf["_html"], pdf["_drop"]):
                 gone = set(drop_nodes) if drop_nodes is not None else ()
                 texts.append(" ".join(t for path, _, t in parse(page or "")
-                                      if not gone or not any(n in gone for n in _branches(path))))
+                                      if not gone or not (any(n in gone for n in _branches(path))
+                                                          or f"{path}\t{_hash(t)}" in gone)))
             yield pd.DataFrame({"_id": pdf["_id"], "_url": pdf["_url"], "text": texts, "n_chars": [len(t) for t in texts]})
     return joined.mapInPandas(run, f"_id {kind}, _url string, text string, n_chars long").select(
         F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")

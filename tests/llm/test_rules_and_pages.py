@@ -234,6 +234,17 @@ def test_style_tree_removes_what_repeats(spark):
     assert siteextract.extract(df).count() == len(rows) and siteextract.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_long_notice_and_bare_paragraphs(spark):
+    """A notice longer than every article does not fold pages into one, and goes from among bare paragraphs."""
+    notice = "All rights are reserved and nothing of this may be used without our word. " * 3
+    rows = [(i, f"http://a.org/{i}", f"<article><p>text number {i}</p><p>{notice}</p><p>more on {i * i}</p></article>") for i in range(30)]
+    rows += [(100 + i, "http://b.org/", f"<article><p>{notice}</p><p>text {i}</p></article>") for i in range(siteextract.MIN_PAGES - 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in siteextract.extract(df).collect()}
+    assert all(got[i] == f"text number {i} more on {i * i}" for i in range(30))
+    assert all(got[100 + i] == f"{notice.strip()} text {i}" for i in range(siteextract.MIN_PAGES - 1))
+
+
 # pipeline
 
 def test_pipeline_stages(spark, documents):
