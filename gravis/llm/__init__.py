@@ -1,4 +1,4 @@
-"""Training-data operators (numbered 1 to 10) and their registered queries.
+"""Training-data operators (numbered 1 to 13) and their registered queries.
 
 Nothing else in the library imports this subpackage; ``gravis.llm.catalogue``
 lists its queries and oracle texts.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from gravis.llm import (  # noqa: F401  (importing registers the queries)
-    bpe, credentials, idfile, jaccard, licences, mtree, packing, quality, siteextract, urlfilter,
+    bpe, credentials, idfile, interaction, jaccard, language, lexical, licences, mtree, packing, quality, siteextract, urlfilter,
 )
 from gravis.llm.registry import ORACLE, QUERIES, register
 
