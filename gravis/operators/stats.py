@@ -227,14 +227,15 @@ def correlations_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFr
 
 def target_class_stats(df: DataFrame, target: str, text_cols: Sequence[str],
                        numeric_cols: Sequence[str], missing: str = "MISSING") -> DataFrame:
-    """(variavel, y, n, m, v): per feature and target class the number of
-    values, their mean and population variance, and the class code. Text
-    features count as their sorted-order codes (missing text is ``missing``);
-    the class code is the target's sorted-order code.
+    """(variavel, y, n, m, v, lo, hi): per feature and target class the number of
+    values, their mean and population variance, least and greatest value, and the
+    class code. Text features count as their sorted-order codes (missing text is
+    ``missing``); the class code is the target's sorted-order code.
 
     One grouping-sets scan gives the row count of every (text value, class)
-    and, per class, the moments of every number; codes and moments of the text
-    features are made from that grouped table, in Spark for any cardinality.
+    and, per class, the moments of every number; codes (of all variables and the
+    target at once) and moments of the text features are made from that grouped
+    table, in Spark for any cardinality.
     """
     text_cols, numeric_cols = list(text_cols), list(numeric_cols)
     y = F.coalesce(F.col(target).cast("string"), F.lit(missing)).alias("_y")
@@ -244,48 +245,60 @@ def target_class_stats(df: DataFrame, target: str, text_cols: Sequence[str],
     sets = [["_y"]] + [[c, "_y"] for c in cols[1:]]
     aggs = [F.count(F.lit(1)).alias("_cnt"), F.grouping_id(*[F.col(c) for c in cols]).alias("_gid")]
     for i in range(len(numeric_cols)):
-        aggs += [F.count(f"_n{i}").alias(f"c{i}"), F.avg(f"_n{i}").alias(f"m{i}"), F.var_pop(f"_n{i}").alias(f"v{i}")]
+        x = f"_n{i}"
+        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
     grouped = cut_lineage(src.groupingSets([[F.col(c) for c in st] for st in sets], *cols).agg(*aggs))
 
     def gid_of(keep):
         return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in keep)
 
-    by_class = grouped.filter(F.col("_gid") == gid_of({"_y"}))
-    y_codes = cut_lineage(sorted_codes(by_class, [], "_y", "y"))
+    # position of the variable among the text columns, -1 for the target itself
+    of = F.element_at(F.create_map(*[v for i in range(-1, len(text_cols)) for v in (
+        F.lit(gid_of({f"_t{i}", "_y"})).cast("long"), F.lit(i))]), F.col("_gid"))
+    cells = grouped.select(of.alias("_var"), F.coalesce(*cols[1:], "_y").alias("_x"), "_y", "_cnt")
+    coded = cells.join(sorted_codes(cells, ["_var"], "_x", "_code"), ["_var", "_x"])
+    y_codes = coded.filter("_var = -1").select("_y", F.col("_code").cast("double").alias("y"))
     parts = []
     if text_cols:
-        name = F.element_at(F.create_map(*[v for i, c in enumerate(text_cols) for v in (
-            F.lit(gid_of({f"_t{i}", "_y"})).cast("long"), F.lit(c))]), F.col("_gid"))
-        cells = grouped.filter(F.col("_gid") != gid_of({"_y"})).select(
-            name.alias("variavel"), F.coalesce(*cols[1:]).alias("_x"), "_y", "_cnt")
-        coded = cells.join(sorted_codes(cells, ["variavel"], "_x", "_code"), ["variavel", "_x"])
         c, k = F.col("_cnt").cast("double"), F.col("_code").cast("double")
-        sums = coded.groupBy("variavel", "_y").agg(F.sum("_cnt").alias("n"), F.sum(c * k).alias("_s"), F.sum(c * k * k).alias("_q"))
-        mean = F.col("_s") / F.col("n")
-        parts.append(sums.select("variavel", "_y", "n", mean.alias("m"),
-                                 F.greatest(F.col("_q") / F.col("n") - mean * mean, F.lit(0.0)).alias("v")))
+        text = coded.filter("_var >= 0").select("_var", "_y", c.alias("_c"), k.alias("_k"))
+        means = text.groupBy("_var", "_y").agg(F.sum("_c").alias("n"), (F.sum(F.col("_c") * F.col("_k")) / F.sum("_c")).alias("m"),
+                                               F.min("_k").alias("lo"), F.max("_k").alias("hi"))
+        names = F.array(*[F.lit(x) for x in text_cols])
+        spread = text.join(means, ["_var", "_y"]).groupBy("_var", "_y", "n", "m", "lo", "hi").agg(
+            F.sum(F.col("_c") * F.pow(F.col("_k") - F.col("m"), 2)).alias("_q"))
+        parts.append(spread.select(names[F.col("_var")].alias("variavel"), "_y", F.col("n").cast("long").alias("n"), "m",
+                                   (F.col("_q") / F.col("n")).alias("v"), "lo", "hi"))
     if numeric_cols:
+        by_class = grouped.filter(F.col("_gid") == gid_of({"_y"}))
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("variavel"), F.col(f"c{i}").alias("n"), F.col(f"m{i}").alias("m"),
-                                            F.coalesce(F.col(f"v{i}"), F.lit(0.0)).alias("v")) for i, c in enumerate(numeric_cols)]))
-        parts.append(by_class.select("_y", each.alias("s")).select("s.variavel", "_y", "s.n", "s.m", "s.v").filter("n > 0"))
+                                            F.coalesce(F.col(f"v{i}"), F.lit(0.0)).alias("v"), F.col(f"l{i}").alias("lo"),
+                                            F.col(f"h{i}").alias("hi")) for i, c in enumerate(numeric_cols)]))
+        parts.append(by_class.select("_y", each.alias("s")).select("s.variavel", "_y", "s.n", "s.m", "s.v", "s.lo", "s.hi").filter("n > 0"))
     per = functools.reduce(DataFrame.unionByName, parts)
-    return per.join(y_codes, "_y").select("variavel", F.col("y").cast("double").alias("y"), "n", "m", "v")
+    # deviations of a constant are not exactly 0 after merging; its least and greatest value are equal
+    return per.join(y_codes, "_y").select("variavel", "y", "n", "m", F.when(F.col("lo") < F.col("hi"), F.col("v")).otherwise(0.0).alias("v"),
+                                          "lo", "hi")
 
 
 def _moments(per: DataFrame, names: Sequence[str]) -> DataFrame:
     """Per variable n, mx, my, cov, vx, vy (population) from the per-class
     moments: the class code is constant within a class, so the law of total
-    variance gives them exactly. Variables without values have n = 0."""
+    variance gives them exactly. vx and vy are exactly 0 for a constant. Variables
+    without values have n = 0."""
     w = Window.partitionBy("variavel")
     n = F.col("n")
     total = F.sum(n).over(w)
     p = per.select("*", total.alias("_n"), (F.sum(n * F.col("m")).over(w) / total).alias("mx"),
                    (F.sum(n * F.col("y")).over(w) / total).alias("my"))
     dx, dy = F.col("m") - F.col("mx"), F.col("y") - F.col("my")
+
+    def spread(total_sum, lo, hi):
+        return F.when(F.min(lo) < F.max(hi), total_sum / F.max("_n")).otherwise(0.0)
     got = p.groupBy("variavel").agg(
         F.max("_n").alias("n"), F.max("mx").alias("mx"), F.max("my").alias("my"),
-        (F.sum(n * dx * dy) / F.max("_n")).alias("cov"), (F.sum(n * (F.col("v") + dx * dx)) / F.max("_n")).alias("vx"),
-        (F.sum(n * dy * dy) / F.max("_n")).alias("vy"))
+        (F.sum(n * dx * dy) / F.max("_n")).alias("cov"), spread(F.sum(n * (F.col("v") + dx * dx)), "lo", "hi").alias("vx"),
+        spread(F.sum(n * dy * dy), "y", "y").alias("vy"))
     listed = per.sparkSession.createDataFrame([(c,) for c in names], "variavel string")
     return listed.join(got, "variavel", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
@@ -321,7 +334,7 @@ def target_anova(df: DataFrame, target: str, text_cols: Sequence[str],
     grand = F.sum(n * F.col("m")).over(w) / F.sum(n).over(w)
     s = per.select("*", F.pow(F.col("m") - grand, 2).alias("_d2")).groupBy("variavel").agg(
         F.count(F.lit(1)).alias("grupos"), F.sum(n).alias("n"), F.sum(n * F.col("_d2")).alias("ssb"),
-        F.sum(n * F.col("v")).alias("ssw")).filter("grupos >= 2")
+        F.sum(n * F.col("v")).alias("ssw")).filter("grupos >= 2")  # ssw is exactly 0 where every class is constant
     df1, df2 = F.col("grupos") - 1, F.col("n") - F.col("grupos")
     f = F.when((F.col("ssw") > 0) & (df2 > 0), (F.col("ssb") / df1) / (F.col("ssw") / df2))
     return s.select("variavel", "grupos", "n", df1.alias("df1"), df2.alias("df2"), f.alias("f"),
@@ -336,17 +349,48 @@ def correlation_ranking(corrs: DataFrame) -> DataFrame:
     return ok.withColumn("abs_r", F.abs("r")).withColumn("posicao", F.row_number().over(w))
 
 
+_SHIFT_ROWS = 1000  # rows whose mean the numbers are taken against; any shift gives the same moments
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All pairwise Pearson correlations of ``cols`` (long form: var_a, var_b,
-    r; null where a side is constant), pairwise-complete like pandas, from one
-    aggregate of co-moments (which merge stably)."""
+    r; null where a side is constant over the pair's rows), pairwise-complete like
+    pandas. One aggregate per pattern of missing values: counts, sums and products
+    against a shift, least and greatest values; a pair adds up the patterns in
+    which both sides are there."""
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).agg(
-        *[safe_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    each = F.explode(F.array(*[F.struct(F.lit(x).alias("var_a"), F.lit(y).alias("var_b"), F.col(f"r{i}").alias("r"))
-                               for i, (a, b) in enumerate(pairs) for x, y in ({(a, b), (b, a)})]))
-    return wide.select(each.alias("s")).select("s.*")
+    src = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    sample = src.limit(_SHIFT_ROWS).agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(cols))]).first()
+    here = functools.reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"x{i}").isNotNull(), 1 << i).otherwise(0) for i in range(len(cols))])
+    shifted = src.select(here.cast("long").alias("here"), *[
+        F.coalesce(F.col(f"x{i}") - F.lit(float(sample[f"x{i}"] or 0.0)), F.lit(0.0)).alias(f"x{i}") for i in range(len(cols))])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    per = shifted.groupBy("here").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(len(cols))],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+        *[f(f"x{i}").alias(f"{k}{i}") for i in range(len(cols)) for k, f in (("l", F.min), ("h", F.max))])
+    each = F.explode(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{i}").alias("sx"), F.col(f"s{j}").alias("sy"), F.col(f"p{i}_{j}").alias("xy"),
+        F.col(f"p{i}_{i}").alias("xx"), F.col(f"p{j}_{j}").alias("yy"), F.col(f"l{i}").alias("lx"), F.col(f"h{i}").alias("hx"),
+        F.col(f"l{j}").alias("ly"), F.col(f"h{j}").alias("hy")) for i, j in pairs])).alias("q")
+    q = per.select("here", "n", each).select("here", "n", "q.*")
+    both = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i")).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j")))
+    t = q.withColumn("ok", F.col("here").bitwiseAND(both) == both)
+
+    def over(f, c):
+        return f(F.when(F.col("ok"), F.col(c)))
+    t = t.groupBy("i", "j").agg(*[over(F.sum, c).alias(c) for c in ("n", "sx", "sy", "xy", "xx", "yy")],
+                                *[over(F.min, c).alias(c) for c in ("lx", "ly")], *[over(F.max, c).alias(c) for c in ("hx", "hy")])
+    n = F.col("n")
+    vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / n, F.col("yy") - F.col("sy") * F.col("sy") / n
+    r = (F.col("xy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)
+    defined = (F.col("lx") < F.col("hx")) & (F.col("ly") < F.col("hy")) & (vx > 0) & (vy > 0)
+    r = F.when(defined, F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(r))
+    names = F.array(*[F.lit(c) for c in cols])
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
+        F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return t.select(F.explode(sides).alias("s"), r.alias("r")).select(
+        names[F.col("s.i")].alias("var_a"), names[F.col("s.j")].alias("var_b"), "r")
 
 
 # --- p-values ----------------------------------------------------------------

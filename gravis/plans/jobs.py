@@ -3,7 +3,8 @@
 1. ``consolidate_extracts``: read two yearly extracts, keep the wanted
    years, union by name, write the merged extract, summarise it.
 2. ``prepare_cases`` + ``analysis_tables``: clean, fit the state-wide
-   statistics, narrow to the scope, then the rate and statistics tables.
+   statistics, narrow to the scope, then the rate and statistics tables;
+   ``train_models``: the compared classifiers and every result file.
 3. ``dashboard_tables``: monthly / daily / municipal / victim tables and KPI.
 
 Every step is a DataFrame operator from ``gravis.operators``; the jobs only
@@ -12,6 +13,8 @@ wire them together and write results.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,12 @@ from gravis.functions.text import normalize_name
 from gravis.operators import clean as C
 from gravis.operators import encode as E
 from gravis.operators import freq as Q
+from gravis.operators import metrics as M
+from gravis.operators import models as ML
 from gravis.operators import rates as R
+from gravis.operators import sampling as S
+from gravis.operators import search as SE
+from gravis.plans import params as P
 from gravis.session import cut_lineage
 from gravis.sources import extracts as X
 
@@ -94,6 +102,15 @@ def analysis_tables(cases: DataFrame, support: int = 100) -> dict[str, DataFrame
     }
 
 
+def dashboard_cases(spark: SparkSession, prepared: DataFrame | None, path: str | None = None, scope: dict | None = SCOPE) -> DataFrame | None:
+    """Stage 3 input: the prepared table, or without one the extract at ``path``,
+    typed, in the scope and without the raw sentinel; None without either."""
+    if prepared is not None:
+        return prepared
+    raw = X.read_extract(spark, path) if path else None
+    return None if raw is None else cut_lineage(sentinel_scope(X.type_columns(raw), scope))
+
+
 def dashboard_tables(cases: DataFrame, support: int = 100, month_a: int = 12, month_b: int = 4,
                      chosen_victim: str = "CONDUTOR", cluster=(24, 25, 26)) -> dict[str, DataFrame]:
     """Stage 3 chart tables (percentages) and the comparisons behind the
@@ -139,20 +156,121 @@ METRIC_HEADERS = {"modelo": "Modelo", "f1_macro": "F1-macro", "recall_macro": "R
 CLASS_HEADERS = {"classe": "Classe", "precision": "Precision", "recall": "Recall", "f1": "F1"}
 
 
+class ResultSet:
+    """Result files of one run, published together. Files go to a folder of the
+    run's own; ``publish`` appends their list to the ``manifest`` table in one
+    one-task write, whose commit is the only thing that makes the run visible. A
+    run that fails leaves the last published one in place."""
+
+    def __init__(self, spark: SparkSession, out_dir: str):
+        self.spark, self.out_dir, self.run = spark, out_dir.rstrip("/"), uuid.uuid4().hex
+        self.names: list[str] = []
+
+    def path(self, name: str) -> str:
+        self.names.append(name)
+        return f"{self.out_dir}/run-{self.run}/{name}"
+
+    def publish(self) -> None:
+        rows = [(self.run, name, f"{self.out_dir}/run-{self.run}/{name}") for name in self.names]
+        (self.spark.createDataFrame(rows, "run string, name string, path string").withColumn("published", F.current_timestamp())
+         .coalesce(1).write.mode("append").parquet(f"{self.out_dir}/manifest"))
+
+
+def published(spark: SparkSession, out_dir: str) -> dict[str, str]:
+    """name -> path of the run published last; empty if none was."""
+    from pyspark.errors import AnalysisException
+    try:
+        m = spark.read.parquet(f"{out_dir.rstrip('/')}/manifest")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return {}
+        raise
+    last = m.agg(F.max(F.struct("published", "run")).alias("x")).first()["x"]
+    return {r["name"]: r["path"] for r in m.where(F.col("run") == last["run"]).collect()} if last else {}
+
+
 def write_results(out_dir: str, summary: DataFrame, report: DataFrame, confusion: DataFrame,
-                  search: list[tuple[str, str]] | None = None) -> None:
+                  search: list[tuple[str, str]] | None = None, threshold: DataFrame | None = None,
+                  results: ResultSet | None = None) -> None:
     """Write the result set: per-model macro metrics, the F1 comparison, the
-    FATAL / GRAVE metrics, one confusion matrix per model and the search
-    report. Every input is small (one row per model or class)."""
-    import os
-
+    FATAL / GRAVE metrics (plain and with the threshold rule), one confusion matrix
+    per model and the search report. Every input is small (one row per model or
+    class). With ``results`` the files belong to that set, else they go to ``out_dir``."""
+    def place(name: str) -> str:
+        return results.path(name) if results else f"{out_dir.rstrip('/')}/{name}"
     metrics = summary.select(*[F.col(k).alias(v) for k, v in METRIC_HEADERS.items()])
-    X.write_metric_table(metrics, os.path.join(out_dir, "metricas_modelos"))
-    X.write_metric_table(metrics.select("Modelo", "F1-macro"), os.path.join(out_dir, "comparacao_modelos"))
-    fg = report.filter(F.col("classe").isin("FATAL", "GRAVE"))
-    cols = ["modelo"] if "modelo" in fg.columns else []
-    X.write_metric_table(fg.select(*cols, *[F.col(k).alias(v) for k, v in CLASS_HEADERS.items()]),
-                         os.path.join(out_dir, "metricas_fatal_grave"))
-    X.write_per_model(confusion, os.path.join(out_dir, "matriz_confusao"))
+    X.write_metric_table(metrics, place("metricas_modelos"))
+    X.write_metric_table(metrics.select("Modelo", "F1-macro"), place("comparacao_modelos"))
+    for name, rep in (("metricas_fatal_grave", report), ("metricas_fatal_grave_threshold", threshold)):
+        if rep is not None:
+            fg = rep.filter(F.col("classe").isin("FATAL", "GRAVE"))
+            cols = ["modelo"] if "modelo" in fg.columns else []
+            X.write_metric_table(fg.select(*cols, *[F.col(k).alias(v) for k, v in CLASS_HEADERS.items()]), place(name))
+    X.write_per_model(confusion, place("matriz_confusao"))
     if search:
-        X.write_report(summary.sparkSession, search, os.path.join(out_dir, "gridsearch_resultados"))
+        X.write_report(summary.sparkSession, search, place("gridsearch_resultados"))
+
+
+# Columns that a modelled row must have, and the reference's numbers
+# (scaled over the whole table by ``prepare_cases``).
+ESSENTIAL = ["sexo", "gravidade_lesao", "faixa_etaria_legal", "tipo_de_vitima"]
+SCALED_BEFORE = ["idade_z", "ano_sinistro_z"]
+
+
+def model_frame(prepared: DataFrame) -> DataFrame:
+    """Rows to model: complete, and with an id of their own (an accident's id is
+    shared by its victims), made from all columns of the de-duplicated table."""
+    rows = ML.with_person_bands(prepared)
+    for c in ESSENTIAL:
+        rows = rows.filter(C.complete_and_known(c, NOT_AVAILABLE))
+    return rows.withColumn(ML.ID, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).bitwiseAND((1 << 63) - 1))
+
+
+def _class_report(report: DataFrame, summary: DataFrame, model: str) -> list[tuple[str, str]]:
+    """(class or average, precision / recall / F1 / support) lines of one model."""
+    rows = report.filter(F.col("modelo") == model).orderBy("classe").collect()
+    s = summary.filter(F.col("modelo") == model).first()
+    lines = [(r["classe"], f"{r['precision']:.2f} {r['recall']:.2f} {r['f1']:.2f} {r['support']}") for r in rows]
+    return lines + [("accuracy", f"{s['accuracy']:.2f}"), ("macro avg", f"{s['precision_macro']:.2f} {s['recall_macro']:.2f} {s['f1_macro']:.2f}"),
+                    ("weighted avg", f"{s['f1_weighted']:.2f}")]
+
+
+def train_models(prepared: DataFrame, out_dir: str, trees: int = P.RF_TREES, depth: int = P.RF_DEPTH, grid: dict = P.REFERENCE_GRID,
+                 fit_rows: int = P.SEARCH_FIT_ROWS, test_fraction: float = P.TEST_FRACTION, seed: int = P.SEED,
+                 preset: str = "before") -> dict[str, str]:
+    """Stage 2 models on a prepared extract (``prepare_cases``): features, split,
+    importances, the five compared forests, threshold rule, all result files and
+    the saved models, published as one set. Returns name -> path."""
+    spark = prepared.sparkSession
+    rows = model_frame(prepared)
+    features = ML.CaseFeatures(scaled=[], raw=[*[c for c in SCALED_BEFORE if c in rows.columns], *ML.RAW_NUMERIC]).fit(rows)
+    data = features.transform(rows).select(ML.ID, ML.TARGET, "label", "features")
+    data = cut_lineage(ML.spread(S.stratified_split(data, "label", [ML.ID], test_fraction, seed)))
+    train, test = (data.filter(F.col("is_test") == flag).drop("is_test") for flag in (False, True))
+    fitted = SE.fit_model_set(train, test, features.labels, trees, depth, grid, fit_rows, seed, preset)
+    counts = cut_lineage(M.pair_counts(fitted.predictions, ML.TARGET, "predito", "modelo"))
+    report = M.report_from_counts(counts, ML.TARGET, "predito", model_col="modelo")
+    summary = cut_lineage(M.summary_from_counts(report, counts, ML.TARGET, "predito", model_col="modelo"))
+    best = M.best_model(summary, "modelo", SE.CANDIDATES)
+
+    base = ML.predict_named(fitted.models["Baseline"], test, features.labels)
+    ruled = ML.threshold_decision(base, "probability", features.labels, P.THRESHOLD_RULE_REFERENCE, P.THRESHOLD_DEFAULT_REFERENCE)
+    threshold = M.per_class_report(ruled, ML.TARGET, "predito_limiar")
+    plain = ML.random_forest(trees, depth, weight_col=None, seed=seed).fit(ML.spread(train))
+    importance = ML.importances(plain, features.slots, spark)
+
+    out = ResultSet(spark, out_dir)
+    for name, model in fitted.models.items():
+        model.write().save(out.path(f"modelo_{name.lower()}"))
+    features.save(out.path("variaveis"))
+    confusion = counts.groupBy("modelo", ML.TARGET).agg(*[
+        F.sum(F.when(F.col("predito") == c, F.col("n")).otherwise(0)).alias(f"pred_{c.lower()}") for c in features.labels])
+    search = [("melhores_parametros", str(fitted.search.best)), ("melhor_score", f"{fitted.search.accuracy:.3f}"),
+              *_class_report(report, summary, "GridSearch+SMOTE")]
+    write_results(out_dir, summary, report.filter("modelo = 'Baseline'").drop("modelo"), confusion, search, threshold, out)
+    X.write_metric_table(importance.orderBy(F.col("importancia").desc(), "variavel"), out.path("importancia_features"))
+    total = data.agg(F.count(F.lit(1)).alias("registros_modelo"))
+    run = best.select(F.col("modelo").alias("melhor_modelo"), "f1_macro").withColumn("variaveis", F.lit(len(features.slots)))
+    X.write_metric_table(run.withColumn("registros_modelo", F.lit(total.first()[0])), out.path("resumo"))
+    out.publish()
+    return published(spark, out_dir)

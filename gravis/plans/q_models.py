@@ -18,6 +18,7 @@ from gravis.operators import metrics as M
 from gravis.operators import models as ML
 from gravis.operators import neighbors as NB
 from gravis.operators import sampling as S
+from gravis.operators import search as SE
 from gravis.plans import params as P
 from gravis.plans.oracle import with_cases
 from gravis.plans.q_stats import rollup_importance
@@ -250,8 +251,7 @@ def rf_importance(spark, sf_dir):
     ff = model_data(spark, sf_dir)
     train, _ = _train_test(ff)
     model = ML.random_forest(P.RF_TREES, P.RF_DEPTH, weight_col=None).fit(train)
-    rows = ML.importances(model, ff)
-    df = spark.createDataFrame(rows, "variavel string, origem string, importancia double")
+    df = ML.importances(model, list(zip(ff.slot_names, ff.slot_source)), spark)
     from gravis.functions.scalar import risk_tier
     from gravis.operators.rates import ranked
     top = ranked(df, [F.col("importancia").desc(), F.col("variavel").asc()], k=P.TOP_FEATURES)
@@ -264,8 +264,8 @@ def rf_importance_rollup(spark, sf_dir):
     ff = model_data(spark, sf_dir)
     train, _ = _train_test(ff)
     model = ML.random_forest(P.RF_TREES, P.RF_DEPTH, weight_col=None).fit(train)
-    df = spark.createDataFrame(ML.importances(model, ff), "slot string, variavel string, peso double")
-    per_source = df.groupBy("variavel").agg(F.sum("peso").alias("peso"))
+    df = ML.importances(model, list(zip(ff.slot_names, ff.slot_source)), spark)
+    per_source = df.groupBy(F.col("origem").alias("variavel")).agg(F.sum("importancia").alias("peso"))
     return rollup_importance(per_source)
 
 
@@ -311,55 +311,38 @@ def smote_resample(spark, sf_dir):
                       vector_to_array("features").alias("features"))
 
 
-def _search(train, prepare=None):
-    """The reference's grid by cross-validation over all training rows: bounded
-    fits, whole held-out folds. (best parameters, its accuracy, all scores)."""
-    grid_values = [dict(num_trees=t, max_depth=d, min_instances=m)
-                   for t in P.REFERENCE_GRID["trees"] for d in P.REFERENCE_GRID["depths"]
-                   for m in P.REFERENCE_GRID["leaves"]]
-
-    def search_rf(num_trees, max_depth, min_instances):
-        return ML.random_forest(num_trees, max_depth, min_instances, seed=P.SEED, cache_node_ids=False)
-    return ML.grid_search(train, search_rf, grid_values, P.SEARCH_FIT_ROWS, k=3, seed=P.SEED, parallelism=8, prepare=prepare)
+def _search(spark, sf_dir, preset):
+    ff = model_data(spark, sf_dir)
+    train, _ = _train_test(ff)
+    rows = train.select("id_sinistro", "label", "features")
+    found = SE.grid_search(rows, **P.REFERENCE_GRID, fit_rows=P.SEARCH_FIT_ROWS, k=3, seed=P.SEED, preset=preset,
+                           resample=lambda d: _smote(d).drop("synthetic", "origem", "vizinho"))
+    listed = [(v["num_trees"], v["max_depth"], v["min_instances"], acc, v == found.best) for v, acc in found.scores]
+    return spark.createDataFrame(listed, "num_trees int, max_depth int, min_instances int, cv_accuracy double, melhor boolean")
 
 
 @register("grid_search", "M9,M10,S8")
 def grid_search(spark, sf_dir):
-    ff = model_data(spark, sf_dir)
-    train, _ = _train_test(ff)
-    best, _, scores = _search(train)
-    rows = [(v["num_trees"], v["max_depth"], v["min_instances"], float(acc), v == best) for v, acc in scores]
-    return spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_accuracy double, melhor boolean")
+    """The reference's search: folds of the training set raised by SMOTE (Q8, "before")."""
+    return _search(spark, sf_dir, "before")
+
+
+@register("grid_search_inside", "M9,M10")
+def grid_search_inside(spark, sf_dir):
+    """The same grid with SMOTE inside each training part (Q8, "inside"): held-out folds are real rows."""
+    return _search(spark, sf_dir, "inside")
 
 
 @register("model_comparison", "M2,M7,M8,M9,M10,M14,M15,M16,M17")
 def model_comparison(spark, sf_dir):
-    """Baseline, SMOTE, under-sampled, grid-searched (best params from
-    folds that under-sample inside each training part, refitted on the plain
-    training set) and the searched params on both resampled sets; macro
-    metrics per model and the best of the first three (ties to Baseline)."""
+    """Macro metrics of the five compared models, and the best of the first three (ties to Baseline)."""
     ff = model_data(spark, sf_dir)
     train, test = _train_test(ff)
-    wtrain = ML.with_balanced_weights(train)
-    base = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(wtrain)
-    rus_train = S.undersample(train, "label", ["id_sinistro"], P.SEED)
-    rus = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(ML.with_balanced_weights(rus_train))
-
-    def make_rf(num_trees, max_depth, min_instances):
-        return ML.random_forest(num_trees, max_depth, min_instances)
-
-    best_params, _, _ = _search(train, lambda d: S.undersample(d, "label", ["id_sinistro"], P.SEED))
-    smote_train = cut_lineage(_smote(train).drop("synthetic", "origem", "vizinho"))
-    sm = ML.random_forest(P.RF_TREES, P.RF_DEPTH).fit(ML.with_balanced_weights(smote_train))
-    gs = make_rf(**best_params).fit(wtrain)
-    gs_rus = make_rf(**best_params).fit(ML.with_balanced_weights(rus_train))
-    gs_sm = make_rf(**best_params).fit(ML.with_balanced_weights(smote_train))
-    preds = [(name, ML.predict_named(m, test, ff.labels)) for name, m in
-             [("Baseline", base), ("SMOTE", sm), ("RandomUnderSampler", rus), ("GridSearch", gs),
-              ("GridSearch+RUS", gs_rus), ("GridSearch+SMOTE", gs_sm)]]
-    _, _, summ = _eval(preds)
-    best = M.best_model(summ, "modelo", ["Baseline", "SMOTE", "RandomUnderSampler"]).select(
-        F.col("modelo").alias("_best"))
+    fitted = SE.fit_model_set(train, test, ff.labels, P.RF_TREES, P.RF_DEPTH, P.REFERENCE_GRID, P.SEARCH_FIT_ROWS, P.SEED)
+    counts = cut_lineage(M.pair_counts(fitted.predictions, TARGET, "predito", "modelo"))
+    rep = M.report_from_counts(counts, TARGET, "predito", model_col="modelo")
+    summ = M.summary_from_counts(rep, counts, TARGET, "predito", model_col="modelo")
+    best = M.best_model(summ, "modelo", SE.CANDIDATES).select(F.col("modelo").alias("_best"))
     return summ.join(F.broadcast(best), F.col("modelo") == F.col("_best"), "left").select(
         "modelo", "f1_macro", "recall_macro", "precision_macro", "f1_weighted", "accuracy",
         F.col("_best").isNotNull().alias("melhor"))

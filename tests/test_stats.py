@@ -151,3 +151,45 @@ def test_target_regression_and_anova_match_brute_force(spark, sample):
     assert reg["r2"] == pytest.approx(np.corrcoef(pdf["x"], y)[0, 1] ** 2, rel=1e-9)
     a = S.target_anova(df, "g", [], ["x"]).first()
     assert (a["df1"], a["df2"]) == (2, len(pdf) - 3)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 17])
+def test_constants_have_no_association(spark, partitions):
+    """A constant number or text has no r, slope or F, however its deviations are merged."""
+    rows = [("ABC"[i % 3], 0.1, "same", float(i % 7), "t" + str(i % 5), 3.3 if i % 2 else None) for i in range(20_003)]
+    df = spark.createDataFrame(rows, "t string, c double, k string, x double, w string, h double").repartition(partitions)
+    r = {x["variavel"]: x["r"] for x in S.target_correlations(df, "t", ["k", "w"], ["c", "x", "h"]).collect()}
+    assert r["c"] is None and r["k"] is None and r["h"] is None and abs(r["x"]) < 0.1 and r["w"] is not None
+    lines = {x["variavel"]: x for x in S.target_regressions(df, "t", ["k"], ["c", "x"]).collect()}
+    assert all(lines[v]["slope"] is None and lines[v]["r2"] is None for v in "ck") and lines["x"]["slope"] is not None
+    f = {x["variavel"]: x["f"] for x in S.target_anova(df, "t", ["k"], ["c", "x"]).collect()}
+    assert f["c"] is None and f["k"] is None and f["x"] is not None
+    m = {(x["var_a"], x["var_b"]): x["r"] for x in S.correlation_matrix(df, ["c", "x", "h"]).collect()}
+    assert m["x", "x"] == 1.0 and all(v is None for k, v in m.items() if k != ("x", "x")) and len(m) == 9
+
+
+def test_text_codes_keep_their_digits(spark):
+    """Many codes, all values far from code 0 in one class: the variance keeps its digits."""
+    import numpy as np
+    rows = [("A", f"{i:06d}") for i in range(3000)] + [("B", f"{2990 + i % 3:06d}") for i in range(3000)]
+    got = {r["y"]: r for r in S.target_class_stats(spark.createDataFrame(rows, "t string, w string"), "t", ["w"], []).collect()}
+    codes = np.array([2990 + i % 3 for i in range(3000)], float)
+    assert got[1.0]["v"] == pytest.approx(codes.var(), rel=1e-12) and got[1.0]["m"] == pytest.approx(codes.mean())
+    assert got[0.0]["v"] == pytest.approx(np.arange(3000.0).var(), rel=1e-12)
+
+
+def test_correlation_matrix_is_pairwise_complete(spark):
+    import numpy as np
+    import pandas as pd
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(1e6, 1, (500, 4))
+    x[:, 1] += 2 * x[:, 0]
+    frame = pd.DataFrame(x, columns=list("abcd")).mask(rnd.random((500, 4)) < 0.2)
+    frame["d"] = np.nan
+    expected = frame.corr()
+    rows = [tuple(None if pd.isna(v) else float(v) for v in r) for r in frame.itertuples(index=False)]
+    got = S.correlation_matrix(spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5), list("abcd")).collect()
+    assert len(got) == 16
+    for r in got:
+        e = expected.loc[r["var_a"], r["var_b"]]
+        assert (r["r"] is None and pd.isna(e)) or r["r"] == pytest.approx(e, abs=1e-9)
