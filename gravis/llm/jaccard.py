@@ -10,7 +10,13 @@ deletions; so they share a signature under the band of the smaller set, under
 which the larger one lists itself too. ``q`` is chosen per band by cost: one
 more deletion segment makes segments longer, which costs signatures and saves
 accidental agreement (of empty or nearly empty segments), the more the more
-sets the corpus has in the band.
+sets the corpus has in the band. Or there are more than H + 1 segments without
+deletions: similar sets then agree in at least m - H of them, H now for a set's own
+size, so every set may leave out its smallest segments, all of a size up to the
+largest one with at most m - H - 1 such segments. (Of two similar sets the one that
+leaves out more still lists a segment in which they agree, and the other lists it
+too.) Empty segments and those of one shingle, which unrelated documents share, are
+left out that way.
 
 Equal sets are one class and only its representative (least id) joins. Documents
 that share a signature are linked to the signature's least document; the
@@ -23,7 +29,8 @@ shingle in a 20,000-word text are about 10^-11.
 
 Defined results: null text and text without words have the empty set and link
 with nothing; with fewer words than a shingle the whole sequence is the one
-shingle; rows with null id have no component; rows with equal ids are one node;
+shingle; rows with null id have no component; rows with equal ids are one node of
+``jaccard_components``, while ``drop_near_duplicates`` tells them apart by text;
 repeated rows are equal sets; empty input gives no rows; other columns are
 ignored by ``jaccard_components`` and kept by ``drop_near_duplicates``.
 """
@@ -31,6 +38,7 @@ ignored by ``jaccard_components`` and kept by ``drop_near_duplicates``.
 from __future__ import annotations
 
 from bisect import bisect_right
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -43,6 +51,8 @@ from gravis.llm.components import components
 from gravis.llm.registry import register
 
 CANDIDATE_COST = 20.0  # signatures that one accidental candidate is worth
+SHARED_ELEMENTS = 0.01  # share of its elements that a set is taken to have in common with an unlike set
+SEGMENTS_MORE = (1.0, 1.25, 1.5, 2.0)  # numbers of segments to choose from, in parts of H
 GROUP_SHINGLES = 500_000  # set elements that are compared in one task, about
 BUCKET_SIGNATURES = 500_000  # signatures that meet in one group, about
 _WORDS_KEPT = 100_000
@@ -98,16 +108,31 @@ class Bands:
 
     def _plan(self, b: int, sets: int) -> tuple[int, int]:
         low, high = self.edges[b], self.edges[b + 1] - 1
-        h = high * (self.den - self.num) // self.num
+        h = self.differences(high)
         if h == 0:
             return 0, 0  # only equal sets are similar
-        q = np.arange(0, (h + 1) // 2 + 1)
-        m = h + 1 - q
-        g = np.sqrt(low * high) / m  # elements a segment has
-        signatures = m + q * g
-        accidental = (m - q) * np.exp(-2 * g) + q * ((1 + g) * np.exp(-g)) ** 2
-        best = int(np.argmin(signatures + CANDIDATE_COST * max(sets, 1) * accidental))
-        return int(m[best]), int(q[best])
+        plans = []
+        for q in range(1, (h + 1) // 2 + 1):
+            m = h + 1 - q
+            g = low / m  # elements a segment has, at least
+            accidental = (m - q) * np.exp(-2 * g) + q * ((1 + g) * np.exp(-g)) ** 2
+            plans.append((m + q * high / m + CANDIDATE_COST * max(sets, 1) * accidental, (m, q)))
+        size = np.arange(64)
+        for m in sorted({int(np.ceil(h * x)) + 1 for x in SEGMENTS_MORE}):
+            costs = []
+            for n in (low, high):  # both ends of the band; larger sets list themselves like the upper end
+                g = n / m
+                share = np.exp(size * np.log(g) - g - np.array([lgamma(x + 1) for x in size]))  # Poisson
+                left_out = m * np.cumsum(share)
+                kept = left_out + np.sqrt(left_out) > m - self.differences(n) - 1  # a set's counts vary
+                accidental = m * (share[kept] ** 2 * SHARED_ELEMENTS ** size[kept]).sum()
+                costs.append(m * share[kept].sum() + CANDIDATE_COST * max(sets, 1) * accidental)
+            plans.append((max(costs), (m, 0)))
+        return min(plans)[1]
+
+    def differences(self, smaller: int) -> int:
+        """Elements in which similar sets can differ, at most."""
+        return smaller * (self.den - self.num) // self.num
 
     def lists_under(self, n: int) -> list[int]:
         """The bands a set of size ``n`` lists itself under: its own, and those of
@@ -127,12 +152,18 @@ class Bands:
             m, q = self.plan[b]
             if not m:
                 continue
+            spare = 0 if q else m - self.differences(min(len(u), self.edges[b + 1] - 1)) - 1
             segment = (high * np.uint64(m)) >> np.uint64(32)
             ends = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
             content = sums[ends[1:]] - sums[ends[:-1]]
             size = np.diff(ends).astype(np.uint64)
             place = _mix(np.arange(m, dtype=np.uint64) + np.uint64((b + 1) << 32))
-            parts.append(_mix(content + place + size * _P))
+            exact = _mix(content + place + size * _P)
+            if spare:  # sizes up to the largest with at most ``spare`` segments are left out
+                sizes = size.astype(np.int64)
+                least = np.searchsorted(np.cumsum(np.bincount(sizes)), spare, side="right")
+                exact = exact[sizes >= least]
+            parts.append(exact)
             for s in range(q):
                 e = u[ends[s]:ends[s + 1]]
                 parts.append(_mix(content[s] - e + place[s] + (size[s:s + 1] - np.uint64(1)) * _P))
@@ -355,20 +386,38 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component", "_id").alias("component_id"))
 
 
+def _text_hash(c):
+    return F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80,
                          den: int = 100) -> DataFrame:
     """``df`` with one document (the least id) of each component; all columns stay.
-    Repeated rows of that id become one."""
-    found = land(jaccard_components(df, id_col, text_col, k, num, den))
-    gone = land(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
-    kept = df.join(small(gone), df[id_col] == gone["_gone"], "left_anti")
-    twice = land(found.where(f"n_shingles > 0 and `{id_col}` is not null").groupBy(id_col).count().where("count > 1").select(
-        F.col(id_col).alias("_twice")))
-    if not twice.limit(1).count():
-        return kept.select(*all_columns(df))
-    once = kept.join(small(twice), df[id_col] == twice["_twice"], "left_anti")
-    repeated = kept.join(small(twice), df[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col])
-    return once.select(*all_columns(df)).unionByName(repeated.select(*all_columns(df)))
+    A document is an id with a text: rows with both equal become one, rows of one
+    id with other texts are documents of their own."""
+    ids = df.select(F.col(f"`{id_col}`").cast("long").alias("_i"), F.col(f"`{text_col}`").alias("_t"))
+    repeated = land(ids.where("_i is not null").groupBy(F.col("_i").alias("_ri")).count().where("count > 1").select("_ri"))
+    if not repeated.limit(1).count():
+        found = land(jaccard_components(ids, "_i", "_t", k, num, den))
+        gone = land(found.where("_i <> component_id").select("_i").distinct())
+        return df.join(small(gone), F.col(f"`{id_col}`").cast("long") == F.col("_i"), "left_anti").select(*all_columns(df))
+    # documents of repeated ids get keys of their own below all ids
+    base = min(0, ids.agg(F.min("_i")).first()[0] or 0) - 1
+    own = land(ids.join(small(repeated), F.col("_i") == F.col("_ri")).select(F.col("_i").alias("_oi"), _text_hash(F.col("_t")).alias("_oh")).distinct())
+    own = land(own.select("*", (F.lit(base) - F.monotonically_increasing_id()).alias("_key")))
+    keyed = ids.withColumn("_h", _text_hash(F.col("_t"))).join(small(own), (F.col("_i") == F.col("_oi")) & (F.col("_h") == F.col("_oh")), "left")
+    found = land(jaccard_components(keyed.select(F.coalesce("_key", "_i").alias("_i"), "_t"), "_i", "_t", k, num, den))
+    named = found.where("_i is not null").select("_i", "component_id", "n_shingles").distinct().join(
+        own.select(F.col("_key"), F.col("_oi")), F.col("_i") == F.col("_key"), "left")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.coalesce("_oi", "_i").alias("id"), F.col("_i").alias("key"))).getField("key").alias("first"))
+    gone = land(named.join(first, "component_id").where("_i <> first").select(F.col("_i").alias("gone")))
+    ids_gone = gone.join(own, gone["gone"] == own["_key"], "left_anti").select("gone")
+    texts_gone = own.join(gone, own["_key"] == gone["gone"]).select("_oi", "_oh")
+    here = F.col(f"`{id_col}`").cast("long")
+    once = df.join(small(land(ids_gone)), here == F.col("gone"), "left_anti").join(small(repeated), here == F.col("_ri"), "left_anti")
+    again = df.join(small(repeated), here == F.col("_ri"), "left_semi").join(
+        small(land(texts_gone)), (here == F.col("_oi")) & (_text_hash(F.col(f"`{text_col}`")) == F.col("_oh")), "left_anti")
+    return once.select(*all_columns(df)).unionByName(again.select(*all_columns(df)).dropDuplicates([id_col, text_col]))
 
 
 @register("op8_jaccard_join", """WITH RECURSIVE split AS (

@@ -65,7 +65,37 @@ class PieceEncoder:
                 yield self.encode_whole(t) if p is None else b"".join(map(look, p))
 
 
-_WORKER: dict[int, PieceEncoder] = {}
+class PieceCache(dict):
+    """Packed ids by piece; a piece that is not there yet is encoded on look-up."""
+
+    def __init__(self, encode_piece: Callable[[str], bytes]):
+        super().__init__()
+        self.encode_piece = encode_piece
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self[piece] = self.encode_piece(piece)
+        return packed
+
+
+class LookUpEncoder:
+    """As ``PieceEncoder``, with one look-up a piece; the cache is emptied when it is full."""
+
+    def __init__(self, split: Callable[[str], list[str]], encode_piece: Callable[[str], bytes],
+                 marked: Callable[[str], object] | None = None, encode_whole: Callable[[str], bytes] | None = None):
+        self.split, self.marked, self.encode_whole = split, marked, encode_whole
+        self.known = PieceCache(encode_piece)
+
+    def encode(self, texts: list[str]):
+        """Packed ids of each text, in order."""
+        known, split, marked = self.known, self.split, self.marked
+        look = known.__getitem__
+        for t in texts:
+            if len(known) > CACHE_PIECES:
+                known.clear()
+            yield self.encode_whole(t) if marked and marked(t) else b"".join(map(look, split(t)))
+
+
+_WORKER: dict[int, LookUpEncoder] = {}
 
 
 def byte_characters() -> dict[int, str]:
@@ -76,7 +106,7 @@ def byte_characters() -> dict[int, str]:
     return plain | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def library_encoder(tokenizer_json: str, pattern: str) -> PieceEncoder:
+def library_encoder(tokenizer_json: str, pattern: str) -> LookUpEncoder:
     """Encoder of a byte-level ``tokenizers`` file, kept for a worker's life.
     Ids are those of the library's ``encode`` without added special tokens: a
     text that holds one of the file's added tokens (such as ``<|endoftext|>``)
@@ -91,21 +121,18 @@ def library_encoder(tokenizer_json: str, pattern: str) -> PieceEncoder:
         if tok.normalizer is not None or "ByteLevel(add_prefix_space=False" not in repr(tok.pre_tokenizer):
             raise ValueError("a byte-level tokenizer without normalizer or prefix space is needed")
 
-        model, spell = tok.model, byte_characters()
+        tokenize, spell = tok.model.tokenize, byte_characters()
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            out = []
-            for piece in pieces:
-                found = model.tokenize(piece.encode().decode("latin-1").translate(spell))
-                out.append(struct.pack(f"<{len(found)}I", *[t.id for t in found]))
-            return out
+        def encode(piece: str) -> bytes:
+            found = tokenize(piece.encode().decode("latin-1").translate(spell))
+            return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
         def encode_whole(text: str) -> bytes:
             ids = tok.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         added = [re.escape(t.content) for t in tok.get_added_tokens_decoder().values()]
         marked = re.compile("|".join(added)).search if added else None
-        _WORKER[key] = PieceEncoder(splitter(pattern), encode, marked, encode_whole)
+        _WORKER[key] = LookUpEncoder(splitter(pattern), encode, marked, encode_whole)
     return _WORKER[key]
 
 

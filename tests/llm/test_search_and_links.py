@@ -109,11 +109,38 @@ def test_jaccard_edge_cases(edge):
     assert [g for g in got if g[0] is None] == [(None, 3, None)]
     kept = jaccard.drop_near_duplicates(edge)
     assert kept.columns == edge.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 7, 8, 9, None], key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None], key=str)
     assert jaccard.jaccard_components(edge.limit(0)).count() == 0
     assert jaccard.drop_near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_documents_of_one_id_are_told_apart(spark):
+    """Rows of one id with unrelated texts stay; near copies go whatever their ids."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:-1] + ["other"])
+    rows = [(1, " ".join(words)), (1, "quite another text that has its own words"), (1, "quite another text that has its own words"),
+            (2, near), (2, "a third text with nothing in common at all"), (5, near), (-4, "quite another text that has its own words"), (9, None), (9, ""), (None, near)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, _i int").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.drop_near_duplicates(df).collect()), key=str)
+    assert kept == sorted([(1, " ".join(words)), (2, "a third text with nothing in common at all"),
+                           (-4, "quite another text that has its own words"), (9, None), (9, ""), (None, near)], key=str)
+
+
+def test_spare_segments_leave_out_small_ones():
+    """Many sets of a band: more segments than differences, the smallest are not listed."""
+    import numpy as np
+    bands = jaccard.Bands(80, 100, 1000, {b: 10_000 for b in range(60)})
+    rnd = np.random.default_rng(2)
+    u = [np.unique(rnd.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)) for _ in range(200)]
+    listed = [set(bands.signatures(x).tolist()) for x in u]
+    assert not any(a & b for i, a in enumerate(listed) for b in listed[:i])  # unrelated sets share nothing
+    for x in u:
+        y = np.unique(np.concatenate([x[int(rnd.integers(0, 50)):], rnd.integers(0, 2**63, 40).astype(np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        if 100 * common >= 80 * (len(x) + len(y) - common):
+            assert set(bands.signatures(x).tolist()) & set(bands.signatures(y).tolist())
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 9), (9, 8), (3, 3), (50, 60), (60, 50)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
