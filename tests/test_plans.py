@@ -8,7 +8,7 @@ from gravis.plans import catalogue as E
 from conftest import SF001
 
 HEAVY = {"rf_predictions", "rf_importance", "rf_importance_rollup", "rf_threshold_metrics",
-         "grid_search", "model_comparison"}
+         "grid_search", "grid_search_inside", "model_comparison"}
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - HEAVY))
