@@ -2,7 +2,8 @@
 random under-sampling, fixed-size samples and class weights.
 
 ``rand(seed)`` depends on how rows are partitioned, so every random choice
-here is an order by ``xxhash64(id, seed)`` instead. Ranking all rows of a
+here is an order by the MD5 of ids and seed instead (``order_key``), which other
+engines compute alike: SQL can name the chosen rows. Ranking all rows of a
 stratum in one window would put a whole class (often most of the data) in one
 task, so ``hash_rank`` splits each stratum into hash-RANGE buckets: buckets
 are equally full because the hash is uniform, bucket order is hash order, and
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 200_000
-_TWO63 = 9.223372036854775807e18
+KEY_DIGITS = 13  # leading hex digits that choose a bucket: exact in a double
 
 
-def row_hash(id_cols: Sequence[str], seed: int) -> F.Column:
-    return F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
+def order_key(id_cols: Sequence[str], seed: int) -> F.Column:
+    """Hex MD5 of the ids and the seed, joined by colons (a null id is empty)."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_cols]
+    return F.md5(F.concat_ws(":", *parts, F.lit(str(seed))))
 
 
 def bucket_count(total_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
@@ -32,11 +35,11 @@ def bucket_count(total_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int
     return int(min(1 << 20, max(16, total_rows // rows_per_bucket)))
 
 
-def hash_bucket(h: F.Column, nb: int) -> F.Column:
-    """Order-preserving bucket of a 64-bit hash: equal-width hash ranges,
-    so buckets are equally full and bucket order is hash order."""
-    return F.least(F.lit(nb - 1),
-                   ((h.cast("double") / F.lit(_TWO63) + F.lit(1.0)) / F.lit(2.0) * F.lit(nb)).cast("long"))
+def hash_bucket(key: F.Column, nb: int) -> F.Column:
+    """Order-preserving bucket of an ``order_key``: equal-width key ranges,
+    so buckets are equally full and bucket order is key order."""
+    head = F.conv(F.substring(key, 1, KEY_DIGITS), 16, 10).cast("double")
+    return F.floor(head / F.lit(float(16 ** KEY_DIGITS)) * F.lit(nb))
 
 
 def stratum_counts(df: DataFrame, strata: Sequence[str]) -> dict[tuple, int]:
@@ -51,13 +54,12 @@ def hash_rank(df: DataFrame, strata: Sequence[str], id_cols: Sequence[str], seed
               rank_col: str = "_rank", n_col: str = "_stratum_n",
               total_rows: int | None = None) -> DataFrame:
     """Add the exact 1-based rank of each row inside its stratum in
-    ``xxhash64(id, seed)`` order, and the stratum size."""
+    ``order_key`` order (ties by id), and the stratum size."""
     strata = list(strata)
     if total_rows is None:
         total_rows = df.count()
     nb = bucket_count(total_rows)
-    h = row_hash(id_cols, seed)
-    x = df.withColumn("_h", h).withColumn("_b", hash_bucket(F.col("_h"), nb))
+    x = df.withColumn("_h", order_key(id_cols, seed)).withColumn("_b", hash_bucket(F.col("_h"), nb))
     per_bucket = x.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     ws = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
     offsets = per_bucket.select(

@@ -230,7 +230,8 @@ def leakfree_projection(spark, sf_dir):
     return C.drop_present(cases(spark, sf_dir), LEAK_AND_ID_COLUMNS + ["data_sinistro", "ano_mes_sinistro"])
 
 
-@register("seeded_sample", "P17")
+@register("seeded_sample", "P17",
+          with_cases(f"SELECT * FROM cases ORDER BY md5(CAST(id_sinistro AS VARCHAR) || ':{P.SEED}'), id_sinistro LIMIT 1000"))
 def seeded_sample(spark, sf_dir):
     return S.seeded_sample(cases(spark, sf_dir), 1000, ["id_sinistro"], P.SEED)
 

@@ -189,26 +189,61 @@ def class_weights(spark, sf_dir):
                     _r9(F.lit(100.0) * F.col("n_c") / F.sum("n_c").over(w)).alias("share_pct"))
 
 
-@register("split_sizes", "M1",
-          with_cases(f"""SELECT gravidade_lesao, n, n_test, n - n_test AS n_train FROM (
+# The order key of the samplers, as SQL states it.
+_KEY = f"md5(CAST(id_sinistro AS VARCHAR) || ':{P.SEED}')"
+# Test rows per class: ceil(fraction * n) in all, what rounding down leaves to the largest remainders.
+_QUOTAS = f"""quotas AS (
   SELECT gravidade_lesao, n, CAST(floor(share) AS BIGINT) + CASE WHEN row_number() OVER (
            ORDER BY share - floor(share) DESC, gravidade_lesao) <= in_all - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS n_test
   FROM (SELECT *, in_all * n / sum(n) OVER () AS share FROM (
     SELECT *, ceil(round({P.TEST_FRACTION} * sum(n) OVER (), 9)) AS in_all FROM (
-      SELECT gravidade_lesao, count(*) AS n FROM cases GROUP BY gravidade_lesao))))"""))
+      SELECT gravidade_lesao, count(*) AS n FROM cases GROUP BY gravidade_lesao))))"""
+_RANKED = f"""ranked AS (
+  SELECT id_sinistro, gravidade_lesao, count(*) OVER (PARTITION BY gravidade_lesao) AS n,
+         row_number() OVER (PARTITION BY gravidade_lesao ORDER BY {_KEY}, id_sinistro) AS place FROM cases)"""
+
+
+def _split(spark, sf_dir):
+    return S.stratified_split(cases(spark, sf_dir), TARGET, ["id_sinistro"], P.TEST_FRACTION, P.SEED)
+
+
+@register("split_sizes", "M1",
+          with_cases("SELECT gravidade_lesao, n, n_test, n - n_test AS n_train FROM quotas", extra_ctes=_QUOTAS))
 def split_sizes(spark, sf_dir):
-    s = S.stratified_split(cases(spark, sf_dir), TARGET, ["id_sinistro"], P.TEST_FRACTION, P.SEED)
-    return s.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n"),
-                                 F.count(F.when(F.col("is_test"), 1)).alias("n_test"),
-                                 F.count(F.when(~F.col("is_test"), 1)).alias("n_train"))
+    return _split(spark, sf_dir).groupBy(TARGET).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_test"), 1)).alias("n_test"),
+        F.count(F.when(~F.col("is_test"), 1)).alias("n_train"))
+
+
+@register("split_rows", "M1",
+          with_cases("SELECT id_sinistro, gravidade_lesao, place <= n_test AS is_test FROM ranked JOIN quotas USING (gravidade_lesao)",
+                     extra_ctes=_RANKED + ",\n" + _QUOTAS))
+def split_rows(spark, sf_dir):
+    """Which rows the stratified split holds out."""
+    return _split(spark, sf_dir).select("id_sinistro", TARGET, "is_test")
+
+
+def _undersampled(spark, sf_dir):
+    return S.undersample(cases(spark, sf_dir), TARGET, ["id_sinistro"], P.SEED)
 
 
 @register("undersample_sizes", "M7",
           with_cases("""SELECT gravidade_lesao, min(n) OVER () AS n_kept
 FROM (SELECT gravidade_lesao, count(*) AS n FROM cases GROUP BY gravidade_lesao)"""))
 def undersample_sizes(spark, sf_dir):
-    u = S.undersample(cases(spark, sf_dir), TARGET, ["id_sinistro"], P.SEED)
-    return u.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n_kept"))
+    return _undersampled(spark, sf_dir).groupBy(TARGET).agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+@register("undersample_rows", "M7",
+          with_cases("SELECT id_sinistro, gravidade_lesao FROM ranked WHERE place <= (SELECT min(n) FROM ranked)",
+                     extra_ctes=_RANKED))
+def undersample_rows(spark, sf_dir):
+    """Which rows the under-sampling keeps."""
+    return _undersampled(spark, sf_dir).select("id_sinistro", TARGET)
+
+
+def _folds(spark, sf_dir):
+    return ML.stratified_folds(cases(spark, sf_dir), 3, P.SEED, label=TARGET)
 
 
 @register("fold_sizes", "M9",
@@ -216,8 +251,14 @@ def undersample_sizes(spark, sf_dir):
 FROM (SELECT gravidade_lesao, count(*) AS n FROM cases GROUP BY gravidade_lesao)
 CROSS JOIN (SELECT range AS fold FROM range(0, 3)) f"""))
 def fold_sizes(spark, sf_dir):
-    f = ML.stratified_folds(cases(spark, sf_dir), 3, P.SEED, label=TARGET)
-    return f.groupBy(TARGET, "fold").agg(F.count(F.lit(1)).alias("n"))
+    return _folds(spark, sf_dir).groupBy(TARGET, "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("fold_rows", "M9",
+          with_cases("SELECT id_sinistro, gravidade_lesao, CAST((place - 1) % 3 AS INTEGER) AS fold FROM ranked", extra_ctes=_RANKED))
+def fold_rows(spark, sf_dir):
+    """Which fold every row lies in."""
+    return _folds(spark, sf_dir).select("id_sinistro", TARGET, "fold")
 
 
 # --- forests (no SQL oracle: randomised tree learners) ------------------------

@@ -64,12 +64,12 @@ def test_hash_buckets_split_a_hot_class_evenly(spark):
     n = 200_000
     df = spark.range(n).select(F.col("id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("y"))
     nb = 32
-    b = df.withColumn("_b", S.hash_bucket(S.row_hash(["id"], 42), nb))
+    b = df.withColumn("_b", S.hash_bucket(S.order_key(["id"], 42), nb))
     sizes = [r["count"] for r in b.filter("y = 'a'").groupBy("_b").count().collect()]
     assert len(sizes) == nb
     mean = sum(sizes) / nb
     assert max(sizes) < 1.1 * mean and min(sizes) > 0.9 * mean
     # bucket order is hash order
-    r = b.groupBy("_b").agg(F.min(S.row_hash(["id"], 42)).alias("lo"),
-                            F.max(S.row_hash(["id"], 42)).alias("hi")).orderBy("_b").collect()
+    r = b.groupBy("_b").agg(F.min(S.order_key(["id"], 42)).alias("lo"),
+                            F.max(S.order_key(["id"], 42)).alias("hi")).orderBy("_b").collect()
     assert all(r[i]["hi"] < r[i + 1]["lo"] for i in range(len(r) - 1))
