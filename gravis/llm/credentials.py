@@ -6,7 +6,8 @@ would flag clean text, so they are reported only when a complementary part lies
 in the same scope: at most ``SCOPE`` characters away in the same document, and
 disjoint from it (one string is not two parts). A run inside the host or path of an
 endpoint is part of that address and no secret candidate; user information, query
-and fragment can hold one. The
+and fragment can hold one. An address is seldom a secret itself: an endpoint needs both
+an identifier and a secret in its scope, unless it carries user and password. The
 co-occurrence test is an interval join: every part is listed under the bins
 its span covers, every weak candidate looks into the bins of its scope, and a
 left-semi join on (document, bin) with the exact distance keeps those that find
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gravis.llm.common import all_columns, land, small, table
+from gravis.llm.common import BROADCAST_ROWS, all_columns, land, table
 from gravis.llm.registry import register
 
 SCOPE = 200  # characters between complementary parts, at most
@@ -50,13 +51,14 @@ BASE = 3
 OPAQUE, ENDPOINT = 4, 5
 # Of an endpoint: what comes before its host, and everything up to its query or fragment.
 _BEFORE_HOST, _TO_PATH = r"^[^:]+://[^/?#]*@", r"^[^?#]*"
-COMPLEMENT = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
+_CREDENTIALS = r"^[^:]+://[^/?#@:]+:[^/?#@]+@"  # an endpoint with user and password
+COMPLEMENT = {"secret": ("identifier", "endpoint"), "identifier": ("secret",)}  # an endpoint needs one of each
 
 
 def _matches(text: Column, rank: int) -> Column:
     """Per match, in order: (characters before it since the last match, its length,
-    long enough, where an endpoint's host and path begin and end in it). Only texts
-    with a match are taken apart."""
+    long enough, where an endpoint's host and path begin and end in it, whether it
+    carries credentials). Only texts with a match are taken apart."""
     place = lambda m, p: F.length(F.regexp_extract(m, p, 0)) if rank == ENDPOINT else F.lit(0)
     _, pat, group, least, _, extra = KINDS[rank]
     p = F.lit(pat)
@@ -67,7 +69,8 @@ def _matches(text: Column, rank: int) -> Column:
                       counted, lambda x, c: F.struct(
                           x["gap"].alias("gap"), F.length(x["m"]).alias("n"),
                           ((F.length(c) >= least) & (x["m"].rlike(extra) if extra else F.lit(True))).alias("ok"),
-                          place(x["m"], _BEFORE_HOST).alias("lo"), place(x["m"], _TO_PATH).alias("hi")))
+                          place(x["m"], _BEFORE_HOST).alias("lo"), place(x["m"], _TO_PATH).alias("hi"),
+                          (x["m"].rlike(_CREDENTIALS) if rank == ENDPOINT else F.lit(False)).alias("own")))
     # for plain runs only a long enough run makes a text worth taking apart
     probe = {"hex": "[0-9a-f]{%d}" % least, "access": "AKIA[A-Z0-9]{%d}" % (least - 4)}.get(KINDS[rank][0], pat)
     return F.when(text.rlike(probe), F.filter(body, lambda x: x["n"].isNotNull()))
@@ -87,17 +90,17 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def _linked(rows: DataFrame) -> DataFrame:
-    none = F.array().cast("array<struct<gap:int,n:int,ok:boolean,lo:int,hi:int>>")
+    none = F.array().cast("array<struct<gap:int,n:int,ok:boolean,lo:int,hi:int,own:boolean>>")
 
     def of_kind(k: int) -> Column:
         return F.transform(F.coalesce(F.col(f"k{k}"), none), lambda x, i: F.struct(
             F.lit(k).alias("k"), i.alias("i"), x["gap"].alias("gap"), x["n"].alias("n"), x["ok"].alias("ok"),
-            x["lo"].alias("lo"), x["hi"].alias("hi")))
+            x["lo"].alias("lo"), x["hi"].alias("hi"), x["own"].alias("own")))
     each = F.flatten(F.array(*[of_kind(k) for k in range(len(KINDS))]))
     m = rows.select("_id", "_h", F.explode(each).alias("x")).select("_id", "_h", "x.*")
     order = W.partitionBy("_id", "_h", "k").orderBy("i")
     end = F.sum(F.col("gap").cast("long") + F.col("n")).over(order)
-    m = land(m.select("_id", "_h", "k", (end - F.col("n")).alias("start"), end.alias("end"), "ok", "lo", "hi").where("ok").drop("ok"))
+    m = land(m.select("_id", "_h", "k", (end - F.col("n")).alias("start"), end.alias("end"), "ok", "lo", "hi", "own").where("ok").drop("ok"))
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE)))
     same = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_h") == F.col("p_h")) & (F.col("bin") == F.col("p_bin"))
     lo, hi = F.col("start") + F.col("lo"), F.col("start") + F.col("hi")
@@ -106,11 +109,11 @@ def _linked(rows: DataFrame) -> DataFrame:
     opaque = m.where(F.col("k") == OPAQUE).withColumn("bin", F.floor(F.col("start") / SCOPE)).join(
         address, same & (F.col("p_start") <= F.col("start")) & (F.col("end") <= F.col("p_end")), "left_anti")
     key = ["_id", "_h", "k", "start", "end"]
-    m = land(m.where(F.col("k") != OPAQUE).select(*key).unionByName(opaque.select(*key)))
+    m = land(m.where(F.col("k") != OPAQUE).select(*key, "own").unionByName(opaque.select(*key, "own")))
     base, weak = m.where(F.col("k") < BASE), m.where(F.col("k") >= BASE)
     role = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (k, kind[4])])
     needs = F.create_map(*[F.lit(x) if isinstance(x, int) else F.array(*[F.lit(r) for r in x])
-                           for k, kind in enumerate(KINDS) for x in (k, COMPLEMENT[kind[4]])])
+                           for k, kind in enumerate(KINDS) if kind[4] in COMPLEMENT for x in (k, COMPLEMENT[kind[4]])])
     parts = m.select(F.col("_id").alias("p_id"), F.col("_h").alias("p_h"), role[F.col("k")].alias("p_role"),
                      F.col("start").alias("p_start"), F.col("end").alias("p_end"), bins(F.col("start"), F.col("end")).alias("p_bin"))
     # a weak span over a base span repeats it
@@ -123,13 +126,15 @@ def _linked(rows: DataFrame) -> DataFrame:
     cond = F.lit(True)
     for c in key:
         cond = cond & F.col(f"w.{c}").eqNullSafe(F.col(f"o.{c}"))
-    fresh = weak.select(*key).distinct().alias("w").join(covered.alias("o"), cond, "left_anti").select("w.*")
+    fresh = weak.select(*key, "own").distinct().alias("w").join(covered.alias("o"), cond, "left_anti").select("w.*")
     look = fresh.withColumn("bin", bins(F.greatest(F.col("start") - SCOPE, F.lit(0)), F.col("end") + SCOPE))
-    near = same & F.array_contains(needs[F.col("k")], F.col("p_role")) & \
-        (F.col("p_start") <= F.col("end") + SCOPE) & (F.col("p_end") >= F.col("start") - SCOPE) & (
-            (F.col("p_end") <= F.col("start")) | (F.col("p_start") >= F.col("end")))
-    linked = look.join(parts, near, "left_semi").select(*key).distinct()
-    return base.select(*key).unionByName(linked)
+    near = same & (F.col("p_start") <= F.col("end") + SCOPE) & (F.col("p_end") >= F.col("start") - SCOPE) & (
+        (F.col("p_end") <= F.col("start")) | (F.col("p_start") >= F.col("end")))
+    with_part = lambda rows, role: rows.join(parts, near & role, "left_semi").select(*key).distinct()
+    linked = with_part(look.where(F.col("k") != ENDPOINT), F.array_contains(needs[F.col("k")], F.col("p_role")))
+    ends = look.where((F.col("k") == ENDPOINT) & ~F.col("own"))
+    ends = with_part(ends, F.col("p_role") == "secret").intersect(with_part(ends, F.col("p_role") == "identifier"))
+    return base.select(*key).unionByName(linked).unionByName(ends).unionByName(fresh.where("own").select(*key))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,10 +167,13 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     prev = F.lag("end", 1, 0).over(W.partitionBy("_id", "_h").orderBy("start"))
     merged = merged.withColumn("prev", prev).groupBy("_id", "_h").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "prev"))).alias("s"))
-    merged = small(land(merged.select(F.col("_id").alias("__g_id"), F.col("_h").alias("__g_h"), F.col("s").alias("__g_s"))))
+    g_id, g_h, g_s = ("g" * max(map(len, df.columns)) + x for x in ("_id", "_h", "_s"))  # longer than any column's name
+    merged = land(merged.select(F.col("_id").alias(g_id), F.col("_h").alias(g_h), F.col("s").alias(g_s)))
+    n_spans = merged.agg(F.sum(F.size(g_s))).first()[0] or 0  # three numbers each
+    merged = F.broadcast(merged) if n_spans <= BROADCAST_ROWS else merged
     text_hash = F.xxhash64(F.coalesce(df[text_col], F.lit("")))
-    joined = df.join(merged, df[id_col].eqNullSafe(merged["__g_id"]) & (text_hash == merged["__g_h"]), "left")
-    t, s = df[text_col], F.col("__g_s")
+    joined = df.join(merged, df[id_col].eqNullSafe(merged[g_id]) & (text_hash == merged[g_h]), "left")
+    t, s = df[text_col], F.col(g_s)
     cut = lambda a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
     clean = F.concat(F.array_join(F.transform(s, lambda x: F.concat(cut(x["prev"], x["start"]), F.lit(mask))), ""),
                      F.substr(t, (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(t)))

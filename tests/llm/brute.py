@@ -99,3 +99,34 @@ def common_subsequence(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
     return row[-1]
+
+
+def linked_secrets(text):
+    """All spans of the secret scan, by comparing every pair of parts of a text."""
+    from gravis.llm.credentials import KINDS, SCOPE
+    parts = []  # kind, start, end, match
+    for k, (_, pattern, group, least, _, extra) in enumerate(KINDS):
+        for m in re.finditer(pattern, text):
+            if len(m[group]) >= least and (not extra or re.search(extra, m[0])):
+                parts.append((k, m.start(), m.end(), m[0]))
+    place = []  # host and path of the endpoints
+    for k, a, b, m in parts:
+        if KINDS[k][0] == "endpoint":
+            user = re.match(r"[^:]+://[^/?#]*@", m)
+            place.append((a + (user.end() if user else 0), a + re.match(r"[^?#]*", m).end()))
+    parts = [p for p in parts if KINDS[p[0]][0] != "opaque" or not any(lo <= p[1] and p[2] <= hi for lo, hi in place)]
+    out = []
+    for k, a, b, m in parts:
+        near = {KINDS[q][4] for q, c, d, _ in parts if c <= b + SCOPE and d >= a - SCOPE and (d <= a or c >= b)}
+        role = KINDS[k][4]
+        if k >= 3:
+            if any(q < 3 and c < b and a < d for q, c, d, _ in parts):
+                continue
+            if role == "endpoint":
+                good = {"secret", "identifier"} <= near or re.match(r"[^:]+://[^/?#@:]+:[^/?#@]+@", m)
+            else:
+                good = near & ({"secret"} if role == "identifier" else {"identifier", "endpoint"})
+            if not good:
+                continue
+        out.append((a, k, b))
+    return ",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b in sorted(out))
