@@ -12,10 +12,11 @@ then narrows the scope).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,7 +117,12 @@ def median_fill(df: DataFrame, columns: Sequence[str] | None = None, approx: boo
         return df
     nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
     meds = exact_medians(df, [c for c in cols if nulls[c]], approx=approx)
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(meds.get(c)).cast("double")) for c in cols})
+    return fill_with(df, {c: meds.get(c) for c in cols})
+
+
+def fill_with(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
+    """Every listed column as double, its missing numbers filled with the value given."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double")) for c, v in values.items()})
 
 
 def iqr_fences(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -> tuple[float, float] | None:
@@ -136,7 +142,11 @@ def iqr_fences(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) ->
 
 def iqr_filter(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -> DataFrame:
     """Keep rows with ``lower <= col <= upper``; a missing value fails the test."""
-    fences = iqr_fences(df, col, k, approx)
+    return within(df, col, iqr_fences(df, col, k, approx))
+
+
+def within(df: DataFrame, col: str, fences: tuple[float, float] | None) -> DataFrame:
+    """Keep rows inside the fences (both included); no fences keep no row."""
     if fences is None:
         return df.filter(F.lit(False))
     lo, hi = fences
@@ -147,18 +157,80 @@ def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """(x - mean) / population std; a constant column divides by 1 (as
     scikit-learn's scaler does). ``ml.feature.StandardScaler`` uses the sample
     std, so the statistics are computed here in one aggregate."""
+    return scale_with(df, moments(df, cols), suffix)
+
+
+def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float]]:
+    """Mean and population std of every column from one aggregate; 1 for no spread."""
     if not cols:
-        return df
+        return {}
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s")]
     st = df.agg(*aggs).first()
-    out = df
-    for c in cols:
-        m, s = st[f"{c}__m"], st[f"{c}__s"]
-        s = 1.0 if not s else s
-        out = out.withColumn(c + suffix, (F.col(c) - F.lit(m)) / F.lit(s))
-    return out
+    return {c: (st[f"{c}__m"], st[f"{c}__s"] or 1.0) for c in cols}
+
+
+def scale_with(df: DataFrame, fitted: Mapping[str, tuple[float | None, float]], suffix: str = "") -> DataFrame:
+    """(x - mean) / std of every listed column, by the given numbers."""
+    return df.withColumns({c + suffix: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in fitted.items()})
+
+
+# --- fitted statistics -------------------------------------------------------
+
+@dataclass
+class CleaningStatistics:
+    """The numbers that cleaning applies row by row, fitted on one table and kept
+    for later ones: median per filled column, fences per filtered column, mean and
+    std per scaled column. A few numbers a column, so they live on the driver and
+    are saved as a table of (estatistica, coluna, valor) rows.
+
+    Applied to a table that lacks a fitted column, that column is left out; a column
+    that was not fitted stays as it is. A column without values has no median (its
+    gaps stay) and no fences (no row passes), as in the one-table run."""
+
+    medians: dict[str, float | None] = field(default_factory=dict)
+    fences: dict[str, tuple[float, float] | None] = field(default_factory=dict)
+    scales: dict[str, tuple[float | None, float]] = field(default_factory=dict)
+
+    def fill(self, df: DataFrame) -> DataFrame:
+        return fill_with(df, {c: v for c, v in self.medians.items() if c in df.columns})
+
+    def filter(self, df: DataFrame) -> DataFrame:
+        return reduce(lambda d, c: within(d, c, self.fences[c]), [c for c in self.fences if c in df.columns], df)
+
+    def scale(self, df: DataFrame, suffix: str) -> DataFrame:
+        return scale_with(df, {c: v for c, v in self.scales.items() if c in df.columns}, suffix)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [("mediana", c, v) for c, v in self.medians.items()]
+        for c, pair in self.fences.items():
+            rows += [(name, c, v) for name, v in zip(("limite_inferior", "limite_superior"), pair or (None, None))]
+        for c, pair in self.scales.items():
+            rows += [(name, c, v) for name, v in zip(("media", "desvio"), pair)]
+        return spark.createDataFrame(rows, "estatistica string, coluna string, valor double")
+
+    @classmethod
+    def of_table(cls, saved: DataFrame) -> CleaningStatistics:
+        by: dict[str, dict[str, float | None]] = {}
+        for r in saved.collect():  # five numbers a column at most
+            by.setdefault(r["estatistica"], {})[r["coluna"]] = r["valor"]
+        low, high = by.get("limite_inferior", {}), by.get("limite_superior", {})
+        return cls(by.get("mediana", {}), {c: None if low[c] is None else (low[c], high[c]) for c in low},
+                   {c: (m, by["desvio"][c]) for c, m in by.get("media", {}).items()})
+
+
+def fit_cleaning(df: DataFrame, fill: Sequence[str], fence: Sequence[str] = (), scale: Sequence[str] = ()) -> CleaningStatistics:
+    """Medians of ``df``, fences of the filled rows, mean and std of the rows inside
+    the fences. Medians are taken of every column to fill, with or without gaps: a
+    later table may have gaps where this one has none."""
+    st = CleaningStatistics(medians=exact_medians(df, fill))
+    filled = st.fill(df)
+    for c in fence:
+        st.fences[c] = iqr_fences(filled, c)
+        filled = within(filled, c, st.fences[c])
+    st.scales = moments(filled, scale)
+    return st
 
 
 # --- scope and completeness filters ---------------------------------------

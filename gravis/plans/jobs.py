@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravis import NOT_AVAILABLE, UNKNOWN
+from gravis import MISSING, NOT_AVAILABLE, UNKNOWN
 from gravis.functions.scalar import age_band
 from gravis.functions.text import normalize_name
 from gravis.operators import clean as C
@@ -43,9 +43,15 @@ YEARS = tuple(range(2020, 2026))
 
 
 def consolidate_extracts(spark: SparkSession, path_a: str, path_b: str, out_path: str | None = None,
-                         years=YEARS, year_col: str = "ano_sinistro"):
-    """Stage 1. Returns (merged table or None, year counts, top-5 summary)."""
-    parts = [C.year_filter(X.read_extract(spark, p), year_col, years) for p in (path_a, path_b)]
+                         years=YEARS, year_col: str = "ano_sinistro", bad_path: str | None = None):
+    """Stage 1. Returns (merged table or None, year counts, top-5 summary). Lines that
+    do not fit their extract's header are left out; with ``bad_path`` they are written
+    there as Parquet, with the extract they come from."""
+    found = [(p, X.read_checked(spark, p)) for p in (path_a, path_b)]
+    parts = [C.year_filter(e.rows, year_col, years) for _, e in found if e is not None]
+    bad = C.consolidate(*[e.bad.withColumn("extrato", F.lit(p)) for p, e in found if e is not None])
+    if bad_path and bad is not None:
+        bad.write.mode("overwrite").parquet(bad_path)
     merged = C.consolidate(*[p for p in parts if p is not None and not p.isEmpty()])
     if merged is None:
         return None, None, None
@@ -57,26 +63,84 @@ def consolidate_extracts(spark: SparkSession, path_a: str, path_b: str, out_path
     return merged, years_tab, top
 
 
-def prepare_cases(df: DataFrame, scope: dict | None = SCOPE, zscore_suffix: str = "_z") -> DataFrame:
-    """Stage 2 cleaning in the reference's order: de-duplicate, recode and
-    fill text, exact-median fill numbers, normalise place names, age bands,
-    IQR filter on age, z-scores (kept beside the raw values), place code;
-    the statistics are fitted on the whole table and only THEN is the scope
-    applied. The result is checkpointed: every analysis reads it."""
+UNFILLED = ["id_sinistro"]
+UNSCALED = ["mes_sinistro", "dia_sinistro"]
+
+
+def _plain_cases(df: DataFrame) -> DataFrame:
+    """The cleaning that needs no statistic: de-duplicated, typed, text recoded and
+    filled, place names normalised. Bands wait for the filled age."""
     d = C.drop_duplicate_rows(df)  # on the rows as loaded, before typing
     if dict(d.dtypes).get("idade") == "string":
         d = X.type_columns(d)
     d = C.recode_and_fill(d)
-    d = C.median_fill(d, C.columns_of_type(d, "numeric", exclude=["id_sinistro"]))
     if "municipio" in d.columns:
         d = d.withColumn("municipio", normalize_name("municipio"))
-    if "idade" in d.columns:
-        d = d.withColumn("idade_faixa", age_band("idade"))
-        d = C.iqr_filter(d, "idade")
-    num = C.columns_of_type(d, "numeric", exclude=["mes_sinistro", "dia_sinistro"])
-    d = C.zscore(d, num, suffix=zscore_suffix)
-    if "municipio" in d.columns:
-        d, _ = E.ordinal_encode(d, ["municipio"], suffix="_num")
+    return d
+
+
+class CaseCleaner:
+    """Fitted cleaning: the statistics of one table and the codes of its places,
+    saved and applied to later tables. Places the fitted table does not have get the
+    number of its places as code. The codes stay a distributed table."""
+
+    def __init__(self, statistics: C.CleaningStatistics, codes: DataFrame | None):
+        self.statistics, self.codes = statistics, codes
+
+    @classmethod
+    def fit(cls, df: DataFrame) -> CaseCleaner:
+        return cls._of_plain(cut_lineage(_plain_cases(df)))
+
+    @classmethod
+    def _of_plain(cls, d: DataFrame) -> CaseCleaner:
+        fill = C.columns_of_type(d, "numeric", exclude=UNFILLED)
+        fence = [c for c in ("idade",) if c in d.columns]
+        st = C.fit_cleaning(d, fill, fence, C.columns_of_type(d, "numeric", exclude=UNSCALED))
+        kept = st.filter(st.fill(d))
+        return cls(st, E.ordinal_codes(kept.na.fill(MISSING, subset=["municipio"]), ["municipio"]) if "municipio" in d.columns else None)
+
+    def apply(self, df: DataFrame, zscore_suffix: str = "_z") -> DataFrame:
+        return self._apply_plain(_plain_cases(df), zscore_suffix)
+
+    def _apply_plain(self, d: DataFrame, zscore_suffix: str) -> DataFrame:
+        d = self.statistics.fill(d)
+        if "idade" in d.columns:
+            d = d.withColumn("idade_faixa", age_band("idade"))
+        d = self.statistics.scale(self.statistics.filter(d), zscore_suffix)
+        if self.codes is not None and "municipio" in d.columns:
+            d = E.look_up_codes(d.na.fill(MISSING, subset=["municipio"]), self.codes, ["municipio"])
+        return d
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Both tables as one published set: a failed save leaves the last one in place."""
+        out = ResultSet(spark, path)
+        self.statistics.table(spark).coalesce(1).write.parquet(out.path("estatisticas"))
+        if self.codes is not None:
+            self.codes.write.parquet(out.path("codigos"))
+        out.publish()
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CaseCleaner:
+        paths = published(spark, path)
+        if not paths:
+            raise FileNotFoundError(f"no cleaning was saved in {path}")
+        return cls(C.CleaningStatistics.of_table(spark.read.parquet(paths["estatisticas"])),
+                   spark.read.parquet(paths["codigos"]) if "codigos" in paths else None)
+
+
+def prepare_cases(df: DataFrame, scope: dict | None = SCOPE, zscore_suffix: str = "_z",
+                  cleaner: CaseCleaner | None = None) -> DataFrame:
+    """Stage 2 cleaning in the reference's order: de-duplicate, recode and
+    fill text, exact-median fill numbers, normalise place names, age bands,
+    IQR filter on age, z-scores (kept beside the raw values), place code;
+    the statistics are fitted on the whole table and only THEN is the scope
+    applied. With ``cleaner`` (fitted on another table) nothing is fitted here.
+    The result is checkpointed: every analysis reads it."""
+    d = _plain_cases(df)
+    if cleaner is None:
+        d = cut_lineage(d)  # read by the fit's scans and by the rows' own
+        cleaner = CaseCleaner._of_plain(d)
+    d = cleaner._apply_plain(d, zscore_suffix)
     if scope:
         absent = [c for c in [*scope, *SCOPE_SENTINEL_COLUMNS] if c not in d.columns]
         if absent:

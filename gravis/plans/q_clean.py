@@ -130,6 +130,32 @@ def zscore(spark, sf_dir):
     return z.select("id_sinistro", *[F.round(f"{x}_z", 9).alias(f"{x}_z") for x in _Z_COLS])
 
 
+_FITTED_UNTIL = 1997
+
+
+@register("fitted_cleaning", "N3,N4,N6,J2",
+          _dirty(f"""SELECT id_sinistro, idade, valor, round((idade - mi) / si, 9) AS idade_z, round((valor - mv) / sv, 9) AS valor_z
+FROM (SELECT id_sinistro, coalesce(idade, med_i) AS idade, coalesce(valor, med_v) AS valor FROM novos, med) n, q, m
+WHERE idade >= q1 - 1.5 * (q3 - q1) AND idade <= q3 + 1.5 * (q3 - q1)""", extra=f"""anos AS (
+  SELECT id_sinistro, idade, CAST(valor AS DOUBLE) AS valor, TRY_CAST(ano_texto AS DOUBLE) AS ano FROM cases_dirty),
+antigos AS (SELECT * FROM anos WHERE ano IN ({_YEARS}) AND ano <= {_FITTED_UNTIL}),
+novos AS (SELECT * FROM anos WHERE ano IN ({_YEARS}) AND ano > {_FITTED_UNTIL}),
+med AS (SELECT median(idade) AS med_i, median(valor) AS med_v FROM antigos),
+cheios AS (SELECT coalesce(idade, med_i) AS idade, coalesce(valor, med_v) AS valor FROM antigos, med),
+q AS (SELECT quantile_cont(idade, 0.25) AS q1, quantile_cont(idade, 0.75) AS q3 FROM cheios),
+m AS (SELECT avg(idade) AS mi, coalesce(nullif(stddev_pop(idade), 0), 1) AS si,
+             avg(valor) AS mv, coalesce(nullif(stddev_pop(valor), 0), 1) AS sv
+      FROM cheios, q WHERE idade >= q1 - 1.5 * (q3 - q1) AND idade <= q3 + 1.5 * (q3 - q1))"""))
+def fitted_cleaning(spark, sf_dir):
+    """Cleaning fitted on the rows up to one year, kept as a table, applied to the later rows."""
+    d = C.year_filter(cases_dirty(spark, sf_dir).select("id_sinistro", "ano_texto", "idade", "valor"), "ano_texto", P.KEEP_YEARS)
+    old, new = d.filter(F.col("ano_texto") <= _FITTED_UNTIL), d.filter(F.col("ano_texto") > _FITTED_UNTIL)
+    kept = C.fit_cleaning(old, ["idade", "valor"], ["idade"], ["idade", "valor"]).table(spark)
+    st = C.CleaningStatistics.of_table(kept)
+    out = st.scale(st.filter(st.fill(new)), "_z")
+    return out.select("id_sinistro", "idade", "valor", *[F.round(f"{x}_z", 9).alias(f"{x}_z") for x in ("idade", "valor")])
+
+
 @register("ordinal_encode", "N7,J3",
           with_cases("""SELECT id_sinistro,
        CAST(dense_rank() OVER (ORDER BY municipio) - 1 AS INTEGER) AS municipio_num,

@@ -10,12 +10,18 @@ written as a single file.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import logging
+import uuid
+from dataclasses import dataclass
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LATIN1 = "ISO-8859-1"
+BAD = "_linha_ruim"  # the whole line, where it does not fit the header
+_LOG = logging.getLogger(__name__)
 
 # The types the source extract's columns take after reading
 # (everything not listed stays text).
@@ -30,7 +36,8 @@ EXTRACT_TYPES = {
 def read_extract(spark: SparkSession, path: str, sep: str = ";", encoding: str = LATIN1,
                  schema: T.StructType | None = None) -> DataFrame | None:
     """Read a delimited extract with a header row, all columns as text unless
-    a schema is given. Returns None when the path does not exist."""
+    a schema is given. An extract that cannot be opened (no such path, no file in a
+    folder, no header) gives None, with the reason in the log."""
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
     reader = reader.option("mode", "PERMISSIVE")
     if schema is not None:
@@ -38,11 +45,50 @@ def read_extract(spark: SparkSession, path: str, sep: str = ";", encoding: str =
     else:
         reader = reader.option("inferSchema", False)
     try:
-        return reader.csv(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return None
-        raise
+        df = reader.csv(path)
+    except PySparkException as e:
+        _LOG.warning("extract %s not read: %s", path, e)
+        return None
+    return df if df.columns else None
+
+
+@dataclass
+class Extract:
+    """A checked extract: rows that fit the header, and the lines that do not."""
+
+    rows: DataFrame
+    bad: DataFrame  # one column, the line as read
+
+    def counts(self) -> tuple[int, int]:
+        """(rows kept, lines set apart)."""
+        return self.rows.count(), self.bad.count()
+
+
+def read_checked(spark: SparkSession, path: str, sep: str = ";", encoding: str = LATIN1) -> Extract | None:
+    """Read an extract of text columns and set its bad lines apart.
+
+    A line with more fields than the header, or with a quote that never closes, is
+    bad: its values cannot be told to columns. A line with fewer fields is kept, the
+    missing ones null. Every byte is a Latin-1 character, so none is bad by itself.
+    A line is one record: a quoted line break ends it, and both halves are bad or
+    short. None if the extract cannot be opened."""
+    head = read_extract(spark, path, sep, encoding)
+    if head is None:
+        return None
+    names = head.columns
+    if BAD in names:
+        raise ValueError(f"the extract has a column {BAD}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, BAD]])
+    lines = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE")
+             .option("columnNameOfCorruptRecord", BAD).schema(schema).csv(path))
+    bare = F.regexp_replace(F.col(BAD), '"[^"]*"', "")  # quoted fields hold no separator
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    # the fields are no longer than their line; the reader compares a line with the header only if all columns are read
+    parsed = F.length(BAD) >= F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in names]))
+    is_bad = F.coalesce(parsed & ((fields > len(names)) | bare.contains('"')), F.lit(False))
+    flagged = lines.select(*[F.col(f"`{c}`") for c in names], BAD, is_bad.alias("_ruim"))
+    return Extract(flagged.filter(~F.col("_ruim")).select(*[F.col(f"`{c}`") for c in names]),
+                   flagged.filter("_ruim").select(BAD))
 
 
 def type_columns(df: DataFrame, types: dict[str, str] = EXTRACT_TYPES) -> DataFrame:
@@ -61,20 +107,39 @@ def type_columns(df: DataFrame, types: dict[str, str] = EXTRACT_TYPES) -> DataFr
     return df.select(*cols)
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system of ``path``, path) of the cluster's Hadoop client."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def write_extract(df: DataFrame | None, path: str, sep: str = ";", encoding: str = LATIN1,
                   verify: bool = True) -> bool:
     """Write a delimited extract with a header. An empty or missing table is
-    refused (False). With ``verify`` the written rows are re-read and
-    counted: the write is confirmed only if the counts agree."""
-    if df is None or df.isEmpty():
+    refused (False). The table is evaluated once: it is written beside ``path``, the
+    write itself counts the rows, and the folder takes the place of ``path`` if there
+    are any. With ``verify`` the written rows are re-read and counted before that: if
+    the counts differ the write is refused too. A refused write leaves ``path`` as it was."""
+    if df is None:
+        return False
+    spark, seen = df.sparkSession, Observation()
+    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    (df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("header", True).option("sep", sep)
+       .option("encoding", encoding).csv(staged))
+    n = seen.get["n"]
+    good = n > 0
+    if good and verify:
+        back = read_extract(spark, staged, sep=sep, encoding=encoding)
+        good = back is not None and back.count() == n
+    fs, new = _files(spark, staged)
+    if not good:
+        fs.delete(new, True)
         return False
-    seen = Observation()
-    (df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).option("sep", sep)
-       .option("encoding", encoding).csv(path))
-    if not verify:
-        return True
-    back = read_extract(df.sparkSession, path, sep=sep, encoding=encoding)
-    return back is not None and back.count() == seen.get["n"]
+    _, old = _files(spark, path)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{staged} holds the extract; it could not take the place of {path}")
+    return True
 
 
 def format_decimals(df: DataFrame, places: int = 4) -> DataFrame:

@@ -100,3 +100,83 @@ def test_analysis_tables_from_prepared(spark, tmp_path):
     total = tabs["mensal"].agg(F.sum("total")).first()[0]
     assert total == tabs["municipios"].agg(F.sum("total")).first()[0]
     assert tabs["pior_mes_vitima"].count() >= 1
+
+
+def test_unreadable_extracts_give_no_table(spark, tmp_path):
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "empty.csv").write_bytes(b"")
+    for name in ("folder", "empty.csv", "absent.csv"):
+        assert X.read_extract(spark, str(tmp_path / name)) is None
+        assert X.read_checked(spark, str(tmp_path / name)) is None
+
+
+def test_bad_lines_are_set_apart(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_bytes(b"id;nome;ano\n1;S\xe3o;2020\n2;curto\n3;a;2021;sobra\n4;\"x;y\";2022\n5;\"aberto;2023\n"
+                     b"6;\x00\x80\xff;2024\n\n7;\"a;b\";2020;sobra\n8;;\n")
+    got = X.read_checked(spark, str(path))
+    rows = {r["id"]: (r["nome"], r["ano"]) for r in got.rows.collect()}
+    assert rows == {"1": ("São", "2020"), "2": ("curto", None), "4": ("x;y", "2022"),
+                    "6": ("\x00\x80\xff", "2024"), "8": (None, None)}
+    assert {r[0][0] for r in got.bad.collect()} == {"3", "5", "7"}
+    assert got.counts() == (5, 3)
+    assert got.rows.select("id").count() == 5  # whichever columns are read
+
+
+def test_write_evaluates_once_and_keeps_the_old_extract(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        calls.add(1)
+        return x
+    out = str(tmp_path / "out")
+    rows = spark.range(0, 20, 1, 3).select(counted(F.col("id").cast("int")).alias("x"))
+    assert X.write_extract(rows, out) is True
+    assert calls.value == 20
+    assert X.write_extract(rows.filter("x < 0"), out) is False
+    assert X.read_extract(spark, out).count() == 20
+    assert os.listdir(tmp_path) == ["out"]
+
+
+def test_consolidate_writes_bad_lines(spark, tmp_path):
+    a, b, bad = str(tmp_path / "a.csv"), str(tmp_path / "b.csv"), str(tmp_path / "bad")
+    _write(a, HEADER_A, [*ROWS_A, ROWS_A[1] + ";sobra"])
+    _write(b, HEADER_B, ROWS_B)
+    merged, _, _ = J.consolidate_extracts(spark, a, b, bad_path=bad)
+    assert merged.count() == 8
+    kept = spark.read.parquet(bad).collect()
+    assert [(r["extrato"], r[X.BAD]) for r in kept] == [(a, ROWS_A[1] + ";sobra")]
+
+
+def test_fitted_cleaning_equals_one_table_run(spark, tmp_path):
+    a, b = str(tmp_path / "a.csv"), str(tmp_path / "b.csv")
+    _write(a, HEADER_A, ROWS_A)
+    _write(b, HEADER_B, ROWS_B)
+    merged, _, _ = J.consolidate_extracts(spark, a, b)
+    one = J.prepare_cases(merged, scope=None)
+    J.CaseCleaner.fit(merged).save(spark, str(tmp_path / "cleaner"))
+    cleaner = J.CaseCleaner.load(spark, str(tmp_path / "cleaner"))
+    again = J.prepare_cases(merged, scope=None, cleaner=cleaner)
+    assert again.columns == one.columns
+    assert sorted(map(str, again.collect())) == sorted(map(str, one.collect()))
+
+    later = X.type_columns(X.read_extract(spark, b)).filter("id_sinistro in (7, 8, 9)").withColumn(
+        "idade", F.when(F.col("id_sinistro") != 7, F.col("idade"))).withColumn(
+        "municipio", F.when(F.col("id_sinistro") == 9, F.lit("Nova")).otherwise(F.col("municipio")))
+    rows = {r["id_sinistro"]: r for r in J.prepare_cases(later, scope=None, cleaner=cleaner).collect()}
+    places = cleaner.codes.count()
+    st = cleaner.statistics
+    assert rows[7]["idade"] == st.medians["idade"]  # the fitted table's, not the later one's
+    assert rows[7]["idade_z"] == (rows[7]["idade"] - st.scales["idade"][0]) / st.scales["idade"][1]
+    assert rows[9]["municipio_num"] == places
+    assert all(st.fences["idade"][0] <= r["idade"] <= st.fences["idade"][1] for r in rows.values())
+
+
+def test_cleaning_without_values(spark):
+    from gravis.operators import clean as C
+    empty = spark.createDataFrame([], "idade double, valor int")
+    st = C.fit_cleaning(empty, ["idade", "valor"], ["idade"], ["idade"])
+    back = C.CleaningStatistics.of_table(st.table(spark))
+    assert back == st and st.fences == {"idade": None} and st.medians == {"idade": None, "valor": None}
+    assert st.filter(spark.createDataFrame([(1.0,)], "idade double")).count() == 0
