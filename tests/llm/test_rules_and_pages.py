@@ -273,6 +273,47 @@ def test_style_tree_long_notice_and_bare_paragraphs(spark):
     assert all(got[100 + i] == f"{notice.strip()} text {i}" for i in range(siteextract.MIN_PAGES - 1))
 
 
+def _site(host, n, menus=True):
+    """A page whose menu, advert and footer say something else on every page, none of them named as such."""
+    body = " ".join(f"word{n * k % 97} of a long sentence" for k in range(1, 15))
+    around = (f"<div class=x1><ul><li>go {n}<li>to {n + 1}</ul></div><div class=x2>buy {n * 7}</div>" if menus else "")
+    return f"<html><body>{around}<div class=text><h2>title {n}</h2><p>{body}</p><p>end {n}</p></div><div class=x3>by {n * 3}</div></body></html>", \
+        f"title {n} {body} end {n}"
+
+
+def test_style_tree_finds_the_region_without_names(spark):
+    """Menus that no entropy and no list gives away go with the branch they are in, on large and on small hosts."""
+    pages = [(i, "http://big.org/" + str(i), *_site("big.org", i)) for i in range(20)]
+    pages += [(100 + i, f"http://h{i}.org/", *_site(f"h{i}.org", 50 + i)) for i in range(10)]  # ten hosts of one page
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    for roles in (True, False):
+        got = {r["page_id"]: r["text"] for r in siteextract.extract(df, roles=roles).collect()}
+        assert got == {p[0]: p[3] for p in pages}
+    few = spark.createDataFrame([p[:3] for p in pages[:siteextract.MIN_PAGES - 1]], "page_id long, url string, html string")
+    assert all("buy" in r["text"] for r in siteextract.extract(few).collect())  # too little to tell
+
+
+def test_copies_across_small_hosts_count_once(spark):
+    rows = [(i, f"http://h{i}.org/", _site("", 1)[0]) for i in range(40)] + [(100 + i, f"http://g{i}.org/", _site("", 60 + i)[0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in siteextract.extract(df).collect()}
+    assert all(got[i] == _site("", 1)[1] for i in range(40)) and all(got[100 + i] == _site("", 60 + i)[1] for i in range(9))
+
+
+def test_removals_too_many_to_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://a.org/{i}", f"<article><div class=q>Tell your friends</div><p>text number {i}</p></article>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(siteextract, "SMALL_DROPS", 0)
+    assert {r["page_id"]: r["text"] for r in siteextract.extract(df).collect()} == {i: f"text number {i}" for i in range(20)}
+
+
+def test_tree_alone_on_driver_pages(spark):
+    """With the lists off, the tree alone leaves the article of the driver's pages."""
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF001}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in siteextract.extract(spark.read.parquet(f"{SF001}/pages.parquet"), roles=False).collect()}
+    assert got == {i: brute.article(page) for i, page in pages.items()}
+
+
 # pipeline
 
 def test_pipeline_stages(spark, documents):
