@@ -11,6 +11,13 @@ the template; every such window of the whole text is aligned (the densest of
 each neighbourhood first), so repeated notices do not hide each other's anchors
 and no part of a long text is left out.
 
+Templates of different licenses that are much alike are told apart by their own
+words: where a template aligns with another license's to at least ``ALIKE`` of its
+words, ``MIN_COVERAGE`` of the words left over (one word: that word) must be aligned in
+the text too. So a notice without its license's name or version is none, and the
+two-clause text is not the three-clause one. A notice of fewer than ``SHORT`` words
+must stand in one piece: a word inside it makes it another notice.
+
 Defined results: null or empty text has no license (coverage 0); of equally
 covered templates the longer wins, then the smaller name; repeated rows give
 repeated results; other columns are ignored.
@@ -31,25 +38,69 @@ from gravis.llm.registry import register
 
 MIN_COVERAGE = 0.8
 STRETCH = 1.5
+ALIKE = 0.5
+SHORT = 12
+
+_GPL = ("This {it} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} "
+        "as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. {third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR "
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+        "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY "
+        "OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+        "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_CC = "Licensed under CC BY{more} 4.0."
 
-# Notices of public licenses.
+# Notices, headers and short whole texts of public licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
                          "compliance with the License. You may obtain a copy of the License at "
                          "http://www.apache.org/licenses/LICENSE-2.0",
     "BSD": "Released under the BSD License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "BSD-2-Clause-text": _BSD.format(third=""),
+    "BSD-3-Clause-text": _BSD.format(third="3. Neither the name of the copyright holder nor the names of its contributors may be used "
+                                           "to endorse or promote products derived from this software without specific prior "
+                                           "written permission. "),
+    "CC-BY-4.0": _CC.format(more=""),
+    "CC-BY-NC-4.0": _CC.format(more="-NC"),
+    "CC-BY-NC-ND-4.0": _CC.format(more="-NC-ND"),
+    "CC-BY-NC-SA-4.0": _CC.format(more="-NC-SA"),
+    "CC-BY-ND-4.0": _CC.format(more="-ND"),
+    "CC-BY-SA-4.0": _CC.format(more="-SA"),
+    "AGPL-3.0-header": _GPL.format(it="program", name="Affero General Public License", version=3),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": _GPL.format(it="program", name="General Public License", version=2),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-                      "General Public License as published by the Free Software Foundation, either version 3 of the "
-                      "License, or (at your option) any later version.",
+    "GPL-3.0-header": _GPL.format(it="program", name="General Public License", version=3),
+    "ISC": "Released under the ISC License.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+                "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-header": _GPL.format(it="library", name="Lesser General Public License", version=2.1),
+    "LGPL-3.0-header": _GPL.format(it="library", name="Lesser General Public License", version=3),
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
                 "associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "MIT-text-whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+                      "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+                      "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+                      "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+                      "following conditions: The above copyright notice and this permission notice shall be included in all "
+                      "copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+                      "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+                      "PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                      "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                      "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                      "binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+_PART = re.compile(r"-(header|text|text-whole)$")  # of one license
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -116,6 +167,27 @@ class LicenseScanner:
         for t, ids in enumerate(self.templates):
             self.member[t, ids] = True
         self.counts = [Counter(t) for t in self.templates]
+        self.own = [self._own_words(t) for t in range(len(self.templates))]
+
+    def _own_words(self, t: int) -> list[set[int]]:
+        """Per template of another license that is much alike: the places of t's words it lacks."""
+        mine, out = self.templates[t], []
+        for u, other in enumerate(self.templates):
+            if mine and _PART.sub("", self.names[u]) != _PART.sub("", self.names[t]):
+                left = set(range(len(mine))) - {j for _, j in align(other, mine)}
+                if left and len(mine) - len(left) >= ALIKE * len(mine):
+                    out.append(left)
+        return out
+
+    def holds(self, t: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether an alignment covers the template, in one piece if it is short, and
+        the words that tell it from other licenses."""
+        if len(pairs) < self.min_coverage * len(self.templates[t]):
+            return False
+        if len(self.templates[t]) < SHORT and pairs[-1][0] - pairs[0][0] + 1 > len(pairs):
+            return False
+        got = {j for _, j in pairs}
+        return all(len(left & got) >= self.min_coverage * len(left) for left in self.own[t])
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, float, int, int]]]:
         """Number of words, and (license, coverage, first word, last word) of
@@ -142,12 +214,13 @@ class LicenseScanner:
                 best = None
                 for s in near[np.argsort(-dense[near], kind="stable")][:len(template)]:
                     pairs = align(ids[s:s + width], template)
-                    if best is None or len(pairs) > len(best[1]):
-                        best = int(s), pairs
-                    if len(pairs) == len(template):
+                    holds = self.holds(t, pairs)
+                    if best is None or (holds, len(pairs)) > (best[0], len(best[2])):
+                        best = holds, int(s), pairs
+                    if holds and len(pairs) == len(template):
                         break
-                s, pairs = best
-                if len(pairs) >= need:
+                holds, s, pairs = best
+                if holds:
                     first, last = s + pairs[0][0], s + pairs[-1][0]
                     found.append((self.names[t], len(pairs) / len(template), first, last))
                     at = int(np.searchsorted(starts, last + 1))

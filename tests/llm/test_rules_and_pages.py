@@ -197,6 +197,27 @@ def test_license_scan(spark, texts):
         assert bool(re.search(r"(?i)\blicensed?\b", t or "")) == (rows[i]["license"] is not None)
 
 
+@pytest.mark.parametrize("text,expected", [
+    ("it was released under the new license last year", None), ("Released under the Zlib License.", None),
+    ("Released under the ISC License.", "ISC"), ("We chose it. Released under the BSD License. Enjoy", "BSD"),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY-XY 4.0.", None), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 4.", None)])
+def test_alike_licenses_are_told_apart(text, expected):
+    found = licences.LicenseScanner(licences.TEMPLATES).scan(text)[1]
+    assert (found[0][0] if found else None) == expected
+
+
+def test_every_template_is_its_own_license():
+    """Whole, and with a foreign word in the middle of the long ones; next to other text."""
+    scanner = licences.LicenseScanner(licences.TEMPLATES)
+    for name, text in licences.TEMPLATES.items():
+        words = text.split()
+        for t in ([text] if len(words) < licences.SHORT else [text, " ".join(words[:7] + ["foreign"] + words[7:])]):
+            found = scanner.scan(f"Some words before it. {t} And some words after it.")[1]
+            assert found[0][:2] == (name, 1.0), (name, found)
+
+
 def test_license_regions_and_edges(spark, edge):
     prose = "the words of this text go under the bridge and version of the work is public "
     apache, gpl = licences.TEMPLATES["Apache-2.0"], licences.TEMPLATES["GPL-3.0-header"]
