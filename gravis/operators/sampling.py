@@ -118,9 +118,17 @@ def undersample(df: DataFrame, label: str, id_cols: Sequence[str], seed: int) ->
 def seeded_sample(df: DataFrame, n: int, id_cols: Sequence[str], seed: int) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, chosen by hash
     order. The sample is a feature here (a sampling operator), so the row cap
-    is its definition, not a shortcut."""
-    r = hash_rank(df, [], id_cols, seed)
-    return r.filter(F.col("_rank") <= n).drop("_rank", "_stratum_n")
+    is its definition, not a shortcut. Buckets are key ranges, so only the rows
+    of the first ones, up to the one that holds the n-th row, are sorted."""
+    keyed = df.withColumn("_h", order_key(id_cols, seed))
+    x = keyed.withColumn("_b", hash_bucket(F.col("_h"), bucket_count(df.count())))
+    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"))
+    before = F.sum("_bn").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_bn")  # a row a bucket
+    first = counts.select("_b", before.alias("_off")).filter(F.col("_off") < n)
+    # no row beyond the n-th of a bucket is wanted: cut before the window's shuffle, where the rank is known
+    inside = x.join(F.broadcast(first), "_b").withColumn(
+        "_place", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *id_cols))).filter(F.col("_place") <= n)
+    return inside.filter(F.col("_off") + F.col("_place") <= n).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def class_quotas(counts: dict[tuple, int], n: int) -> dict[tuple, int]:

@@ -424,8 +424,11 @@ def logistic_score_equations(spark, sf_dir):
 FROM cases"""))
 def sample_invariants(spark, sf_dir):
     """The fixed-size sample: its size, its different ids, and those that are case ids."""
-    got = S.seeded_sample(cases(spark, sf_dir), 1000, ["id_sinistro"], P.SEED).select("id_sinistro")
-    known = got.join(cases(spark, sf_dir).select("id_sinistro").distinct(), "id_sinistro", "left_semi")
+    ids = cases(spark, sf_dir).select("id_sinistro")
+    got = cut_lineage(S.seeded_sample(ids, 1000, ["id_sinistro"], P.SEED))
+    # 1000 ids go to the cases, which stay where they are
+    met = ids.join(F.broadcast(got.distinct()), "id_sinistro", "left_semi").distinct()
+    known = got.join(met, "id_sinistro", "left_semi")
     return got.select("id_sinistro", F.lit(0).alias("k")).unionByName(known.select("id_sinistro", F.lit(1).alias("k"))).agg(
         F.count(F.when(F.col("k") == 0, 1)).alias("n"), F.count_distinct("id_sinistro").alias("distinct_ids"),
         F.count(F.when(F.col("k") == 1, 1)).alias("known"))

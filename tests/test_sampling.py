@@ -73,3 +73,14 @@ def test_hash_buckets_split_a_hot_class_evenly(spark):
     r = b.groupBy("_b").agg(F.min(S.order_key(["id"], 42)).alias("lo"),
                             F.max(S.order_key(["id"], 42)).alias("hi")).orderBy("_b").collect()
     assert all(r[i]["hi"] < r[i + 1]["lo"] for i in range(len(r) - 1))
+
+
+def test_sample_sorts_only_the_rows_it_can_take(spark):
+    df = spark.range(3000).select((F.col("id") % 2500).alias("id"), F.col("id").alias("x"))  # some ids twice
+    ranked = S.hash_rank(df, [], ["id"], 5)
+    for n in (0, 1, 40, 700):
+        got = S.seeded_sample(df, n, ["id"], 5)
+        want = ranked.filter(F.col("_rank") <= n).select("id")
+        assert got.count() == n and got.select("id").exceptAll(want).count() == 0
+    # rows beyond the n-th leave before the shuffle that ranks them
+    assert "WindowGroupLimit" in S.seeded_sample(df, 40, ["id"], 5)._jdf.queryExecution().executedPlan().toString()
