@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from gravis.llm.common import table
 from gravis.llm.registry import register
-from gravis.llm.subword import PieceEncoder, splitter, texts_of
+from gravis.llm.subword import CACHE_PIECES, LookUpEncoder, splitter, texts_of
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -67,7 +67,7 @@ class BytePairEncoder:
                     continue  # only a whole piece can become this token
                 self.left[i], self.right[i] = ranks[parts[0]], ranks[parts[1]]
                 self.merged[self.left[i], self.right[i]] = i
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token) - 1))
         for i in self.left:
             t = self.tokens[i]
             self.prefix[i] = next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1)
@@ -110,8 +110,8 @@ class BytePairEncoder:
             return [one]
         n = len(s)
         longest = [0] * n
-        for end, (i, size) in self.automaton.iter(s):
-            longest[end - size + 1] = i  # ends grow, so the longest stays
+        for end, (i, before) in self.automaton.iter(s):
+            longest[end - before] = i  # ends grow, so the longest stays
         dead = bytearray(n + 1)
         out: list[int] = []
         pos, token = 0, longest[0]
@@ -147,15 +147,40 @@ class BytePairEncoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_WORKER: dict[int, tuple[BytePairEncoder, PieceEncoder]] = {}
+class _Spelled(dict):
+    """Decimal ids (each followed by a comma) of pieces; their decoded bytes beside them."""
 
+    def __init__(self, bpe: BytePairEncoder):
+        super().__init__()
+        self.bpe, self.decoded = bpe, {}
+        self.names = {i: b"%d," % i for i in bpe.tokens}
 
-def _codec(ranks_file: bytes, pattern: str) -> tuple[BytePairEncoder, PieceEncoder]:
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.bpe.encode_piece(piece)
+        self.decoded[piece] = self.bpe.decode(ids)
+        spelled = self[piece] = b"".join(map(self.names.__getitem__, ids))
+        return spelled
+
+    def digests(self, pieces: list[str]) -> tuple[int, str, str]:
+        """n_tokens and the digests of the ids and of their decoding."""
+        if len(self) > CACHE_PIECES:
+            self.clear()
+            self.decoded.clear()
+        ids = b"".join(map(self.__getitem__, pieces))
+        return (ids.count(b","), hashlib.sha256(ids[:-1]).hexdigest(),
+                hashlib.sha256(b"".join(map(self.decoded.__getitem__, pieces))).hexdigest())
+
+
+_WORKER: dict[int, tuple[LookUpEncoder, _Spelled]] = {}
+
+
+def _codec(ranks_file: bytes, pattern: str) -> tuple[LookUpEncoder, _Spelled]:
     key = hash((ranks_file, pattern))
     if key not in _WORKER:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks_file.splitlines() if x.strip())}
         bpe = BytePairEncoder(ranks)
-        _WORKER[key] = bpe, PieceEncoder(splitter(pattern), bpe.encode_pieces)
+        encoder = LookUpEncoder(splitter(pattern), lambda piece: bpe.encode_pieces([piece])[0])
+        _WORKER[key] = encoder, _Spelled(bpe)
     return _WORKER[key]
 
 
@@ -168,18 +193,10 @@ def encode_table(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        bpe, encoder = _codec(ranks_file.value, pattern)
-        names = {i: str(i) for i in bpe.tokens}
+        encoder, spelled = _codec(ranks_file.value, pattern)
         for pdf in batches:
-            rows = []
-            for packed in encoder.encode(texts_of(pdf["_text"])):
-                if not digest:
-                    rows.append((packed,))
-                    continue
-                ids = np.frombuffer(packed, "<u4").tolist()
-                rows.append((len(ids),
-                             hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(),
-                             hashlib.sha256(bpe.decode(ids)).hexdigest()))
+            texts = texts_of(pdf["_text"])
+            rows = [spelled.digests(encoder.split(t)) for t in texts] if digest else [(p,) for p in encoder.encode(texts)]
             yield pd.concat([pdf[["_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=cols)], axis=1)
     cols = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids"]
     schema = f"_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary")
