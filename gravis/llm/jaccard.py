@@ -19,10 +19,14 @@ too.) Empty segments and those of one shingle, which unrelated documents share,
 left out that way.
 
 Equal sets are one class and only its representative (least id) joins. Documents
-that share a signature are linked to the signature's least document; the
-components of these candidate links hold every similar pair, so nothing has to
-list pairs. Inside a component (cut into pairs of blocks if it is large) all
-sizes and intersections are counted exactly through an inverted index.
+that share a signature are listed under the signature's least document. There
+pairs are compared by size and by a parity sketch (bit i: whether the set holds an
+odd number of elements that fall on i), whose bits differ in at most as many places
+as the sets have different elements: so no similar pair is dropped, and texts that only
+have a passage in common rarely stay. The components of the pairs that stay hold every
+similar pair, so nothing has to list pairs. Inside a component (cut into pairs of
+blocks if it is large) all sizes and intersections are counted exactly through an
+inverted index.
 
 Hash collisions: 64-bit shingles and 128-bit classes; the odds of one wrong
 shingle in a 20,000-word text are about 10^-11.
@@ -55,6 +59,10 @@ SHARED_ELEMENTS = 0.01  # share of its elements that a set is taken to have in c
 SEGMENTS_MORE = (1.0, 1.25, 1.5, 2.0)  # numbers of segments to choose from, in parts of H
 GROUP_SHINGLES = 500_000  # set elements that are compared in one task, about
 BUCKET_SIGNATURES = 500_000  # signatures that meet in one group, about
+SKETCH_BITS = 1 << 14  # bits of a sketch, at most; larger sets are only sketched less sharply
+LISTED = 4096  # documents of one list that are compared in one block, about
+BUCKET_LISTED = 50_000  # listed documents whose sketches meet in one group, about
+SKETCH_WORDS = 1 << 20  # words of sketches compared at a time
 _WORDS_KEPT = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -92,6 +100,14 @@ def shingle_set(text, k: int) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
+def sketch(u: np.ndarray) -> bytes:
+    """Parities of the numbers of elements by their last bits: of about one bit an element. A
+    sketch folded in halves is that of fewer bits."""
+    bits = min(SKETCH_BITS, max(64, 1 << (len(u) - 1).bit_length())) if len(u) else 64
+    odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 class Bands:
     """Size bands, and segments and deletion segments of each."""
 
@@ -175,7 +191,7 @@ def _signed(x) -> int:
 
 
 def set_table(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, n_shingles and the class hashes h1, h2 of every row."""
+    """id, n_shingles, the class hashes h1, h2 and the sketch of every row."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -183,11 +199,11 @@ def set_table(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             rows = []
             for text in pdf["_text"]:
                 u = shingle_set(text, k)
-                rows.append((len(u), _signed(_mix(u).sum(dtype=np.uint64)), _signed(_mix(u ^ _P).sum(dtype=np.uint64))))
-            out = pd.DataFrame(rows, columns=["n_shingles", "h1", "h2"])
+                rows.append((len(u), _signed(_mix(u).sum(dtype=np.uint64)), _signed(_mix(u ^ _P).sum(dtype=np.uint64)), sketch(u)))
+            out = pd.DataFrame(rows, columns=["n_shingles", "h1", "h2", "sketch"])
             yield pd.concat([pdf[["_id"]].reset_index(drop=True), out], axis=1)
     return df.selectExpr(f"`{id_col}` as _id", f"`{text_col}` as _text").mapInPandas(
-        run, f"_id {kind}, n_shingles long, h1 long, h2 long")
+        run, f"_id {kind}, n_shingles long, h1 long, h2 long, sketch binary")
 
 
 def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> list[int]:
@@ -238,7 +254,7 @@ def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None =
     return [find(i) for i in range(n)]
 
 
-_POSTINGS = "bucket int, base long, sig binary, off binary, hub binary, id binary"
+_POSTINGS = "bucket int, base long, sig binary, off binary"
 
 
 def _planes(x: np.ndarray, size: int) -> bytes:
@@ -252,63 +268,89 @@ def _from_planes(data: bytes, size: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _runs(key: np.ndarray, ids: np.ndarray):
-    """Of (key, id) sorted by both: first places of the keys, and the edges from
-    a key's first id to its others."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    hub = np.repeat(ids[first], np.diff(np.append(first, len(key))))
-    other = hub != ids
-    return first, hub[other], ids[other]
-
-
 def _postings(ids: np.ndarray, signatures: list[np.ndarray], buckets: int) -> pd.DataFrame:
-    """A batch's signatures, packed by bucket. Documents of the batch that share
-    one are linked here, so that it goes out once with its least id: a
-    signature that very many documents share costs one posting a batch.
-    Signatures keep 48 bits besides their bucket; a chance agreement of those
-    only adds a candidate."""
+    """A batch's signatures, packed by bucket. Signatures keep 48 bits besides their
+    bucket; a chance agreement of those only adds a candidate."""
     sig = np.concatenate(signatures) if signatures else np.empty(0, np.uint64)
     owner = np.repeat(ids, [len(s) for s in signatures])
     bucket = ((sig >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
     key = bucket << np.uint64(48) | sig & np.uint64((1 << 48) - 1)
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
-    first, hub, other = _runs(key, owner)
-    key, owner = key[first], owner[first]
     base = int(owner.min()) if len(owner) else 0
     wide = 8 if len(owner) and int(owner.max()) - base >= 1 << 32 else 4
     cuts = np.searchsorted(key >> np.uint64(48), np.arange(buckets + 1, dtype=np.uint64))
-    rows = [(b, base, _planes(key[x:y], 6), _planes((owner[x:y] - base).astype(np.uint64), wide), b"", b"")
+    rows = [(b, base, _planes(key[x:y], 6), _planes((owner[x:y] - base).astype(np.uint64), wide))
             for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-    if len(hub):
-        pair = np.unique(np.stack([hub, other]), axis=1)
-        rows.append((int(pair[0, 0] % buckets), 0, b"", b"", pair[0].tobytes(), pair[1].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "base", "sig", "off", "hub", "id"])
-
-
-def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The edges (hub, id) of a bucket, each once."""
-    keys, owners, hubs, others = [], [], [], []
-    for base, sig, off, hub, other in zip(pdf["base"], pdf["sig"], pdf["off"], pdf["hub"], pdf["id"]):
-        if len(sig):
-            keys.append(_from_planes(bytes(sig), 6))
-            owners.append(_from_planes(bytes(off), len(off) // len(keys[-1])).astype(np.int64) + base)
-        if len(hub):
-            hubs.append(np.frombuffer(bytes(hub), np.int64))
-            others.append(np.frombuffer(bytes(other), np.int64))
-    if keys:
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owner, key))
-        _, hub, other = _runs(key[order], owner[order])
-        hubs.append(hub)
-        others.append(other)
-    pair = np.unique(np.stack([np.concatenate(hubs), np.concatenate(others)]), axis=1)
+    return pd.DataFrame(rows, columns=["bucket", "base", "sig", "off"])
+
+
+def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(hub, id), each once: the documents of every signature of a bucket that several
+    documents share, the hub among them being the least."""
+    keys, owners = [], []
+    for base, sig, off in zip(pdf["base"], pdf["sig"], pdf["off"]):
+        keys.append(_from_planes(bytes(sig), 6))
+        owners.append(_from_planes(bytes(off), len(off) // len(keys[-1])).astype(np.int64) + base)
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    last = np.append(first[1:], len(key)) - 1
+    hub = np.repeat(owner[first], last - first + 1)
+    several = np.repeat(owner[first] != owner[last], last - first + 1)
+    pair = np.unique(np.stack([hub[several], owner[several]]), axis=1)
     return pd.DataFrame({"hub": pair[0], "id": pair[1]})
 
 
-def _candidates(reps: DataFrame, copies: DataFrame, text: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of the pairs (a, b); every place points at its root before and after."""
+    while len(a):
+        x, y = parent[a], parent[b]
+        more = x != y
+        a, b, x, y = a[more], b[more], x[more], y[more]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
+
+
+def alike(lists: np.ndarray, size: np.ndarray, sketches: list[bytes], num: int, den: int,
+          side: np.ndarray | None = None) -> np.ndarray:
+    """Root (a place) of every document, joining pairs of one list that can be similar by
+    size and sketch; rows stand by list and in it by size. With ``side`` not negative, pairs of equal side are
+    skipped. All documents are compared with the d-th behind them, for d = 1, 2, ... while sizes allow."""
+    n = len(lists)
+    words = np.array([len(x) // 8 for x in sketches], np.int64)
+    at = np.cumsum(words) - words
+    flat = np.frombuffer(b"".join(sketches), "<u8")
+    parent = np.arange(n)
+    rows, d, met, kept = parent.copy(), 0, [], 0
+    while len(rows):
+        d += 1
+        rows = rows[rows < n - d]
+        rows = rows[(lists[rows] == lists[rows + d]) & (size[rows] * den >= num * size[rows + d])]
+        ask = parent[rows] != parent[rows + d]
+        if side is not None:
+            ask &= (side[rows] < 0) | (side[rows] != side[rows + d])
+        for w, v in sorted(set(zip(words[rows[ask]].tolist(), words[rows[ask] + d].tolist()))):
+            own = rows[ask & (words[rows] == w) & (words[rows + d] == v)]
+            for part in np.array_split(own, len(own) * v // SKETCH_WORDS + 1):
+                y = flat[at[part + d][:, None] + np.arange(v)].reshape(len(part), v // w, w)
+                x = flat[at[part][:, None] + np.arange(w)] ^ np.bitwise_xor.reduce(y, axis=1)
+                differ = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+                part = part[differ * (den + num) <= (size[part] + size[part + d]) * (den - num)]
+                met.append((part, part + d))
+                kept += len(part)
+        if kept and (kept > n or not d & (d - 1) or not len(rows)):
+            _unite(parent, *map(np.concatenate, zip(*met)))
+            met, kept = [], 0
+    return parent
+
+
+def _candidates(reps: DataFrame, copies: DataFrame, text: DataFrame, sets: DataFrame, k: int, num: int, den: int,
+                listed: int = LISTED) -> DataFrame:
     """(id, root) of representatives in the same candidate component; ``copies``
-    (id) represent no class."""
+    (id) represent no class, ``sets`` has (id, n_shingles, sketch) of all."""
     largest = reps.agg(F.max("n_shingles")).first()[0] or 0
     shape = Bands(num, den, largest)
     edges = F.array(*[F.lit(e) for e in shape.edges])
@@ -327,16 +369,30 @@ def _candidates(reps: DataFrame, copies: DataFrame, text: DataFrame, k: int, num
 
     # copies list nothing: only a class's least id stays
     text = text.where("_id is not null").join(small(copies), F.col("_id") == F.col("id"), "left_anti")
-    stars = land(text.mapInPandas(index, _POSTINGS).groupBy("bucket").applyInPandas(_stars, "hub long, id long"))
-    # a document's hubs hang together through the least of them; over the documents of a group these edges repeat
-    of_doc = stars.groupBy("id").agg(F.collect_set("hub").alias("hubs"))  # at most one hub a signature
-    least = F.array_min("hubs")
-    edges = of_doc.select(least.alias("a"), F.explode(F.concat("hubs", F.array("id"))).alias("b")).where("a <> b").distinct()
-    return components(land(edges))
+    lists = land(text.mapInPandas(index, _POSTINGS).groupBy("bucket").applyInPandas(_lists, "hub long, id long").distinct())
+    # long lists are cut into pairs of blocks
+    long = land(lists.groupBy(F.col("hub").alias("l_hub")).count().where(F.col("count") > listed).select(
+        "l_hub", F.ceil(F.col("count") / listed).cast("int").alias("l_blocks")))
+    cut = lists.join(small(long), F.col("hub") == F.col("l_hub"), "left").withColumn("blocks", F.coalesce("l_blocks", F.lit(1)))
+    cut = cut.join(sets, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = max(64, lists.count() // BUCKET_LISTED)
+    cut = cut.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "n_shingles", "sketch")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["hub", "i", "j", "n_shingles", "id"])
+        place, ids = pdf[["hub", "i", "j"]].to_numpy(), pdf["id"].to_numpy()
+        begins = np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1)])
+        side = np.where(place[:, 1] == place[:, 2], -1, pdf["mine"].to_numpy())
+        roots = alike(np.cumsum(begins), pdf["n_shingles"].to_numpy(), pdf["sketch"].tolist(), num, den, side)
+        pair = np.unique(np.stack([ids[roots], ids])[:, ids[roots] != ids], axis=1)
+        return pd.DataFrame({"a": pair[0], "b": pair[1]})
+    bucket = F.pmod(F.xxhash64("hub", "i", "j"), F.lit(groups)).cast("int")
+    return components(land(cut.groupBy(bucket.alias("bucket")).applyInPandas(compare, "a long, b long").distinct()))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90,
-                       den: int = 100, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+                       den: int = 100, group_shingles: int = GROUP_SHINGLES, listed: int = LISTED) -> DataFrame:
     """One row per input row: id, n_shingles, component (least id reachable by
     links of similarity ``num / den`` or more)."""
     ids = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -349,7 +405,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = land(known.join(classes.where("copies > 1"), represents).groupBy(F.col("_id").alias("id")).agg(
         F.max(F.col("_id") == F.col("rep")).alias("is_rep")).where("not is_rep").select("id").join(
         reps.select("id"), "id", "left_anti"))
-    near = land(_candidates(reps, copies, ids, k, num, den))
+    sketches = known.dropDuplicates(["_id", "n_shingles", "h1", "h2"]).select(F.col("_id").alias("id"), "n_shingles", "sketch")
+    near = land(_candidates(reps, copies, ids, sketches, k, num, den, listed))
     # component sizes in set elements decide into how many blocks a component is cut
     weights = near.join(reps, "id").groupBy("root").agg(F.sum("n_shingles").alias("w"))
     cut = F.greatest(F.lit(1), F.ceil(F.col("w") / (group_shingles / 2)) - F.when(

@@ -141,6 +141,56 @@ def test_spare_segments_leave_out_small_ones():
             assert set(bands.signatures(x).tolist()) & set(bands.signatures(y).tolist())
 
 
+def test_texts_with_a_common_passage_are_no_candidates(spark):
+    """Unlike texts that share a passage share signatures, but are not joined: their sets are never shuffled."""
+    rnd = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [(i, " ".join(passage + [f"w{rnd.randrange(10**9)}" for _ in range(50)])) for i in range(40)]
+    texts += [(100 + i, t) for i, t in enumerate(near_copies(5, 200, 4, 8))]
+    rows = jaccard.set_table(spark.createDataFrame(texts, "_id long, _text string"), "_id", "_text", 5)
+    sets = rows.selectExpr("_id as id", "n_shingles", "sketch")
+    ids = spark.createDataFrame(texts, "_id long, _text string")
+    for listed in (jaccard.LISTED, 3):
+        got = jaccard._candidates(sets.drop("sketch"), sets.select("id").limit(0), ids, sets, 5, 80, 100, listed)
+        assert {r["id"]: r["root"] for r in got.collect()} == {100 + i: 100 for i in range(5)}
+
+
+def test_long_lists_in_blocks(spark):
+    texts = [(i, t) for i, t in enumerate(near_copies(80, 60, 3, 1) + near_copies(40, 12, 2, 2) + near_copies(30, 300, 20, 3))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = jaccard.jaccard_components(df, k=2, num=70, listed=7).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard_components(texts, 2, 70, 100)
+
+
+@pytest.mark.parametrize("num", [90, 80, 40])
+def test_sketches_drop_no_similar_pair(num):
+    rnd = np.random.default_rng(num)
+    sets = []
+    for n in [int(x) for x in rnd.integers(1, 700, 60)]:
+        base = rnd.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        for _ in range(4):
+            drop, add = rnd.integers(0, n * (100 - num) // 120 + 1, 2).tolist()
+            sets.append(np.unique(np.concatenate([base[drop:], rnd.integers(0, 2**63, add).astype(np.uint64)])))
+    lists = rnd.integers(0, 2, len(sets))
+    order = np.lexsort(([len(u) for u in sets], lists))
+    sets, lists = [sets[i] for i in order], lists[order]
+    size = np.array([len(u) for u in sets])
+    side = rnd.integers(0, 2, len(sets))
+    sketches = [jaccard.sketch(u) for u in sets]
+    whole = jaccard.alike(lists, size, sketches, num, 100)
+    across = jaccard.alike(lists, size, sketches, num, 100, side)
+    similar = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if lists[i] == lists[j] and 100 * common >= num * (size[i] + size[j] - common):
+                similar += 1
+                assert whole[i] == whole[j] and (side[i] == side[j] or across[i] == across[j])
+    assert similar > 20
+    if num > 50:
+        assert len(set(whole.tolist())) > 60  # unlike sets stay apart
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 9), (9, 8), (3, 3), (50, 60), (60, 50)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
