@@ -84,3 +84,28 @@ def test_sample_sorts_only_the_rows_it_can_take(spark):
         assert got.count() == n and got.select("id").exceptAll(want).count() == 0
     # rows beyond the n-th leave before the shuffle that ranks them
     assert "WindowGroupLimit" in S.seeded_sample(df, 40, ["id"], 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stratified_sample_is_the_first_of_each_class_and_reads_twice(spark):
+    """Repeated and null ids and labels included; ``df`` is evaluated twice, however dear it is."""
+    c = cases(spark, SF001).select("id_sinistro", "gravidade_lesao", "valor")
+    c = c.unionByName(c.limit(40)).unionByName(c.limit(5).withColumn("id_sinistro", F.lit(None).cast("long"))).unionByName(
+        c.limit(7).withColumn("gravidade_lesao", F.lit(None).cast("string")))
+    rows = [tuple(r) for r in c.collect()]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    df = spark.createDataFrame(rows, c.schema).mapInPandas(counted, c.schema)
+    for n in (90, len(rows) + 1):
+        before = read.value
+        got = S.stratified_sample(df, "gravidade_lesao", ["id_sinistro"], n, 42).collect()
+        assert read.value - before <= 2 * len(rows)
+        plain = spark.createDataFrame(rows, c.schema)
+        ranked = S.hash_rank(plain, ["gravidade_lesao"], ["id_sinistro"], 42)
+        quotas = S.class_quotas(S.stratum_counts(plain, ["gravidade_lesao"]), n)
+        expected = [r["id_sinistro"] for r in ranked.collect() if r["gravidade_lesao"] and r["_rank"] <= quotas[(r["gravidade_lesao"],)]]
+        assert sorted(map(str, (r["id_sinistro"] for r in got))) == sorted(map(str, expected))
+    assert S.stratified_sample(df.limit(0), "gravidade_lesao", ["id_sinistro"], 10, 42).count() == 0
