@@ -300,7 +300,7 @@ def _class_report(report: DataFrame, summary: DataFrame, model: str) -> list[tup
 
 
 def train_models(prepared: DataFrame, out_dir: str, trees: int = P.RF_TREES, depth: int = P.RF_DEPTH, grid: dict = P.REFERENCE_GRID,
-                 fit_rows: int = P.SEARCH_FIT_ROWS, test_fraction: float = P.TEST_FRACTION, seed: int = P.SEED,
+                 fit_rows: int | None = None, test_fraction: float = P.TEST_FRACTION, seed: int = P.SEED,
                  preset: str = "before") -> dict[str, str]:
     """Stage 2 models on a prepared extract (``prepare_cases``): features, split,
     importances, the five compared forests, threshold rule, all result files and
